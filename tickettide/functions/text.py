@@ -17,18 +17,23 @@ def is_blank(text: Column) -> Column:
 
 def base_name(path: Column) -> Column:
     """Last segment of a path, with either kind of slash."""
-    return F.regexp_extract(path, r"([^/\\]*)[/\\]*$", 1)
+    slashed = F.translate(path, "\\", "/")
+    return F.substring_index(F.rtrim(slashed, F.lit("/")), "/", -1)
+
+
+def _visible_name(path: Column) -> Column:
+    """Base name without leading dots: the dot of ``.profile`` starts no extension."""
+    return F.ltrim(base_name(path), F.lit("."))
 
 
 def file_extension(path: Column) -> Column:
     """Lower-case extension with its dot; empty where there is none."""
-    return F.lower(F.regexp_extract(base_name(path), r"^.*[^.].*?(\.[^.]+)$", 1))
+    return F.lower(F.regexp_extract(_visible_name(path), r"(\.[^.]+)$", 1))
 
 
 def table_name(path: Column) -> Column:
     """A table name from a file name: lower-case letters, digits and underscores."""
-    base = base_name(path)
-    stem = F.regexp_replace(base, r"^(.*[^.].*?)\.[^.]+$", "$1")
+    stem = F.regexp_replace(_visible_name(path), r"\.[^.]+$", "")
     safe = F.regexp_replace(F.lower(stem), "[^a-z0-9]+", "_")
     return label_blank(F.btrim(safe, F.lit("_")), "data")
 

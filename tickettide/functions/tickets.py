@@ -84,7 +84,5 @@ def raw_payload(columns: list[str]) -> Column:
 
 def pick_value(field: Column, part: str = "value") -> Column:
     """Text of a field sent either plain or as ``{"display_value", "value"}``."""
-    wrapped = field.startswith("{")
-    return F.when(
-        wrapped, F.coalesce(F.get_json_object(field, f"$.{part}"), F.lit(""))
-    ).otherwise(field)
+    wrapped = field.rlike(r'^\s*\{\s*"(display_value|value)"\s*:')
+    return F.when(wrapped, F.get_json_object(field, f"$.{part}")).otherwise(field)

@@ -61,16 +61,16 @@ def rounded_ratio(numerator: Column, denominator: Column | int, places: int) ->
     """``numerator / denominator`` rounded half away from zero, worked in integers.
 
     Rounding a double quotient depends on its last bit and so on the engine
-    and on the order of summation; integer division does not.
+    and on the order of summation; integer division does not. A column as
+    denominator means the numerator is a sum, which gets room to grow.
     """
-    wide = "decimal(38,0)"
-    den = (F.lit(denominator) if isinstance(denominator, int) else denominator).cast(wide)
-    num = numerator.cast(wide)
+    if isinstance(denominator, int):
+        num, den = numerator, F.lit(denominator).cast("bigint")
+    else:
+        num, den = numerator.cast("decimal(38,0)"), denominator.cast("decimal(38,0)")
     scale = 10 ** places
-    halves = F.call_function(
-        "div", F.abs(num) * F.lit(2 * scale) + den, den * F.lit(2)
-    )
-    return F.when(den != 0, F.signum(numerator) * halves / F.lit(float(scale)))
+    rounded = F.call_function("div", F.abs(num) * F.lit(2 * scale) + den, den * F.lit(2))
+    return F.when(den != 0, F.signum(numerator) * rounded / F.lit(float(scale)))
 
 
 def age_days(opened: Column, as_of: Column) -> Column:
