@@ -10,11 +10,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickettide.functions.times import as_time, parse_time, shift_days
+from tickettide.functions.times import as_time, parse_time
 from tickettide.operators.upsert import first_per_key
 from tickettide.schema import DEFAULT_LOOKBACK_DAYS, DOMAINS, Domain
 
 UPDATED = "sys_updated_on"
+HIGHEST_CHARACTER = "\U0010ffff"  # sorts after any time of the day it is put behind
 
 
 def query_table(
@@ -70,28 +71,24 @@ def oldest_updates(
         return rows.limit(0)
     day = F.coalesce(F.substring(UPDATED, 1, 10), F.lit(""))
     days = rows.groupBy(day.alias("day")).agg(F.count(F.lit(1)).alias("n"))
-    ordered = Window.orderBy(F.col("day").desc() if newest_first else F.col("day").asc())
-    enough = days.select("day", F.sum("n").over(ordered).alias("running")).filter(
-        F.col("running") >= max_records
-    )
+    direction = F.col("day").desc() if newest_first else F.col("day").asc()
+    running = days.withColumn("running", F.sum("n").over(Window.orderBy(direction)))
+    enough = F.when(F.col("running") >= max_records, F.col("day"))
     if newest_first:
-        cutoff = enough.agg(F.coalesce(F.max("day"), F.lit(""))).scalar()
-        near = rows.filter((F.coalesce(UPDATED, F.lit("")) >= cutoff))
+        cutoff = running.agg(F.coalesce(F.max(enough), F.min("day"))).scalar()
+        near = rows.filter(F.coalesce(UPDATED, F.lit("")) >= cutoff)
         first = F.col(UPDATED).desc_nulls_last()
     else:
-        # "~" sorts after every digit: fewer rows than the cap means no cut-off,
-        # and any time of the cut-off day stays below it.
-        cutoff = enough.agg(F.concat(F.coalesce(F.min("day"), F.lit("~")), F.lit("~"))).scalar()
+        last = F.coalesce(F.min(enough), F.max("day"))
+        cutoff = running.agg(F.concat(last, F.lit(HIGHEST_CHARACTER))).scalar()
         near = rows.filter(F.col(UPDATED).isNull() | (F.col(UPDATED) <= cutoff))
         first = F.col(UPDATED).asc_nulls_first()
     return near.orderBy(first, *tie_break).limit(max_records)
 
 
 def lookback_start(as_of: Column, since_days: int) -> Column:
-    """Start of the day so many days back (one at least), as text."""
-    return F.date_format(
-        F.date_sub(as_of.cast("date"), max(int(since_days), 1)), "yyyy-MM-dd 00:00:00"
-    )
+    """The day so many days back (one at least), as text; its times all sort after it."""
+    return F.date_sub(as_of.cast("date"), max(int(since_days), 1)).cast("string")
 
 
 def pull_domain(
@@ -192,7 +189,7 @@ def backfill(
     rows = stamp(
         days,
         F.datediff("_day", F.lit(first_day).cast("date")) + 1,
-        shift_days(F.col("_day").cast("timestamp_ntz"), 1) - F.expr("INTERVAL '1' SECOND"),
+        F.col("_day").cast("timestamp_ntz") + F.make_dt_interval(*map(F.lit, (0, 23, 59, 59))),
     ).drop("_day", "_next", "_from", "_until")
     return cap_per_day(rows, max_records) if max_records is not None else rows
 
