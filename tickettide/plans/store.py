@@ -112,14 +112,17 @@ class SnapshotStore:
     def next_run_id(self) -> int:
         return (self.run_log().agg(F.max("id")).first()[0] or 0) + 1
 
-    def write_runs(
-        self, stamped: Mapping[str, DataFrame], since_days: int, notes: str | None = None
-    ) -> None:
-        """Store stamped rows of one or more runs, then log the runs."""
+    def _write_tickets(self, stamped: Mapping[str, DataFrame]) -> None:
         for name, rows in stamped.items():
             domain = DOMAINS[name]
             winners = last_write_wins(with_payload(rows, domain), domain)
             self._write(winners, f"runs/{name}", "snapshot_date", "run_id")
+
+    def write_runs(
+        self, stamped: Mapping[str, DataFrame], since_days: int, notes: str | None = None
+    ) -> None:
+        """Store stamped rows of one or more runs, then log the runs."""
+        self._write_tickets(stamped)
         self._write(run_log_rows(stamped, since_days, notes), "run_log", "id")
 
     def store(self, snapshot: Snapshot, run_id: int | None = None) -> DataFrame:
@@ -132,10 +135,7 @@ class SnapshotStore:
         if as_of is None:
             as_of = datetime.now(timezone.utc).replace(tzinfo=None)
         stamped = {n: stamp(rows, run, as_of) for n, rows in snapshot.frames.items()}
-        for name, rows in stamped.items():
-            domain = DOMAINS[name]
-            winners = last_write_wins(with_payload(rows, domain), domain)
-            self._write(winners, f"runs/{name}", "snapshot_date", "run_id")
+        self._write_tickets(stamped)
         log = self._single_run_log(stamped, run, as_of, snapshot)
         self._write(log, "run_log", "id")
         return self.run_log().filter(F.col("id") == run)
