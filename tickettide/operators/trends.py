@@ -16,7 +16,8 @@ from tickettide.functions import tickets as t
 from tickettide.functions.text import label_blank
 from tickettide.functions.times import rounded_ratio
 
-ROWS = F.lit(1)
+def _count_rows() -> Column:
+    return F.count(F.lit(1))
 
 
 def _count_where(condition: Column) -> Column:
@@ -40,7 +41,7 @@ def daily_trend(
     grouped = snapshots.groupBy(
         "snapshot_date", *raw, *(label.alias(name) for name, label in labelled.items())
     ).agg(
-        F.count(ROWS).alias(count_name),
+        _count_rows().alias(count_name),
         _count_where(open_rule).alias("open_count"),
         *([_count_where(~open_rule).alias("closed_count")] if with_closed else []),
     )
@@ -157,7 +158,7 @@ def _sla_figures(timed: DataFrame, late: Column) -> DataFrame:
     return (
         timed.groupBy("snapshot_date", "priority")
         .agg(
-            F.count(ROWS).alias("resolved_count"),
+            _count_rows().alias("resolved_count"),
             F.sum("seconds").alias("_sum"),
             F.count("seconds").alias("_timed"),
             _count_where(late).alias("breached_count"),
@@ -182,7 +183,7 @@ def period_share(
     start = F.trunc("snapshot_date", period).alias("period_start")
     counts = snapshots.groupBy(
         start, label_blank(F.col(merge_column), label).alias("request_type")
-    ).agg(F.count(ROWS).alias("request_count"))
+    ).agg(_count_rows().alias("request_count"))
     total = F.sum("request_count").over(Window.partitionBy("period_start"))
     return counts.withColumn("period_total", total).withColumn(
         "share", rounded_ratio(F.col("request_count"), F.col("period_total"), 4)

@@ -146,7 +146,7 @@ class SnapshotStore:
             else F.lit(0).cast("bigint")
             for name in DOMAINS
         }
-        numbered = stamp(self.spark.range(1), run, as_of).withColumns(
+        numbered = stamp(self.spark.range(1).select(), run, as_of).withColumns(
             {f"{name}_count": count for name, count in counts.items()}
         )
         note = {name: F.col(f"{name}_count") for name in DOMAINS}
