@@ -363,14 +363,15 @@ RUNS = f"""
               UNION ALL {_counts("problem", "problem")})
         GROUP BY ALL
     )"""
+WITHIN = "TRY_CAST(sys_updated_on AS TIMESTAMP) >= DATE '2024-01-31' - 11000"
 ONE_RUN = f"""
     one_run AS (
         SELECT CAST(1 AS BIGINT) AS id, DATE '2024-01-31' AS snapshot_date,
-               TIMESTAMP '{EVENTS_AS_OF}' AS pulled_at, CAST(9000 AS BIGINT) AS since_days,
-               (SELECT count(*) FROM incident) AS incident_count,
-               (SELECT count(*) FROM request) AS request_item_count,
-               (SELECT count(*) FROM change) AS change_request_count,
-               (SELECT count(*) FROM problem) AS problem_count
+               TIMESTAMP '{EVENTS_AS_OF}' AS pulled_at, CAST(11000 AS BIGINT) AS since_days,
+               (SELECT count(*) FROM incident WHERE {WITHIN}) AS incident_count,
+               (SELECT count(*) FROM request WHERE {WITHIN}) AS request_item_count,
+               (SELECT count(*) FROM change WHERE {WITHIN}) AS change_request_count,
+               (SELECT count(*) FROM problem WHERE {WITHIN}) AS problem_count
     )"""
 
 

@@ -221,7 +221,7 @@ def sync_job(tables):
         store,
         sources,
         EVENTS_AS_OF,
-        since_days=9000,
+        since_days=11_000,
         max_records=dict.fromkeys(DOMAINS),
         include_change_requests=True,
         include_problems=True,
