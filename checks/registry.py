@@ -128,13 +128,13 @@ def pull_problem(tables):
 
 @_query
 def snapshot_backfill(tables):
-    log = a.change_log(tables.events)
+    log = a.change_log(a.spread(tables.events, "event_id"))
     return pull.backfill(log, DOMAINS["incident"], *BACKFILL_DAYS, since_days=7)
 
 
 @_query
 def snapshot_backfill_capped(tables):
-    log = a.change_log(tables.events)
+    log = a.change_log(a.spread(tables.events, "event_id"))
     return pull.backfill(
         log, DOMAINS["incident"], *BACKFILL_DAYS, since_days=7, max_records=100
     ).select("snapshot_date", "sys_id", "sys_updated_on", "state")

@@ -5,11 +5,12 @@ Layout under the root folder::
     runs/<domain>/snapshot_date=.../run_id=...     rows of each run, once per ticket
     run_log/id=...                                 one row per finished run
     settled/<domain>/generation=.../snapshot_date=...   winners up to a run
-    settled_log/domain=.../generation=...          dates each generation covers
+    settled_log/domain=.../generation=...          dates each generation holds
 
 A run counts once it is in the run log, which is written last: readers never
 see half a run, and a run that failed is simply written again to the same
-partitions. Nothing that is being read is ever overwritten.
+partitions. A generation is the last run it takes in; it counts once it is in
+the settled log. Nothing that is being read is ever overwritten.
 """
 
 from __future__ import annotations
@@ -85,12 +86,16 @@ class SnapshotStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
+        self._present: set[str] = set()
 
-    def _read(self, folder: str, schema: T.StructType) -> DataFrame:
+    def _read(self, folder: str, schema: T.StructType, *partitions: str) -> DataFrame:
         path = f"{self.root}/{folder}"
-        # Creates the folder where there is none yet; otherwise does nothing.
-        self.spark.createDataFrame([], schema).write.mode("ignore").parquet(path)
-        return self.spark.read.schema(schema).parquet(path)
+        if folder not in self._present:
+            # Makes an empty table where there is none yet, else does nothing.
+            empty = self.spark.createDataFrame([], schema)
+            empty.write.mode("ignore").partitionBy(*partitions).parquet(path)
+            self._present.add(folder)
+        return self.spark.read.schema(schema).parquet(path).select(*schema.fieldNames())
 
     def _write(self, rows: DataFrame, folder: str, *partitions: str) -> None:
         """Replace just the partitions the rows belong to.
@@ -107,7 +112,7 @@ class SnapshotStore:
         )
 
     def run_log(self) -> DataFrame:
-        return self._read("run_log", RUN_LOG_SCHEMA)
+        return self._read("run_log", RUN_LOG_SCHEMA, "id")
 
     def next_run_id(self) -> int:
         return (self.run_log().agg(F.max("id")).first()[0] or 0) + 1
@@ -156,54 +161,65 @@ class SnapshotStore:
             "notes": F.lit(snapshot.notes) if snapshot.notes is not None else run_message(note),
         }).select(*RUN_LOG_SCHEMA.fieldNames())
 
-    def run_rows(self, name: str) -> DataFrame:
-        """Rows of all finished runs, older ones of the same day included."""
-        finished = self.run_log().select(F.col("id").alias("run_id"))
-        rows = self._read(f"runs/{name}", DOMAINS[name].snapshot_schema)
+    def run_rows(self, name: str, after: int = 0) -> DataFrame:
+        """Rows of all finished runs after a given one, older ones of the same day included.
+
+        The run is a partition column, so earlier runs are not even listed.
+        """
+        finished = self.run_log().filter(F.col("id") > after).select(F.col("id").alias("run_id"))
+        rows = self._read(
+            f"runs/{name}", DOMAINS[name].snapshot_schema, "snapshot_date", "run_id"
+        ).filter(F.col("run_id") > after)
         return rows.join(finished, "run_id", "left_semi").select(*rows.columns)
 
-    def _settled_dates(self, name: str) -> DataFrame:
-        log = self._read("settled_log", _SETTLED_LOG_SCHEMA).filter(F.col("domain") == name)
-        return log.groupBy("snapshot_date").agg(F.max("generation").alias("generation"))
+    def _settled_log(self, name: str) -> DataFrame:
+        log = self._read("settled_log", _SETTLED_LOG_SCHEMA, "domain", "generation")
+        return log.filter(F.col("domain") == name)
 
-    def current(self, name: str) -> DataFrame:
-        """One row per ticket and day: the last run that held the ticket.
+    def _settled_up_to(self, name: str) -> int:
+        """The run up to which dates are settled: one number, read when a plan is made."""
+        return self._settled_log(name).agg(F.max("generation")).first()[0] or 0
 
-        Settled dates without newer runs pass straight through. Only the rest
-        is shuffled by ticket. The log tables that pick partitions have a row
-        per run or day; whether to broadcast them is Spark's size check.
-        """
-        domain = DOMAINS[name]
-        settled = self._settled_dates(name)
-        base = (
-            self._read(
-                f"settled/{name}",
-                domain.snapshot_schema.add("generation", T.LongType()),
-            )
-            .join(settled, ["snapshot_date", "generation"], "left_semi")
-            .select(*domain.snapshot_columns)
+    def _settled_rows(self, name: str) -> DataFrame:
+        """Winners of every settled date, from the newest generation that holds it."""
+        newest = self._settled_log(name).groupBy("snapshot_date").agg(
+            F.max("generation").alias("generation")
         )
-        newer = F.col("run_id") > F.coalesce("generation", F.lit(-1))
-        fresh = (
-            self.run_rows(name)
-            .join(settled, "snapshot_date", "left")
-            .filter(newer)
-            .select(*domain.snapshot_columns)
+        schema = DOMAINS[name].snapshot_schema.add("generation", T.LongType())
+        rows = self._read(f"settled/{name}", schema, "generation", "snapshot_date")
+        return rows.join(newest, ["snapshot_date", "generation"], "left_semi").select(
+            *DOMAINS[name].snapshot_columns
         )
-        fresh_dates = (
-            self.run_log()
-            .select("snapshot_date", F.col("id").alias("run_id"))
-            .join(settled, "snapshot_date", "left")
-            .filter(newer)
-            .select("snapshot_date")
-            .distinct()
+
+    def _dates_after(self, run: int) -> DataFrame:
+        return self.run_log().filter(F.col("id") > run).select("snapshot_date").distinct()
+
+    def _contested(self, name: str, settled_run: int) -> DataFrame:
+        """Winners of the dates that have runs after the settled one."""
+        fresh = self.run_rows(name, after=settled_run)
+        if not settled_run:
+            return latest_run_wins(fresh)
+        reopened = self._settled_rows(name).join(
+            self._dates_after(settled_run), "snapshot_date", "left_semi"
         )
-        untouched = base.join(fresh_dates, "snapshot_date", "left_anti")
-        reopened = base.join(fresh_dates, "snapshot_date", "left_semi")
-        contested = latest_run_wins(
-            reopened.select(*domain.snapshot_columns).unionByName(fresh)
+        return latest_run_wins(reopened.unionByName(fresh))
+
+    def current(self, name: str) -> DataFrame:
+        """One row per ticket and day: the last run that held the ticket.
+
+        Settled dates without newer runs pass straight through; only the other
+        dates are shuffled by ticket. The log tables that pick partitions have
+        a row per run or date, and whether to broadcast them is Spark's size
+        check.
+        """
+        settled_run = self._settled_up_to(name)
+        contested = self._contested(name, settled_run)
+        if not settled_run:
+            return contested
+        untouched = self._settled_rows(name).join(
+            self._dates_after(settled_run), "snapshot_date", "left_anti"
         )
-        return untouched.select(*domain.snapshot_columns).unionByName(contested)
+        return untouched.select(*contested.columns).unionByName(contested)
 
     def settle(self, name: str) -> None:
         """Write down the winners of every date with runs not settled yet.
@@ -211,22 +227,14 @@ class SnapshotStore:
         Later reads of these dates need no shuffle. Runs up to this point must
         not be rewritten afterwards.
         """
-        generation = self.run_log().agg(F.max("id")).first()[0]
-        if generation is None:
+        generation = self.run_log().agg(F.max("id")).first()[0] or 0
+        settled_run = self._settled_up_to(name)
+        if generation <= settled_run:
             return
-        settled = self._settled_dates(name)
-        dates = (
-            self.run_log()
-            .select("snapshot_date", "id")
-            .join(settled, "snapshot_date", "left")
-            .filter(F.col("id") > F.coalesce("generation", F.lit(-1)))
-            .select("snapshot_date")
-            .distinct()
-        )
         tag = F.lit(generation).cast("bigint")
-        winners = self.current(name).join(dates, "snapshot_date", "left_semi")
-        self._write(
-            winners.withColumn("generation", tag), f"settled/{name}", "generation", "snapshot_date"
+        winners = self._contested(name, settled_run).withColumn("generation", tag)
+        self._write(winners, f"settled/{name}", "generation", "snapshot_date")
+        marks = self._dates_after(settled_run).select(
+            "snapshot_date", F.lit(name).alias("domain"), tag.alias("generation")
         )
-        marks = dates.select("snapshot_date", F.lit(name).alias("domain"), tag.alias("generation"))
         self._write(marks, "settled_log", "domain", "generation")
