@@ -79,6 +79,21 @@ def test_age_takes_the_given_moment(spark):
     assert spark.range(1).select(age).first()[0] == 2.6
 
 
+def test_moments_do_not_depend_on_the_session_zone(other_zone):
+    from datetime import date, timedelta, timezone
+
+    noon = datetime(2024, 3, 10, 2, 30)
+    same = [noon, str(noon), noon.replace(tzinfo=timezone.utc),
+            (noon + timedelta(hours=3)).replace(tzinfo=timezone(timedelta(hours=3)))]
+    row = other_zone.range(1).select(
+        *(times.as_time(m).alias(f"m{i}") for i, m in enumerate(same)),
+        times.as_time(date(2024, 3, 10)).alias("day"),
+        times.utc_of(times.instant_of(F.lit("2024-03-10 02:30:00").cast("timestamp_ntz"))).alias("back"),
+        times.to_second(F.lit("2024-03-10 02:30:00.75").cast("timestamp_ntz")).alias("cut"),
+    ).first()
+    assert set(row[:4]) == {noon} and row.day == datetime(2024, 3, 10) and row.back == row.cut == noon
+
+
 def test_now_is_utc(other_zone):
     now = other_zone.range(1).select(times.utc_now()).first()[0]
     from datetime import timezone

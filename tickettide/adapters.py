@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickettide.functions.times import second_text
 from tickettide.plans.store import with_payload
 from tickettide.schema import DOMAINS, INGEST_LOG_SCHEMA, RUN_LOG_SCHEMA
 
@@ -143,7 +144,7 @@ def change_requests(tables: Tables) -> DataFrame:
     """Events as changes, one snapshot each."""
     return _snapshot(
         tables.events.withColumn("day", F.col("ts").cast("date"))
-        .withColumn("at", F.date_trunc("second", "ts").cast("timestamp_ntz")),
+        .withColumn("at", second_text(F.col("ts"))),
         "change_request",
         run_id=_run_of("day"),
         snapshot_date="day",
@@ -154,7 +155,7 @@ def change_requests(tables: Tables) -> DataFrame:
         sys_created_on="at",
         sys_updated_on="at",
         start_date="at",
-        end_date="at + make_dt_interval(0, CAST(user_id % 48 AS INT))",
+        end_date="CAST(at AS TIMESTAMP_NTZ) + make_dt_interval(0, CAST(user_id % 48 AS INT))",
         state="""CASE event_id % 8 WHEN 0 THEN 'New' WHEN 1 THEN 'Scheduled' WHEN 2 THEN 'Closed'
                  WHEN 3 THEN 'COMPLETE' WHEN 4 THEN 'Cancelled' WHEN 5 THEN 'canceled'
                  WHEN 6 THEN '' END""",
@@ -199,7 +200,7 @@ def problems(tables: Tables) -> DataFrame:
 
 def change_log(events: DataFrame) -> DataFrame:
     """Events as changes to tickets, one ticket per user; also usable on a stream."""
-    at = F.date_trunc("second", "ts").cast("timestamp_ntz")
+    at = second_text(F.col("ts"))
     columns: dict[str, Column] = {
         "sys_id": F.col("user_id"),
         "number": F.expr("concat('EVT', lpad(event_id, 12, '0'))"),

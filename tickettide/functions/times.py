@@ -2,44 +2,70 @@
 
 from __future__ import annotations
 
-from datetime import date, datetime
+from datetime import date, datetime, timezone
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# How times are written in snapshots and logs.
-SECOND_FORMAT = "yyyy-MM-dd HH:mm:ss"
-MINUTE_FORMAT = "yyyy-MM-dd HH:mm"
-
 _DATE_LEAD = r"^\d{4}-\d{2}-\d{2}"
 _ZONE_TAIL = r"(Z|[+-]\d{2}:?\d{2})$"
 
 
+def _epoch() -> Column:
+    return F.lit("1970-01-01").cast("timestamp_ntz")
+
+
+def utc_of(instant: Column) -> Column:
+    """UTC wall-clock time of an instant, whatever the session's zone."""
+    seconds = F.unix_micros(instant).cast("decimal(20,0)") / F.lit(1_000_000).cast("decimal(7,0)")
+    return _epoch() + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
+
+
+def instant_of(moment: Column) -> Column:
+    """The instant, to the second, of a UTC wall-clock time."""
+    return F.timestamp_seconds(seconds_between(_epoch(), moment))
+
+
 def utc_now() -> Column:
     """The current UTC wall-clock time."""
-    return F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()).cast("timestamp_ntz")
+    return utc_of(F.current_timestamp())
 
 
 def as_time(moment: Column | datetime | date | str | None) -> Column:
     """A UTC wall-clock column from whatever the caller has; None means now."""
     if moment is None:
         return utc_now()
-    column = moment if isinstance(moment, Column) else F.lit(moment)
+    if isinstance(moment, datetime) and moment.tzinfo is not None:
+        moment = moment.astimezone(timezone.utc).replace(tzinfo=None)
+    column = moment if isinstance(moment, Column) else F.lit(str(moment))
     return column.cast("timestamp_ntz")
 
 
+def second_text(moment: Column) -> Column:
+    """``YYYY-MM-DD HH:MM:SS``."""
+    return F.substring(moment.cast("string"), 1, 19)
+
+
+def minute_text(moment: Column) -> Column:
+    """``YYYY-MM-DD HH:MM``."""
+    return F.substring(moment.cast("string"), 1, 16)
+
+
+def to_second(moment: Column) -> Column:
+    """The time without its fraction of a second."""
+    return second_text(moment).cast("timestamp_ntz")
+
+
 def parse_time(text: Column) -> Column:
     """UTC time from text, NULL where the text is not a date or a date-time.
 
     Text must start with ``YYYY-MM-DD``: a plain cast would also take ``2026``
     or ``12:00``. A trailing ``Z`` or offset is honoured; other text is UTC.
     """
-    zoned = F.length(text) > 19
-    instant = F.to_utc_timestamp(text.try_cast("timestamp"), F.current_timezone())
+    zoned = (F.length(text) > 19) & text.rlike(_ZONE_TAIL)
     return F.when(
         text.rlike(_DATE_LEAD),
-        F.when(zoned & text.rlike(_ZONE_TAIL), instant.cast("timestamp_ntz"))
-        .otherwise(text.try_cast("timestamp_ntz")),
+        F.when(zoned, utc_of(text.try_cast("timestamp"))).otherwise(text.try_cast("timestamp_ntz")),
     )
 
 

@@ -7,7 +7,7 @@ from datetime import date, datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickettide.functions.times import SECOND_FORMAT, as_time
+from tickettide.functions.times import as_time, second_text
 from tickettide.operators.upsert import first_per_key
 from tickettide.schema import INGEST_LOG_KEYS, INGEST_LOG_SCHEMA
 
@@ -43,7 +43,7 @@ def new_log_rows(
     )
     return (
         not_yet_ingested(firsts, log)
-        .withColumn("logged_at", F.date_format(as_time(logged_at), SECOND_FORMAT))
+        .withColumn("logged_at", second_text(as_time(logged_at)))
         .select(*INGEST_LOG_SCHEMA.fieldNames())
     )
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickettide.functions.text import file_extension
-from tickettide.functions.times import MINUTE_FORMAT, SECOND_FORMAT, as_time, shift_days
+from tickettide.functions.times import as_time, minute_text, second_text, shift_days, to_second
 
 # Attachments taken for spreadsheets.
 SPREADSHEET_EXTENSIONS = (".xlsx", ".xls")
@@ -54,7 +54,7 @@ def with_stage(
 ) -> DataFrame:
     """Messages with the stage at which each one leaves the scan."""
     cutoff = shift_days(as_time(as_of), -days_back)
-    received = F.date_trunc("second", "received").cast("timestamp_ntz")
+    received = to_second(F.col("received"))
     subject = F.coalesce("subject", F.lit(""))
     stage = (
         F.when(F.col("received").isNull(), NOT_MAIL)
@@ -85,7 +85,7 @@ def found_attachments(staged: DataFrame) -> DataFrame:
         .select(
             "subject",
             "sender",
-            F.date_format("received", SECOND_FORMAT).alias("received"),
+            second_text(F.col("received")).alias("received"),
             F.explode("attachments").alias("filename"),
         )
         .filter(_is_spreadsheet(F.col("filename")))
@@ -113,8 +113,8 @@ def scan_diagnostics(
         F.when(attached.isNotNull(), spreadsheets).alias("spreadsheets"),
     ).agg(
         F.lit(folder.strip() or INBOX).alias("folder_name"),
-        F.date_format(shift_days(now, -days_back), MINUTE_FORMAT).alias("date_from"),
-        F.date_format(now, MINUTE_FORMAT).alias("date_to"),
+        minute_text(shift_days(now, -days_back)).alias("date_from"),
+        minute_text(now).alias("date_to"),
         F.count(F.lit(1)).alias("total_items"),
         messages_at(NOT_MAIL).alias("skipped_non_mail"),
         messages_at(TOO_OLD).alias("skipped_too_old"),
@@ -137,7 +137,7 @@ def scan_errors(staged: DataFrame) -> DataFrame:
         F.col("stage") == UNREADABLE,
         F.concat(
             F.lit("["),
-            F.date_format("received", SECOND_FORMAT),
+            second_text(F.col("received")),
             F.lit("] attachments could not be read"),
         ),
     )

@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickettide.functions.times import as_time, parse_time
+from tickettide.functions.times import as_time, parse_time, to_second
 from tickettide.operators.upsert import first_per_key
 from tickettide.schema import DEFAULT_LOOKBACK_DAYS, DOMAINS, Domain
 
@@ -114,7 +114,7 @@ def stamp(rows: DataFrame, run_id: int | Column, as_of: Column | datetime | date
     return rows.select(
         run.cast("bigint").alias("run_id"),
         moment.cast("date").alias("snapshot_date"),
-        F.date_trunc("second", moment).cast("timestamp_ntz").alias("pulled_at"),
+        to_second(moment).alias("pulled_at"),
         "*",
     )
 

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tickettide.functions import tickets as t
 from tickettide.functions.text import label_blank
+from tickettide.functions.times import instant_of, utc_of
 from tickettide.operators.pull import stamp
 from tickettide.plans.store import SnapshotStore
 from tickettide.schema import INGEST_LOG_KEYS
@@ -51,7 +52,7 @@ def first_arrivals(files: DataFrame, delay: str = "1 day") -> DataFrame:
     sent to one task in full. A repeat later than the delay comes through
     again: the ingest log stays the authority.
     """
-    keys = files.select(*INGEST_LOG_KEYS, F.col("received").cast("timestamp").alias("received"))
+    keys = files.select(*INGEST_LOG_KEYS, instant_of(F.col("received")).alias("received"))
     sliced = keys.withColumn("_slice", F.pmod(F.spark_partition_id(), F.lit(SPREAD)))
     return (
         sliced.withWatermark("received", delay)
@@ -74,7 +75,7 @@ def hourly_trend(tickets: DataFrame, delay: str = "1 day") -> DataFrame:
     still_open = t.is_open(F.col("closed_at")).cast("bigint")
     return (
         tickets.select(
-            F.col("pulled_at").cast("timestamp").alias("pulled_at"),
+            instant_of(F.col("pulled_at")).alias("pulled_at"),
             label_blank(F.col("category"), t.NO_CATEGORY).alias("category"),
             label_blank(F.col("state"), t.NO_VALUE).alias("state"),
             still_open.alias("open"),
@@ -83,7 +84,7 @@ def hourly_trend(tickets: DataFrame, delay: str = "1 day") -> DataFrame:
         .groupBy(F.window("pulled_at", "1 hour").alias("hour"), "category", "state")
         .agg(F.count(F.lit(1)).alias("ticket_count"), F.sum("open").alias("open_count"))
         .select(
-            F.col("hour.start").cast("timestamp_ntz").alias("hour_start"),
+            utc_of(F.col("hour.start")).alias("hour_start"),
             "category",
             "state",
             "ticket_count",
