@@ -524,7 +524,8 @@ def incident_latest(tables):
 
 @_query
 def request_item_latest(tables):
-    return reports.request_item_latest(request_items_now(tables), ORDERS_AS_OF)
+    latest = upsert.latest_write_per_ticket(a.request_items(tables), DOMAINS["request_item"])
+    return reports.request_item_state(latest, ORDERS_AS_OF)
 
 
 @_query

@@ -137,6 +137,17 @@ def test_last_write_wins(tickets):
     assert sorted(map(tuple, twice.collect()), key=str) == sorted(map(tuple, got.collect()), key=str)
 
 
+def test_latest_write_in_one_step(spark):
+    from checks.registry import fields_of
+    from tickettide import adapters as a
+
+    runs = fields_of(a.request_items(a.Tables(spark, "/root/testdata/sf0.001")))
+    domain = DOMAINS["request_item"]
+    one = upsert.latest_write_per_ticket(runs, domain)
+    two = upsert.latest_per_ticket(upsert.last_write_wins(runs, domain))
+    assert one.exceptAll(two).isEmpty() and two.exceptAll(one).isEmpty() and one.count() > 1000
+
+
 def test_now_is_the_default(landed):
     today = datetime.now().strftime("%Y-%m-%d %H:%M:%S")
     rows = landed("incident", {"sys_id": "1", "sys_updated_on": today}, {"sys_id": "2", "sys_updated_on": "2001-01-01"})

@@ -63,6 +63,7 @@ def test_later_runs_replace_and_dates_accumulate(store, landed):
     store.store(snapshot(landed, {"sys_id": "1", "state": "c"}, as_of=datetime(2024, 1, 11, 6)))
     expected = [("10", "1", "b", 2), ("10", "2", "a", 1), ("11", "1", "c", 3)]
     assert content(store) == expected
+    assert sorted((r.sys_id, r.state) for r in store.latest("incident").collect()) == [("1", "c"), ("2", "a")]
     store.settle("incident")
     assert content(store) == expected
     store.store(snapshot(landed, {"sys_id": "2", "state": "d"}, {"sys_id": "3", "state": "d"}))
@@ -71,6 +72,8 @@ def test_later_runs_replace_and_dates_accumulate(store, landed):
     store.settle("incident")
     store.settle("incident")
     assert content(store) == expected
+    assert sorted((r.sys_id, r.state) for r in store.latest("incident").collect()) == [
+        ("1", "c"), ("2", "d"), ("3", "d")]
     assert [r.notes for r in store.run_log().orderBy("id").collect()][1] == "again"
 
 

@@ -33,9 +33,9 @@ REQUEST_ITEM_LATEST_COLUMNS = """
 """.split()
 
 
-def _latest(snapshots: DataFrame, columns: list[str], as_of) -> DataFrame:
+def _state(latest: DataFrame, columns: list[str], as_of) -> DataFrame:
     opened = parse_time(t.started_text())
-    return latest_per_ticket(snapshots).select(
+    return latest.select(
         *columns,
         F.col("snapshot_date").alias("last_snapshot_date"),
         F.col("pulled_at").alias("last_pulled_at"),
@@ -44,14 +44,24 @@ def _latest(snapshots: DataFrame, columns: list[str], as_of) -> DataFrame:
     )
 
 
+def incident_state(latest: DataFrame, as_of=None) -> DataFrame:
+    """Latest incident rows with age and open flag."""
+    return _state(latest, INCIDENT_LATEST_COLUMNS, as_of)
+
+
+def request_item_state(latest: DataFrame, as_of=None) -> DataFrame:
+    """Latest request item rows with age and open flag."""
+    return _state(latest, REQUEST_ITEM_LATEST_COLUMNS, as_of)
+
+
 def incident_latest(snapshots: DataFrame, as_of=None) -> DataFrame:
     """Each incident as last seen, with its age and whether it is open."""
-    return _latest(snapshots, INCIDENT_LATEST_COLUMNS, as_of)
+    return incident_state(latest_per_ticket(snapshots), as_of)
 
 
 def request_item_latest(snapshots: DataFrame, as_of=None) -> DataFrame:
     """Each request item as last seen, with its age and whether it is open."""
-    return _latest(snapshots, REQUEST_ITEM_LATEST_COLUMNS, as_of)
+    return request_item_state(latest_per_ticket(snapshots), as_of)
 
 
 def run_summary(run_log: DataFrame, limit: int = RUN_HISTORY_ROWS) -> DataFrame:

@@ -25,7 +25,11 @@ from pyspark.sql import types as T
 
 from tickettide.functions.tickets import raw_payload
 from tickettide.operators.pull import Snapshot, stamp
-from tickettide.operators.upsert import last_write_wins, latest_run_wins
+from tickettide.operators.upsert import (
+    last_write_wins,
+    latest_run_per_ticket,
+    latest_run_wins,
+)
 from tickettide.schema import DOMAINS, RUN_LOG_SCHEMA, Domain
 
 STATUS_SUCCESS = "success"
@@ -221,6 +225,17 @@ class SnapshotStore:
         )
         return untouched.select(*contested.columns).unionByName(contested)
 
+    def latest(self, name: str) -> DataFrame:
+        """The newest row of each ticket, straight from settled rows and newer runs.
+
+        One shuffle by ticket, whether or not the dates are settled.
+        """
+        settled_run = self._settled_up_to(name)
+        rows = self.run_rows(name, after=settled_run)
+        if settled_run:
+            rows = self._settled_rows(name).unionByName(rows)
+        return latest_run_per_ticket(rows)
+
     def settle(self, name: str) -> None:
         """Write down the winners of every date with runs not settled yet.
 

@@ -1,8 +1,9 @@
 """Rows of many spreadsheet files, one task per group of files.
 
 A workbook is read with the standard library only (it is XML in a zip file):
-first sheet, first row as header. Rows leave the task in batches, so a task
-holds one file and one batch at a time.
+first sheet, first row as header. Files come to Python in Arrow batches that
+Spark bounds in bytes (``spark.sql.execution.arrow.maxBytesPerBatch``), and
+rows leave in batches too, so a task never holds more than that at a time.
 """
 
 from __future__ import annotations
