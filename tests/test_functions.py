@@ -73,6 +73,10 @@ def test_rounded_ratio_is_exact(spark, numbers, count):
     assert got == pytest.approx(want, rel=1e-15)
 
 
+def test_no_negative_zero(spark):
+    assert str(spark.range(1).select(times.hours(F.lit(-17).cast("bigint"))).first()[0]) == "0.0"
+
+
 def test_age_takes_the_given_moment(spark):
     opened = times.parse_time(F.lit("2024-01-01 00:00:00"))
     age = times.age_days(opened, times.as_time(datetime(2024, 1, 3, 13, 12)))

@@ -25,9 +25,12 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
+        self._opened: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name not in self._opened:
+            self._opened[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._opened[name]
 
     def stream(self, name: str) -> DataFrame:
         """The same table as a stream of files."""
@@ -55,11 +58,11 @@ def _snapshot(rows: DataFrame, name: str, **columns: str) -> DataFrame:
     """Rows in a domain's stored columns, by SQL expression; the rest is NULL."""
     domain = DOMAINS[name]
     fields = [
-        F.expr(columns.get(f, "NULL")).cast(domain.snapshot_schema[f].dataType).alias(f)
-        for f in domain.snapshot_columns
-        if f != "raw_payload"
+        f"CAST({columns.get(f.name, 'NULL')} AS {f.dataType.simpleString()}) AS {f.name}"
+        for f in domain.snapshot_schema
+        if f.name != "raw_payload"
     ]
-    return with_payload(rows.select(*fields), domain)
+    return with_payload(rows.selectExpr(*fields), domain)
 
 
 def _run_of(day: str, runs_per_day: int = 1, run: str = "0") -> str:
@@ -201,24 +204,21 @@ def problems(tables: Tables) -> DataFrame:
 def change_log(events: DataFrame) -> DataFrame:
     """Events as changes to tickets, one ticket per user; also usable on a stream."""
     at = second_text(F.col("ts"))
-    columns: dict[str, Column] = {
-        "sys_id": F.col("user_id"),
-        "number": F.expr("concat('EVT', lpad(event_id, 12, '0'))"),
-        "opened_at": F.lit("2024-01-01 00:00:00"),
-        "sys_updated_on": at,
-        "closed_at": F.expr(
-            "CASE WHEN event_type = 'purchase' THEN CAST(CAST(ts AS DATE) AS STRING) "
-            "WHEN event_type = 'error' THEN '' END"
-        ),
-        "state": F.col("event_type"),
-        "priority": F.expr("1 + event_id % 5"),
-        "category": F.expr("CASE WHEN event_id % 9 <> 0 THEN concat('group ', user_id % 7) END"),
-        "short_description": F.col("props"),
+    columns = {
+        "sys_id": "user_id",
+        "number": "concat('EVT', lpad(event_id, 12, '0'))",
+        "opened_at": "'2024-01-01 00:00:00'",
+        "sys_updated_on": "at",
+        "closed_at": """CASE WHEN event_type = 'purchase' THEN CAST(CAST(ts AS DATE) AS STRING)
+                             WHEN event_type = 'error' THEN '' END""",
+        "state": "event_type",
+        "priority": "1 + event_id % 5",
+        "category": "CASE WHEN event_id % 9 <> 0 THEN concat('group ', user_id % 7) END",
+        "short_description": "props",
     }
-    fields = DOMAINS["incident"].fields
-    return events.select(
+    return events.withColumn("at", at).selectExpr(
         "ts",
-        *(columns.get(f, F.lit(None)).cast("string").alias(f) for f in fields),
+        *(f"CAST({columns.get(f, 'NULL')} AS STRING) AS {f}" for f in DOMAINS["incident"].fields),
     )
 
 

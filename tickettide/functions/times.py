@@ -96,7 +96,8 @@ def rounded_ratio(numerator: Column, denominator: Column | int, places: int) ->
         num, den = numerator.cast("decimal(38,0)"), denominator.cast("decimal(38,0)")
     scale = 10 ** places
     rounded = F.call_function("div", F.abs(num) * F.lit(2 * scale) + den, den * F.lit(2))
-    return F.when(den != 0, F.signum(numerator) * rounded / F.lit(float(scale)))
+    sign = F.signum(numerator).cast("int")
+    return F.when(den != 0, sign * rounded / F.lit(float(scale)))
 
 
 def age_days(opened: Column, as_of: Column) -> Column:

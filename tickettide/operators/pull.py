@@ -176,22 +176,45 @@ def backfill(
         [F.col(c).desc_nulls_last() for c in (UPDATED, *others)],
     )
     following = F.lead("_day").over(Window.partitionBy("sys_id").orderBy("_day"))
-    until = F.least(
-        F.date_add("_day", lookback), F.date_sub("_next", 1), F.lit(last_day).cast("date")
-    )
-    start = F.greatest("_day", F.lit(first_day).cast("date"))
-    days = (
+    first, last = F.lit(first_day).cast("date"), F.lit(last_day).cast("date")
+    spans = (
         per_day.withColumn("_next", following)
-        .withColumns({"_from": start, "_until": until})
+        .withColumns({
+            "_from": F.greatest("_day", first),
+            "_until": F.least(F.date_add("_day", lookback), F.date_sub("_next", 1), last),
+        })
         .filter("_from <= _until")
-        .withColumn("_day", F.explode(F.sequence("_from", "_until")))
+        .drop("_next")
+    )
+    dates = F.explode(F.sequence("_from", "_until"))
+    seen = spans.withColumn("_date", dates).drop("_from", "_until")
+    if max_records is not None:
+        # One row per date of the range, so the broadcast has a known bound.
+        cutoffs = F.broadcast(_last_days_needed(spans, dates, max_records))
+        seen = seen.join(cutoffs, "_date").filter("_day <= _cutoff").drop("_cutoff")
+    stamped = stamp(
+        seen,
+        F.datediff("_date", first) + 1,
+        F.col("_date").cast("timestamp_ntz") + F.make_dt_interval(*map(F.lit, (0, 23, 59, 59))),
+    ).drop("_date", "_day")
+    return stamped if max_records is None else cap_per_day(stamped, max_records)
+
+
+def _last_days_needed(spans: DataFrame, dates: Column, max_records: int) -> DataFrame:
+    """For each date the last day of change that can still be among its oldest updates.
+
+    Spans are counted before they are repeated per date: what is repeated here
+    has at most one row per day of change and end of span.
+    """
+    counts = spans.groupBy("_day", "_from", "_until").agg(F.count(F.lit(1)).alias("n"))
+    per_date = counts.withColumn("_date", dates).groupBy("_date", "_day").agg(F.sum("n").alias("n"))
+    running = F.sum("n").over(Window.partitionBy("_date").orderBy("_day"))
+    reached = F.when(F.col("_running") >= max_records, F.col("_day"))
+    return (
+        per_date.withColumn("_running", running)
+        .groupBy("_date")
+        .agg(F.coalesce(F.min(reached), F.max("_day")).alias("_cutoff"))
     )
-    rows = stamp(
-        days,
-        F.datediff("_day", F.lit(first_day).cast("date")) + 1,
-        F.col("_day").cast("timestamp_ntz") + F.make_dt_interval(*map(F.lit, (0, 23, 59, 59))),
-    ).drop("_day", "_next", "_from", "_until")
-    return cap_per_day(rows, max_records) if max_records is not None else rows
 
 
 def cap_per_day(rows: DataFrame, max_records: int, salts: int = 64) -> DataFrame:
