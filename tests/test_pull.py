@@ -115,6 +115,19 @@ def test_backfill_equals_daily_pulls(changes, lookback, cap):
     assert got.count() == got.select("snapshot_date", "sys_id").distinct().count()
 
 
+def test_backfill_reads_only_the_days_it_needs(spark, changes, landed, tmp_path):
+    _, frame = changes
+    odd = landed("incident", {"sys_id": "z", "number": "Z", "sys_updated_on": "2024-01-21T01:00:00+02:00"},
+                 {"sys_id": "y", "number": "Y", "sys_updated_on": "2024-01-19 "})
+    frame.unionByName(odd).write.parquet(str(tmp_path / "log"))
+    log = spark.read.parquet(str(tmp_path / "log"))
+    got = pull.backfill(log, INCIDENT, "2024-01-20", "2024-01-20", 2)
+    assert got.filter("sys_id = 'z'").count() == 1
+    pushed = got._jdf.queryExecution().executedPlan().toString().split("PushedFilters", 1)[1]
+    assert "GreaterThanOrEqual(sys_updated_on,2024-01-17)" in pushed
+    assert "LessThanOrEqual(sys_updated_on,2024-01-22)" in pushed
+
+
 def test_a_hot_ticket_is_cut_down_before_the_shuffle(changes):
     _, frame = changes
     stamped = pull.stamp(frame, 1, "2024-03-01 00:00:00")

@@ -168,15 +168,20 @@ def backfill(
     """
     lookback = max(int(since_days), 1)
     others = [f for f in domain.fields if f not in ("sys_id", UPDATED)]
+    first, last = F.lit(first_day).cast("date"), F.lit(last_day).cast("date")
+    # Text bounds for the scan, a day wide on either side for times with an offset.
+    near = F.col(UPDATED).between(
+        F.date_sub(first, lookback + 1).cast("string"), F.date_add(last, 2).cast("string")
+    )
     per_day = first_per_key(
-        changes.select(*domain.fields)
+        changes.filter(near)
+        .select(*domain.fields)
         .withColumn("_day", parse_time(F.col(UPDATED)).cast("date"))
-        .filter(F.col("_day").isNotNull() & (F.col("_day") <= F.lit(last_day).cast("date"))),
+        .filter(F.col("_day") <= last),
         ["sys_id", "_day"],
         [F.col(c).desc_nulls_last() for c in (UPDATED, *others)],
     )
     following = F.lead("_day").over(Window.partitionBy("sys_id").orderBy("_day"))
-    first, last = F.lit(first_day).cast("date"), F.lit(last_day).cast("date")
     spans = (
         per_day.withColumn("_next", following)
         .withColumns({
