@@ -1,6 +1,7 @@
 from datetime import date, datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from tickettide.operators.pull import Snapshot, stamp
 from tickettide.plans.store import SnapshotStore, run_log_rows
@@ -86,6 +87,31 @@ def test_settled_dates_are_read_without_a_shuffle_by_ticket(store, landed):
     assert "run_id" in plan.split("PartitionFilters", 1)[1].split("]", 1)[0]
 
 
+def test_a_large_day_is_written_by_several_tasks(spark, store, landed, tmp_path):
+    def files(folder):
+        return len([f for f in store.spark.read.parquet(f"{store.root}/runs/incident").inputFiles() if folder in f])
+
+    rows = landed("incident", {"short_description": "x" * 40}).crossJoin(spark.range(20_000)).withColumn(
+        "sys_id", F.sha2(F.col("id").cast("string"), 256)).drop("id")
+    small = rows.limit(10)
+    # Sizes at which the little data of a test counts as large.
+    sizes = {
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256k",
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
+    }
+    for setting, size in sizes.items():
+        spark.conf.set(setting, size)
+    try:
+        both = stamp(rows, 1, DAY).unionByName(stamp(small, 2, datetime(2024, 1, 11)))
+        store.write_runs({"incident": both}, since_days=1)
+        store.store(Snapshot({"incident": rows}, datetime(2024, 1, 12)), run_id=3)
+    finally:
+        for setting in sizes:
+            spark.conf.unset(setting)
+    assert files("run_id=1/") > 2 and files("run_id=3/") > 2
+    assert store.current("incident").count() == 40_010
+
+
 def test_writing_a_run_again_changes_nothing(store, landed):
     rows = snapshot(landed, {"sys_id": "1", "state": "a"}, {"sys_id": "2", "state": "b"})
     store.store(rows, run_id=7)

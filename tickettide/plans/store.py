@@ -101,14 +101,17 @@ class SnapshotStore:
             self._present.add(folder)
         return self.spark.read.schema(schema).parquet(path).select(*schema.fieldNames())
 
-    def _write(self, rows: DataFrame, folder: str, *partitions: str) -> None:
+    def _write(
+        self, rows: DataFrame, folder: str, *partitions: str, one_partition: bool = False
+    ) -> None:
         """Replace just the partitions the rows belong to.
 
-        The rebalance hint lets Spark split a large partition over several
-        tasks and files and put small ones together.
+        Rows of several partitions are rebalanced: Spark splits a large one
+        over several tasks and files and puts small ones together. Rows of one
+        partition are written as they come, which saves that shuffle.
         """
         (
-            rows.hint("rebalance", *partitions)
+            (rows if one_partition else rows.hint("rebalance", *partitions))
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy(*partitions)
@@ -121,11 +124,13 @@ class SnapshotStore:
     def next_run_id(self) -> int:
         return (self.run_log().agg(F.max("id")).first()[0] or 0) + 1
 
-    def _write_tickets(self, stamped: Mapping[str, DataFrame]) -> None:
+    def _write_tickets(self, stamped: Mapping[str, DataFrame], one_run: bool = False) -> None:
         for name, rows in stamped.items():
             domain = DOMAINS[name]
             winners = last_write_wins(with_payload(rows, domain), domain)
-            self._write(winners, f"runs/{name}", "snapshot_date", "run_id")
+            self._write(
+                winners, f"runs/{name}", "snapshot_date", "run_id", one_partition=one_run
+            )
 
     def write_runs(
         self, stamped: Mapping[str, DataFrame], since_days: int, notes: str | None = None
@@ -144,9 +149,9 @@ class SnapshotStore:
         if as_of is None:
             as_of = datetime.now(timezone.utc).replace(tzinfo=None)
         stamped = {n: stamp(rows, run, as_of) for n, rows in snapshot.frames.items()}
-        self._write_tickets(stamped)
+        self._write_tickets(stamped, one_run=True)
         log = self._single_run_log(stamped, run, as_of, snapshot)
-        self._write(log, "run_log", "id")
+        self._write(log, "run_log", "id", one_partition=True)
         return self.run_log().filter(F.col("id") == run)
 
     def _single_run_log(self, stamped, run, as_of, snapshot) -> DataFrame:
@@ -168,7 +173,7 @@ class SnapshotStore:
     def run_rows(self, name: str, after: int = 0) -> DataFrame:
         """Rows of all finished runs after a given one, older ones of the same day included.
 
-        The run is a partition column, so earlier runs are not even listed.
+        The run is a partition column, so files of earlier runs are not read.
         """
         finished = self.run_log().filter(F.col("id") > after).select(F.col("id").alias("run_id"))
         rows = self._read(
