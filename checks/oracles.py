@@ -548,6 +548,13 @@ def _statements() -> dict[str, str]:
         WHEN 1 THEN '[non-mail item] no received time'
         ELSE '[' || strftime(received, '%Y-%m-%d %H:%M:%S') || '] attachments could not be read' END
         AS error FROM staged WHERE stage IN (1, 3)"""
+    whole = "bool_and(TRY_CAST({0} AS BIGINT) IS NOT NULL AND CAST({0} AS VARCHAR) NOT LIKE '%.%')"
+    number = "bool_and(TRY_CAST({0} AS DOUBLE) IS NOT NULL)"
+    sql["workbook_types"] = " UNION ALL ".join(
+        f"""SELECT '{name}' AS name, CASE WHEN {whole.format(column)} THEN 'bigint'
+            WHEN {number.format(column)} THEN 'double' ELSE 'string' END AS type FROM customer"""
+        for name, column in (("cust_key", "c_custkey"), ("name", "c_name"),
+                             ("balance", "c_acctbal"), ("segment", "c_mktsegment")))
     sql["workbook_load"] = """
         SELECT 'customers-' || c_custkey // 200 || '.xlsx' AS path, c_custkey AS cust_key,
                c_name AS name, c_acctbal AS balance, c_mktsegment AS segment FROM customer"""

@@ -23,7 +23,12 @@ from tickettide.plans.sync import sync, sync_report
 from tickettide.plans.workspace import new_folder
 from tickettide.schema import DOMAINS
 from tickettide.sources.landed import records_from_replies
-from tickettide.sources.workbooks import clean_headers, decode_workbooks, typed_rows
+from tickettide.sources.workbooks import (
+    clean_headers,
+    column_types,
+    decode_workbooks,
+    typed_rows,
+)
 from tickettide.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -598,8 +603,7 @@ def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         })
 
 
-@_query
-def workbook_load(tables):
+def _workbook_rows(tables: Tables) -> DataFrame:
     """Customers packed into workbooks of 200 rows, then read back."""
     books = (
         tables.customer.groupBy(F.floor(F.col("c_custkey") / WORKBOOK_ROWS).alias("book"))
@@ -615,9 +619,18 @@ def workbook_load(tables):
         )
         .mapInPandas(_pack, "path string, content binary")
     )
-    rows = clean_headers(decode_workbooks(books))
+    return clean_headers(decode_workbooks(books))
+
+
+@_query
+def workbook_types(tables):
+    return column_types(_workbook_rows(tables))
+
+
+@_query
+def workbook_load(tables):
     return typed_rows(
-        rows,
+        _workbook_rows(tables),
         {"cust_key": "bigint", "name": "string", "balance": "double", "segment": "string"},
     ).drop("row_number")
 

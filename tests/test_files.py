@@ -80,6 +80,17 @@ def test_long_sheets_come_in_batches(spark, monkeypatch):
     assert [dict(c)["n"] for b in got for c in b.column(2).to_pylist()] == [str(i) for i in range(50)]
 
 
+def test_column_types(spark, folder):
+    sales = workbooks.read_workbooks(spark, folder)
+    kinds = {r.name: r.type for r in workbooks.column_types(sales).collect()}
+    assert kinds == {
+        "Invoice Date": "timestamp_ntz", "Customer": "string", "Amount": "bigint", "Name": "string",
+        "When & how": "timestamp_ntz", "Unnamed: 2": "boolean", "Name.1": "double"}
+    typed = workbooks.typed_rows(sales, kinds)
+    assert typed.agg({"Amount": "sum"}).first()[0] == 10200 and typed.count() == 5
+    assert workbooks.typed_rows(sales, {"no such header": "string"}).first()["no such header"] is None
+
+
 def test_from_workbook_to_table(spark, folder, tmp_path):
     rows = workbooks.clean_headers(workbooks.read_workbooks(spark, folder).filter("path LIKE '%sales%'"))
     typed = workbooks.typed_rows(rows, {"invoice_date": "date", "customer": "string", "amount": "bigint"})

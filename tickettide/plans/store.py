@@ -32,6 +32,7 @@ from tickettide.operators.upsert import (
 )
 from tickettide.schema import DOMAINS, RUN_LOG_SCHEMA, Domain
 
+# Fixed value: a run is logged only once it has succeeded.
 STATUS_SUCCESS = "success"
 
 _SETTLED_LOG_SCHEMA = T.StructType([
@@ -49,7 +50,7 @@ def with_payload(rows: DataFrame, domain: Domain) -> DataFrame:
 
 
 def run_message(counts: Mapping[str, Column]) -> Column:
-    """The run log's note on how much was pulled."""
+    """The run log's note on how much was pulled. Its wording is a fixed value."""
     number = {name: counts[name].cast("string") for name in DOMAINS}
     return F.concat(
         F.lit("Pulled "), number["incident"], F.lit(" incidents and "),

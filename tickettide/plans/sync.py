@@ -25,7 +25,7 @@ def sync(
 
 
 def sync_report(run: DataFrame) -> DataFrame:
-    """One line of text per run."""
+    """One line of text per run. Its wording is a fixed value."""
     return run.select(
         F.format_string(
             "Sync succeeded: snapshot_date=%s incidents=%s requests=%s changes=%s problems=%s",

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickettide.functions.times import parse_time
+
 ROW_SCHEMA = "path string, row_number bigint, cells map<string,string>, error string"
 BATCH_ROWS = 10_000
 
@@ -55,6 +57,31 @@ def typed_rows(rows: DataFrame, columns: Mapping[str, str]) -> DataFrame:
     )
 
 
+def column_types(rows: DataFrame) -> DataFrame:
+    """The narrowest type that fits all texts of each header: (name, type).
+
+    Numbers, booleans and times are recognised; anything else, and a column
+    without any text, is a string.
+    """
+    value = F.col("value")
+    fits = {
+        "bigint": value.try_cast("bigint").isNotNull(),
+        "double": value.try_cast("double").isNotNull(),
+        "boolean": value.isin("true", "false"),
+        "timestamp_ntz": parse_time(value).isNotNull(),
+    }
+    kind = F
+    for name in fits:
+        kind = kind.when(F.col(name), name)
+    texts = rows.filter(F.col("error").isNull()).select(F.explode("cells").alias("name", "value"))
+    return (
+        texts.groupBy("name")
+        .agg(*(F.coalesce(F.every(F.when(value.isNotNull(), fit)), F.lit(False)).alias(name)
+               for name, fit in fits.items()))
+        .select("name", kind.otherwise("string").alias("type"))
+    )
+
+
 def clean_headers(rows: DataFrame) -> DataFrame:
     """Headers in lower case, trimmed, with underscores for spaces."""
     return rows.withColumn(
