@@ -52,6 +52,9 @@ def test_a_pull_without_rows_is_logged(store, landed):
     second = sync(store, {n: landed(n) for n in DOMAINS}, DAY)
     assert [(r.id, r.incident_count) for r in store.run_log().orderBy("id").collect()] == [(1, 0), (2, 0)]
     assert second.first().id == 2
+    register_store(store)
+    newest = store.spark.sql("SELECT * FROM v_snapshot_run_summary LIMIT 200")
+    assert [r.id for r in newest.collect()] == [2, 1]
 
 
 def snapshot(landed, *rows, as_of=DAY, notes=None):

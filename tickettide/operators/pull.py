@@ -46,7 +46,7 @@ def page_info(page: DataFrame, limit: int, offset: int = 0) -> DataFrame:
     """Row count of a page, where the next one starts and whether there may be one."""
     return page.agg(F.count(F.lit(1)).alias("count")).select(
         "count",
-        (F.col("count") + F.lit(max(offset, 0))).alias("next_offset"),
+        (F.col("count") + F.lit(offset)).alias("next_offset"),
         (F.col("count") == limit).alias("has_more"),
     )
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tickettide.operators import trends
 from tickettide.operators.upsert import latest_per_ticket
@@ -39,7 +40,7 @@ def view_frames(
             snapshots["change_request"]
         ),
         "v_problem_trends_daily": trends.problem_trends_daily(snapshots["problem"]),
-        "v_snapshot_run_summary": run_log,
+        "v_snapshot_run_summary": run_log.orderBy(F.desc("id")),
     }
     tables = {DOMAINS[name].table: rows for name, rows in snapshots.items()}
     return tables | {RUN_LOG_TABLE: run_log} | views
