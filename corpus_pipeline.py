@@ -23,9 +23,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go; a document left without any line goes with them."""
-    deduped = line_dedup.dedup_lines(docs)
-    return deduped.where((F.length("text") > 0) | F.col("text").isNull())
+    """Repeated lines go; a document that loses every line stays, with an empty text."""
+    return line_dedup.dedup_lines(docs)
 
 
 def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
