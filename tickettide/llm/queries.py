@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tickettide.llm import decontamination, line_dedup, mixing, quality, simhash, toxicity
+from tickettide.llm import archives, decontamination, html_text, line_dedup, mixing, quality, simhash, token_counts, toxicity, vptree
 from tickettide.llm.labelled import fold
 
 
@@ -16,6 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def archived_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archives.archive_round_trip(table(spark, sf_dir, "pages"))
+
+
 def benchmark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.array_join(F.array_sort("items"), ",").cast("binary"), 256)
@@ -40,6 +44,18 @@ def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", F.col("pattern_size").alias("source_size"), F.col("quota").alias("target"), "taken")
 
 
+def edited_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.edited_counts(table(spark, sf_dir, "documents"))
+
+
+def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vptree.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = fold(toxicity.FOLDS)
     model = toxicity.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), allowed=part != toxicity.HELD_OUT)
@@ -55,10 +71,14 @@ def deduped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_warc_from_arc": archived_pages,
         "op2_benchmark_decontamination": benchmark_hits,
         "op3_quality_classifier": quality_scores,
         "op4_simhash_near_dedup": simhash_groups,
         "op5_source_mixing": source_mix,
+        "op6_edit_aware_token_counts": edited_token_counts,
+        "op7_vantage_point_search": nearest_vectors,
+        "op8_html_text": page_texts,
         "op9_toxicity": toxicity_scores,
         "op10_line_dedup": deduped_lines,
         "pipeline": corpus_pipeline.run,

@@ -31,6 +31,40 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM docs LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
 """
 
+# Base32 of the SHA-1's 160 bits, twenty bits (five hex digits) at a time.
+_DIGIT = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((v >> {0}) & 31) AS INTEGER) + 1, 1)"
+_BASE32 = (
+    "list_reduce(list_transform([0, 1, 2, 3, 4, 5, 6, 7], k -> list_reduce(list_transform([CAST('0x' || substr(hex, 5 * k + 1, 5) AS BIGINT)], v -> "
+    + " || ".join(_DIGIT.format(n) for n in (15, 10, 5, 0)) + "), (a, b) -> a || b)), (a, b) -> a || b)"
+)
+
+ARCHIVED_PAGES = f"""
+WITH pages_ AS (
+  SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages
+), digests AS (
+  SELECT page_id, payload_bytes, {_BASE32} AS payload_digest,
+         min(page_id) OVER (PARTITION BY hex, payload_bytes) AS first_id FROM pages_
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM digests
+"""
+
+NEAREST_VECTORS = """
+WITH vectors AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v) AS score
+  FROM vectors q JOIN vectors c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+), ranked AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM scored
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
 STATEMENTS = {
+    "op1_warc_from_arc": ARCHIVED_PAGES,
+    "op7_vantage_point_search": NEAREST_VECTORS,
     "op2_benchmark_decontamination": BENCHMARK_HITS,
 }
