@@ -32,10 +32,10 @@ FROM docs LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
 """
 
 # Base32 of the SHA-1's 160 bits, twenty bits (five hex digits) at a time.
-_DIGIT = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((v >> {0}) & 31) AS INTEGER) + 1, 1)"
-_BASE32 = (
-    "list_reduce(list_transform([0, 1, 2, 3, 4, 5, 6, 7], k -> list_reduce(list_transform([CAST('0x' || substr(hex, 5 * k + 1, 5) AS BIGINT)], v -> "
-    + " || ".join(_DIGIT.format(n) for n in (15, 10, 5, 0)) + "), (a, b) -> a || b)), (a, b) -> a || b)"
+_TWENTY = "CAST('0x' || substr(hex, {0}, 5) AS BIGINT)"
+_BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((({_TWENTY.format(5 * k + 1)} >> {n}) & 31) AS INTEGER) + 1, 1)"
+    for k in range(8) for n in (15, 10, 5, 0)
 )
 
 ARCHIVED_PAGES = f"""
