@@ -223,8 +223,7 @@ def _pulled(name: str, rows: str, as_of: str, since_days: int = 30) -> str:
     return f"""
     SELECT CAST(1 AS BIGINT) AS run_id, DATE '{as_of[:10]}' AS snapshot_date,
            TIMESTAMP '{as_of}' AS pulled_at, {_fields(name)}
-    FROM {rows} WHERE sys_updated_on >= CAST(DATE '{as_of[:10]}' - {since_days} AS VARCHAR)
-    ORDER BY sys_updated_on NULLS FIRST, sys_id LIMIT {DOMAINS[name].max_records}"""
+    FROM {rows} WHERE sys_updated_on >= CAST(DATE '{as_of[:10]}' - {since_days} AS VARCHAR)"""
 
 
 OPEN = "COALESCE(closed_at, '') = ''"
@@ -523,31 +522,36 @@ def _statements() -> dict[str, str]:
     sql["top_request_types"] = f"""{req} SELECT {ITEM} AS request_type, count(*) AS requests
         FROM request GROUP BY ALL ORDER BY requests DESC, request_type LIMIT 15"""
     sql["run_summary"] = f"{_with(RUN_LOG)} SELECT * FROM run_log ORDER BY id DESC LIMIT 200"
+    sql["store_retry"] = f"""{_with(CHANGE)} SELECT CAST(1 AS BIGINT) AS run_id, DATE '2024-02-01' AS snapshot_date,
+        TIMESTAMP '2024-02-01 09:30:00' AS pulled_at, sys_id, 'change_request' AS domain
+        FROM change WHERE risk = '2' GROUP BY sys_id"""
+    sql["fail_if_exists"] = "SELECT * FROM supplier"
     sql["object_profile"] = " UNION ALL ".join(_profile(table) for table in ALL_TABLES)
 
     # mails and files
     sql["folder_messages"] = f"""{msg} SELECT folder, sender, subject, received FROM messages
         WHERE folder ILIKE 'reports'"""
-    sql["attachment_scan"] = f"""{msg} SELECT * FROM (
-        SELECT subject, sender, strftime(received, '%Y-%m-%d %H:%M:%S') AS received,
-               unnest(attachments) AS filename FROM staged WHERE stage = 6)
-        WHERE regexp_matches(lower(filename), '\\.xlsx?$')"""
-    sql["scan_diagnostics"] = f"""{msg}, attached AS (
-        SELECT regexp_matches(lower(filename), '\\.xlsx?$') AS wanted
-        FROM (SELECT unnest(attachments) AS filename FROM staged WHERE stage = 6))
-        SELECT 'Inbox' AS folder_name, '2024-01-31 00:00' AS date_from, '2024-03-01 00:00' AS date_to,
-               count(*) AS total_items, {_tally('stage = 1', 'skipped_non_mail')},
-               {_tally('stage = 2', 'skipped_too_old')}, {_tally('stage > 2', 'in_date_range')},
-               {_tally('stage = 4', 'skipped_no_attachment')},
-               {_tally('stage = 5', 'skipped_subject_filter')},
-               (SELECT count(*) FROM attached WHERE NOT wanted) AS skipped_non_excel,
-               (SELECT count(*) FROM attached WHERE wanted) AS excel_attachments_found,
-               {_tally('stage IN (1, 3)', 'error_count')}
-        FROM staged"""
-    sql["scan_errors"] = f"""{msg} SELECT subject, sender, CASE stage
-        WHEN 1 THEN '[non-mail item] no received time'
-        ELSE '[' || strftime(received, '%Y-%m-%d %H:%M:%S') || '] attachments could not be read' END
-        AS error FROM staged WHERE stage IN (1, 3)"""
+    for prefix, folder in (("", "Inbox"), ("folder_", "Reports")):
+        sql[f"{prefix}attachment_scan"] = f"""{msg} SELECT * FROM (
+            SELECT subject, sender, strftime(received, '%Y-%m-%d %H:%M:%S') AS received,
+                   unnest(attachments) AS filename FROM staged WHERE stage = 6 AND folder = '{folder}')
+            WHERE regexp_matches(lower(filename), '\\.xlsx?$')"""
+        sql[f"{prefix}scan_diagnostics"] = f"""{msg}, attached AS (
+            SELECT regexp_matches(lower(filename), '\\.xlsx?$') AS wanted
+            FROM (SELECT unnest(attachments) AS filename FROM staged WHERE stage = 6 AND folder = '{folder}'))
+            SELECT '{folder}' AS folder_name, '2024-01-31 00:00' AS date_from, '2024-03-01 00:00' AS date_to,
+                   count(*) AS total_items, {_tally('stage = 1', 'skipped_non_mail')},
+                   {_tally('stage = 2', 'skipped_too_old')}, {_tally('stage > 2', 'in_date_range')},
+                   {_tally('stage = 4', 'skipped_no_attachment')},
+                   {_tally('stage = 5', 'skipped_subject_filter')},
+                   (SELECT count(*) FROM attached WHERE NOT wanted) AS skipped_non_excel,
+                   (SELECT count(*) FROM attached WHERE wanted) AS excel_attachments_found,
+                   {_tally('stage IN (1, 3)', 'error_count')}
+            FROM staged WHERE folder = '{folder}'"""
+        sql[f"{prefix}scan_errors"] = f"""{msg} SELECT subject, sender, CASE stage
+            WHEN 1 THEN '[non-mail item] no received time'
+            ELSE '[' || strftime(received, '%Y-%m-%d %H:%M:%S') || '] attachments could not be read' END
+            AS error FROM staged WHERE stage IN (1, 3) AND folder = '{folder}'"""
     whole = "bool_and(TRY_CAST({0} AS BIGINT) IS NOT NULL AND CAST({0} AS VARCHAR) NOT LIKE '%.%')"
     number = "bool_and(TRY_CAST({0} AS DOUBLE) IS NOT NULL)"
     sql["workbook_types"] = " UNION ALL ".join(
@@ -560,7 +564,7 @@ def _statements() -> dict[str, str]:
                c_name AS name, c_acctbal AS balance, c_mktsegment AS segment FROM customer"""
 
     # streams
-    sql["stream_sync"] = f"""{_with(CHANGE_LOG)} SELECT CAST(1 AS BIGINT) AS run_id,
+    sql["stream_sync"] = f"""{_with(CHANGE_LOG)} SELECT CAST(1 + CAST(sys_id AS BIGINT) % 2 AS BIGINT) AS run_id,
         DATE '2024-01-31' AS snapshot_date, TIMESTAMP '{EVENTS_AS_OF}' AS pulled_at,
         {_fields('incident')} FROM change_log QUALIFY row_number() OVER
             (PARTITION BY sys_id ORDER BY sys_updated_on DESC, number DESC) = 1"""

@@ -16,7 +16,7 @@ from tickettide.sources.landed import read_extract, read_pages, records_from_rep
 
 cloudpickle.register_pickle_by_value(workbooks)
 
-SALES = [["2026-01-01", "Acme Corp", "1200"], ["2026-01-02", "Globex", "3400"], ["2026-01-03", "Initech", "5600"]]
+SALES = [["2025-07-14", "Harbour Mill", "810"], ["2025-07-19", "Old Quarry", "95"], ["2025-08-02", "Tin Lantern", "2240"]]
 
 
 def full_workbook() -> bytes:
@@ -51,7 +51,7 @@ def full_workbook() -> bytes:
 @pytest.fixture
 def folder(tmp_path):
     (tmp_path / "in" / "deep").mkdir(parents=True)
-    (tmp_path / "in" / "sales_q1_2026.xlsx").write_bytes(encode_workbook(["Invoice Date", "Customer", "Amount"], SALES))
+    (tmp_path / "in" / "sales_q3_2025.xlsx").write_bytes(encode_workbook(["Invoice Date", "Customer", "Amount"], SALES))
     (tmp_path / "in" / "deep" / "Full.XLSX").write_bytes(full_workbook())
     (tmp_path / "in" / "old.xls").write_bytes(b"\xd0\xcf\x11\xe0 not a zip file")
     (tmp_path / "in" / "notes.txt").write_text("no workbook")
@@ -87,7 +87,7 @@ def test_column_types(spark, folder):
         "Invoice Date": "timestamp_ntz", "Customer": "string", "Amount": "bigint", "Name": "string",
         "When & how": "timestamp_ntz", "Unnamed: 2": "boolean", "Name.1": "double"}
     typed = workbooks.typed_rows(sales, kinds)
-    assert typed.agg({"Amount": "sum"}).first()[0] == 10200 and typed.count() == 5
+    assert typed.agg({"Amount": "sum"}).first()[0] == 3145 and typed.count() == 5
     assert workbooks.typed_rows(sales, {"no such header": "string"}).first()["no such header"] is None
 
 
@@ -95,10 +95,10 @@ def test_from_workbook_to_table(spark, folder, tmp_path):
     rows = workbooks.clean_headers(workbooks.read_workbooks(spark, folder).filter("path LIKE '%sales%'"))
     typed = workbooks.typed_rows(rows, {"invoice_date": "date", "customer": "string", "amount": "bigint"})
     name = typed.select(table_name(typed.path)).first()[0]
-    assert name == "sales_q1_2026"
+    assert name == "sales_q3_2025"
     assert load_table(typed.drop("path", "row_number"), str(tmp_path / name)) == 3
     back = spark.read.parquet(str(tmp_path / name))
-    assert back.count() == 3 and back.agg({"amount": "sum"}).first()[0] == 10200
+    assert back.count() == 3 and back.agg({"amount": "sum"}).first()[0] == 3145
 
 
 def test_load_modes(spark, tmp_path):
@@ -139,16 +139,16 @@ def log_of(spark, *rows):
 
 def test_ingest_log(spark):
     load = "filename string, received_at string, target_table string, rows_loaded long"
-    first = spark.createDataFrame([("report.xlsx", "2026-03-01 09:00:00", "report", 50)] * 2, load)
-    log = ingest_log.record_ingest(first, log_of(spark), "2026-03-05 10:00:00")
+    first = spark.createDataFrame([("tides.xlsx", "2025-05-04 07:15:00", "tides", 12)] * 2, load)
+    log = ingest_log.record_ingest(first, log_of(spark), "2025-05-09 18:00:00")
     assert [tuple(r) for r in log.collect()] == [
-        ("report.xlsx", "2026-03-01 09:00:00", "report", 50, "2026-03-05 10:00:00")]
-    later = spark.createDataFrame([("report.xlsx", "2026-03-01 09:00:00", "report", 99),
-                                   ("report.xlsx", "2026-03-02 09:00:00", "report", 7)], load)
+        ("tides.xlsx", "2025-05-04 07:15:00", "tides", 12, "2025-05-09 18:00:00")]
+    later = spark.createDataFrame([("tides.xlsx", "2025-05-04 07:15:00", "tides", 31),
+                                   ("tides.xlsx", "2025-05-06 07:15:00", "tides", 4)], load)
     assert ingest_log.already_ingested(later, log).count() == 1
-    assert ingest_log.not_yet_ingested(later, log).first().rows_loaded == 7
+    assert ingest_log.not_yet_ingested(later, log).first().rows_loaded == 4
     after = ingest_log.record_ingest(later, log)
-    assert sorted((r.received_at[:10], r.rows_loaded) for r in after.collect()) == [("2026-03-01", 50), ("2026-03-02", 7)]
+    assert sorted((r.received_at[:10], r.rows_loaded) for r in after.collect()) == [("2025-05-04", 12), ("2025-05-06", 4)]
     assert ingest_log.record_ingest(later, after).count() == 2
 
 

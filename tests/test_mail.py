@@ -15,7 +15,7 @@ def message(*attachments, subject="Monthly Report", days=1, folder="Inbox", send
 @pytest.fixture
 def scan(spark):
     def run(*messages, **options):
-        staged = mail.with_stage(spark.createDataFrame(list(messages), SCHEMA), NOW, **options)
+        staged = mail.scan(spark.createDataFrame(list(messages), SCHEMA), "", NOW, **options)
         found = sorted(tuple(r) for r in mail.found_attachments(staged).collect())
         return found, mail.scan_diagnostics(staged, "", NOW).first(), mail.scan_errors(staged).collect()
     return run
@@ -66,5 +66,8 @@ def test_folders(spark):
     assert mail.folder_messages(mails).first().folder == "Inbox"
     mail.require_folder(mails, "REPORTS")
     mail.require_folder(mails, "")
-    with pytest.raises(ValueError, match="'DoesNotExist'.*'Inbox', 'Reports'"):
+    assert sorted(r.folder for r in mail.folder_names(mails).collect()) == ["Inbox", "Reports"]
+    counts = mail.scan_diagnostics(mail.scan(mails, "reports", NOW), "reports", NOW).first()
+    assert (counts.folder_name, counts.total_items) == ("Reports", 1)
+    with pytest.raises(ValueError, match="'DoesNotExist'"):
         mail.require_folder(mails, "DoesNotExist")

@@ -126,12 +126,37 @@ def test_writing_a_run_again_changes_nothing(store, landed):
 def test_an_unfinished_run_is_not_seen(store, landed):
     store.store(snapshot(landed, {"sys_id": "1", "state": "a"}))
     broken = stamp(landed("incident", {"sys_id": "1", "state": "half"}), 2, DAY)
-    store._write_tickets({"incident": broken})
+    store._write_tickets({"incident": broken}, "broken")
     assert content(store) == [("10", "1", "a", 1)]
     store.store(snapshot(landed, {"sys_id": "1", "state": "whole"}), run_id=2)
     assert content(store) == [("10", "1", "whole", 2)]
 
 
+@pytest.mark.parametrize("case", ["another day", "domain left out", "domain empty"])
+def test_nothing_of_a_failed_attempt_is_seen(store, landed, case):
+    """The retry of a run decides alone what the run holds."""
+    failed = {n: stamp(landed(n, {"sys_id": "1", "state": "failed"}), 1, DAY) for n in ("incident", "problem")}
+    store._write_tickets(failed, "failed")
+    again = {"incident": landed("incident", {"sys_id": "2", "state": "whole"})}
+    if case == "domain empty":
+        again["problem"] = landed("problem")
+    as_of = datetime(2024, 1, 11, 6) if case == "another day" else DAY
+    store.store(Snapshot(again, as_of), run_id=1)
+    assert content(store) == [(str(as_of.day), "2", "whole", 1)]
+    assert content(store, "problem") == []
+    assert store.run_log().first().problem_count == 0
+
+
+def test_the_json_copy_is_not_shuffled(spark, store, landed):
+    from tickettide.operators.upsert import last_write_wins
+    from tickettide.plans.store import with_payload
+
+    rows = stamp(landed("incident", {"sys_id": "1"}), 1, DAY)
+    plan = with_payload(last_write_wins(rows, DOMAINS["incident"]), DOMAINS["incident"])._jdf.queryExecution().executedPlan().toString()
+    above, below = plan.split("Exchange", 1)
+    assert "raw_payload" in above and "raw_payload" not in below
+
+
 def test_several_runs_in_one_write(store, landed):
     rows = landed("incident", {"sys_id": "1"}, {"sys_id": "2"})
     both = stamp(rows, 1, DAY).unionByName(stamp(rows, 2, datetime(2024, 1, 11)))

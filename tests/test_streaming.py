@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickettide import adapters as a
+from tickettide.operators.pull import Snapshot
 from tickettide.plans.store import SnapshotStore
 from tickettide.schema import DOMAINS
 from tickettide.sources.landed import stream_extract
@@ -56,17 +57,23 @@ def test_files_come_through_once(spark, tmp_path):
     def run():
         files = spark.readStream.schema(FILES).parquet(str(tmp_path / "in" / "*"))
         jobs.stream_ingest_once(files, str(tmp_path / "keys"), str(tmp_path / "cp")).awaitTermination()
-        return sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "keys")).collect())
+        return sorted(tuple(r) for r in jobs.ingested_keys(spark, str(tmp_path / "keys")).collect())
 
     hot = ("hot.xlsx", "2024-01-01 10:00:00")
     land("a", *[hot] * 50, ("b.xlsx", "2024-01-01 10:00:00"), ("b.xlsx", "2024-01-01 11:00:00"))
     first = sorted([hot, ("b.xlsx", "2024-01-01 10:00:00"), ("b.xlsx", "2024-01-01 11:00:00")])
     assert run() == first
-    land("b", hot, ("c.xlsx", "2024-01-01 10:30:00"))
-    assert run() == sorted([*first, ("c.xlsx", "2024-01-01 10:30:00")])
+    land("b", hot, ("c.xlsx", "2024-01-01 10:30:00"), ("late.xlsx", "2001-01-01 00:00:00"))
+    both = sorted([*first, ("c.xlsx", "2024-01-01 10:30:00"), ("late.xlsx", "2001-01-01 00:00:00")])
+    assert run() == both
+    # A new checkpoint sees all files again and adds none.
+    files = spark.readStream.schema(FILES).parquet(str(tmp_path / "in" / "*"))
+    jobs.stream_ingest_once(files, str(tmp_path / "keys"), str(tmp_path / "other")).awaitTermination()
+    assert run() == both
 
 
-def test_hourly_trend_drops_rows_behind_the_watermark(spark, tmp_path):
+def test_hourly_trend(spark, tmp_path):
+    """Append drops rows behind the watermark, update adds them up."""
     schema = "pulled_at timestamp_ntz, category string, state string, closed_at string"
 
     def land(name, *moments):
@@ -76,17 +83,40 @@ def test_hourly_trend_drops_rows_behind_the_watermark(spark, tmp_path):
     def run(mode):
         tickets = spark.readStream.schema(schema).parquet(str(tmp_path / "in" / "*"))
         jobs.stream_hourly_trend(tickets, str(tmp_path / mode), str(tmp_path / f"cp-{mode}"), mode).awaitTermination()
-        return sorted((str(r.hour_start), r.category, r.ticket_count, r.open_count)
-                      for r in spark.read.parquet(str(tmp_path / mode)).collect())
+        path = str(tmp_path / mode)
+        rows = spark.read.parquet(path) if mode == "append" else jobs.hourly_totals(spark, path)
+        return sorted((str(r.hour_start), r.category, r.ticket_count, r.open_count) for r in rows.collect())
 
     land("a", "2024-01-01 10:05:00", "2024-01-01 10:55:00", "2024-01-04 00:00:00")
     assert run("append") == [("2024-01-01 10:00:00", "Uncategorised", 2, 2)]
-    assert run("complete") == [("2024-01-01 10:00:00", "Uncategorised", 2, 2),
-                               ("2024-01-04 00:00:00", "Uncategorised", 1, 1)]
+    assert run("update") == [("2024-01-01 10:00:00", "Uncategorised", 2, 2),
+                             ("2024-01-04 00:00:00", "Uncategorised", 1, 1)]
     land("b", "2024-01-01 10:30:00", "2024-01-04 00:30:00", "2024-01-09 00:00:00")
     assert run("append") == [("2024-01-01 10:00:00", "Uncategorised", 2, 2),
                              ("2024-01-04 00:00:00", "Uncategorised", 2, 2)]
-    assert len(run("complete")) == 3
+    assert run("update") == [("2024-01-01 10:00:00", "Uncategorised", 3, 3),
+                             ("2024-01-04 00:00:00", "Uncategorised", 2, 2),
+                             ("2024-01-09 00:00:00", "Uncategorised", 1, 1)]
+    with pytest.raises(ValueError, match="complete"):
+        run("complete")
+
+
+def test_a_stream_never_takes_the_id_of_another_run(spark, landing, landed, tmp_path):
+    store = SnapshotStore(spark, str(tmp_path / "store"))
+    for state in ("a", "b"):
+        store.store(Snapshot({"incident": landed("incident", {"sys_id": "1", "state": state})}, datetime(2024, 1, 10, 6)))
+    store.settle("incident")
+    landing("a", {"sys_id": "1", "state": "c"}, {"sys_id": "2", "state": "c"})
+    for checkpoint in ("cp", "new"):
+        tickets = stream_extract(spark, landing.path, DOMAINS["incident"])
+        jobs.stream_sync(tickets, "incident", store, str(tmp_path / checkpoint),
+                         clock=lambda: datetime(2024, 1, 10, 7)).awaitTermination()
+    assert [r.id for r in store.run_log().orderBy("id").collect()] == [1, 2, 3, 4]
+    assert sorted((r.sys_id, r.state, r.run_id) for r in store.current("incident").collect()) == [("1", "c", 4), ("2", "c", 4)]
+    first = store.run_of_batch("s", 0, datetime(2024, 1, 1))
+    assert store.run_of_batch("s", 0, datetime(2024, 1, 2)) == first == (5, datetime(2024, 1, 1))
+    with pytest.raises(ValueError, match="settled"):
+        store.store(Snapshot({"incident": landed("incident", {"sys_id": "1"})}, datetime(2024, 1, 10, 6)), run_id=2)
 
 
 def test_streamed_trend_equals_the_batch(spark):

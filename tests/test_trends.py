@@ -108,6 +108,11 @@ def test_limits_from_a_table(spark, tickets):
     rows = tickets("incident", incident(1, "1", "2024-01-12 08:00:00"), incident(2, "9", "2024-01-19 08:00:00"))
     got = trends.incident_sla_by_table(rows, limits)
     assert rows_of(got, "priority", "breached_count") == [("1", 0), ("9", 1)]
+    twice = trends.incident_sla_by_table(rows, limits.unionAll(limits))
+    assert rows_of(twice, "priority", "resolved_count") == [("1", 1), ("9", 1)]
+    odd = limits.unionAll(spark.createDataFrame([("1", 7)], limits.schema))
+    with pytest.raises(Exception, match="two limits for priority 1"):
+        trends.incident_sla_by_table(rows, odd).collect()
 
 
 def test_sums_fit_many_long_durations(spark, tickets):

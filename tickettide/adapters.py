@@ -16,7 +16,6 @@ from tickettide.plans.store import with_payload
 from tickettide.schema import DOMAINS, INGEST_LOG_SCHEMA, RUN_LOG_SCHEMA
 
 SNAPSHOT_OFFSETS = (0, 1, 7)  # days after opening on which an order is seen
-FEW_SPLITS = 8
 
 
 class Tables:
@@ -41,19 +40,6 @@ class Tables:
         )
 
 
-def spread(rows: DataFrame, *keys: str) -> DataFrame:
-    """Rows of a small file over all cores, by keys of which no value is frequent.
-
-    A file is read by as many tasks as it has row groups, which is one for the
-    small tables, and all that is computed per row would stay in that task.
-    Tables of more splits are left as they are: they already fill the cores,
-    and are never shuffled for this.
-    """
-    if rows.rdd.getNumPartitions() >= FEW_SPLITS:
-        return rows
-    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, *keys)
-
-
 def _snapshot(rows: DataFrame, name: str, **columns: str) -> DataFrame:
     """Rows in a domain's stored columns, by SQL expression; the rest is NULL."""
     domain = DOMAINS[name]
@@ -72,7 +58,7 @@ def _run_of(day: str, runs_per_day: int = 1, run: str = "0") -> str:
 def incidents(tables: Tables) -> DataFrame:
     """Orders seen on three days each; 45,000 rows at scale 0.01."""
     seen = (
-        spread(tables.orders, "o_orderkey").join(
+        tables.orders.join(
             tables.customer, F.col("o_custkey") == F.col("c_custkey"), "left"
         )
         .withColumn("h", F.expr("CAST((o_orderkey * 7919 + o_custkey) % 240 AS INT)"))
@@ -113,7 +99,7 @@ def incidents(tables: Tables) -> DataFrame:
 
 def request_items(tables: Tables) -> DataFrame:
     """Line items in two runs a day; ids repeat within a run and across both."""
-    lines = spread(tables.lineitem, "l_orderkey", "l_partkey").join(
+    lines = tables.lineitem.join(
         tables.orders, F.col("l_orderkey") == F.col("o_orderkey"), "left"
     ).join(tables.part, F.col("l_partkey") == F.col("p_partkey"), "left")
     return _snapshot(

@@ -19,7 +19,6 @@ SPREADSHEET_EXTENSIONS = (".xlsx", ".xls")
 
 DEFAULT_DAYS_BACK = 30
 INBOX = "Inbox"
-NAMES_IN_ERROR = 100
 
 NOT_MAIL = "non_mail"
 TOO_OLD = "too_old"
@@ -35,15 +34,15 @@ def folder_messages(messages: DataFrame, name: str = "") -> DataFrame:
     return messages.filter(F.lower("folder") == wanted.lower())
 
 
-def require_folder(folders: DataFrame, name: str) -> None:
-    """Raise a `ValueError` that lists the folders there are if none has this name."""
-    if not name.strip() or not folder_messages(folders, name).isEmpty():
-        return
-    there = folders.select("folder").distinct().orderBy("folder").limit(NAMES_IN_ERROR + 1)
-    names = [repr(row.folder) for row in there.collect()]
-    if len(names) > NAMES_IN_ERROR:
-        names[-1] = "and more"
-    raise ValueError(f"no folder named {name.strip()!r}; there are: {', '.join(names) or '(none)'}")
+def folder_names(messages: DataFrame) -> DataFrame:
+    """The folders there are, however many."""
+    return messages.select("folder").distinct()
+
+
+def require_folder(messages: DataFrame, name: str) -> None:
+    """Raise a `ValueError` if no message is in a folder of this name; `folder_names` has those there are."""
+    if name.strip() and folder_messages(messages, name).isEmpty():
+        raise ValueError(f"no folder named {name.strip()!r}")
 
 
 def with_stage(
@@ -52,7 +51,7 @@ def with_stage(
     days_back: int = DEFAULT_DAYS_BACK,
     subject_filter: str = "",
 ) -> DataFrame:
-    """Messages with the stage at which each one leaves the scan."""
+    """Messages with the stage at which each one leaves the scan; `scan` takes those of one folder."""
     cutoff = shift_days(as_time(as_of), -days_back)
     received = to_second(F.col("received"))
     subject = F.coalesce("subject", F.lit(""))
@@ -74,6 +73,17 @@ def with_stage(
     })
 
 
+def scan(
+    messages: DataFrame,
+    folder: str = "",
+    as_of: Column | datetime | date | str | None = None,
+    days_back: int = DEFAULT_DAYS_BACK,
+    subject_filter: str = "",
+) -> DataFrame:
+    """The messages of one folder, the inbox without a name, with their stages."""
+    return with_stage(folder_messages(messages, folder), as_of, days_back, subject_filter)
+
+
 def _is_spreadsheet(filename: Column) -> Column:
     return file_extension(filename).isin(*SPREADSHEET_EXTENSIONS)
 
@@ -98,7 +108,10 @@ def scan_diagnostics(
     as_of: Column | datetime | date | str | None = None,
     days_back: int = DEFAULT_DAYS_BACK,
 ) -> DataFrame:
-    """One row of counts per stage; the last two count attachments, not messages."""
+    """One row of counts per stage of a folder's scan; two count attachments, not messages.
+
+    The folder is named as its messages name it, as asked for where there are none.
+    """
     now = as_time(as_of)
 
     def messages_at(*stages: str) -> Column:
@@ -109,10 +122,11 @@ def scan_diagnostics(
     size = F.size(attached)
     return staged.select(
         "stage",
+        "folder",
         F.when(attached.isNotNull(), size - spreadsheets).alias("others"),
         F.when(attached.isNotNull(), spreadsheets).alias("spreadsheets"),
     ).agg(
-        F.lit(folder.strip() or INBOX).alias("folder_name"),
+        F.coalesce(F.min("folder"), F.lit(folder.strip() or INBOX)).alias("folder_name"),
         minute_text(shift_days(now, -days_back)).alias("date_from"),
         minute_text(now).alias("date_to"),
         F.count(F.lit(1)).alias("total_items"),

@@ -21,14 +21,17 @@ HIGHEST_CHARACTER = "\U0010ffff"  # sorts after any time of the day it is put be
 def query_table(
     table: DataFrame,
     *,
-    limit: int | None = 10,
+    limit: int | None = None,
     filters: Mapping[str, object] | None = None,
     query: str | Column | None = None,
     order_by: str | Sequence[str] | None = None,
     fields: Sequence[str] | None = None,
     offset: int = 0,
 ) -> DataFrame:
-    """One page of a table: conditions, ascending order, offset, limit, projection."""
+    """Rows of a table: conditions, ascending order, offset, limit, projection.
+
+    Without a limit all rows come.
+    """
     conditions = [F.expr(query) if isinstance(query, str) else query] if query is not None else []
     conditions += [F.col(name) == value for name, value in (filters or {}).items()]
     rows = table.filter(reduce(Column.__and__, conditions)) if conditions else table
@@ -125,7 +128,7 @@ class Snapshot:
 
     frames: dict[str, DataFrame]
     as_of: Column | datetime | date | str | None
-    since_days: int = DEFAULT_LOOKBACK_DAYS
+    since_days: int | None = DEFAULT_LOOKBACK_DAYS
     notes: str | None = field(default=None)
 
 
@@ -138,9 +141,12 @@ def pull_snapshot(
     include_change_requests: bool = False,
     include_problems: bool = False,
 ) -> Snapshot:
-    """Pull every domain that is wanted from its landed table."""
+    """Pull every domain that is wanted from its landed table.
+
+    Nothing is capped unless `max_records` says so; `CAPPED_PULL` has usual caps.
+    """
     wanted = {"change_request": include_change_requests, "problem": include_problems}
-    caps = {name: d.max_records for name, d in DOMAINS.items()} | dict(max_records or {})
+    caps = dict.fromkeys(DOMAINS) | dict(max_records or {})
     frames = {
         name: pull_domain(tables[name], domain, as_of, since_days, caps[name])
         for name, domain in DOMAINS.items()

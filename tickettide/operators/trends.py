@@ -147,21 +147,41 @@ def incident_sla_by_table(
 ) -> DataFrame:
     """As `incident_sla_daily`, with limits from a table (priority, limit_hours).
 
-    Whether the limits are broadcast is left to Spark, which checks their size.
+    A priority listed twice with different limits is an error when the plan
+    runs; rows that agree count once. Incidents are first counted per day,
+    priority and whole seconds taken, in every task before the shuffle, so the
+    few priorities never have all rows dealt out by them; what then meets the
+    limits has a row per day and duration, and salts spread it.
     """
-    timed = resolved_incidents(snapshots).join(limits, "priority", "left")
+    salts = int(snapshots.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    one = limits.groupBy("priority").agg(F.min("limit_hours").alias("limit_hours"), F.max("limit_hours").alias("_most"))
+    # An error may not be optimised away, so the limit itself depends on it.
+    agreed = F.when(F.col("limit_hours").eqNullSafe(F.col("_most")), F.col("limit_hours")).otherwise(
+        F.raise_error(F.concat(F.lit("two limits for priority "), F.coalesce("priority", F.lit("NULL")))).cast("double"))
+    salted = one.select("priority", agreed.alias("limit_hours")).withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    counts = (
+        resolved_incidents(snapshots)
+        .groupBy("snapshot_date", "priority", "seconds")
+        .agg(_count_rows().alias("n"))
+        .withColumn("_salt", F.pmod(F.xxhash64("snapshot_date", "seconds"), F.lit(salts)).cast("int"))
+    )
+    timed = counts.join(salted, ["priority", "_salt"], "left")
     late = t.breached(F.col("seconds"), F.coalesce("limit_hours", F.lit(default)))
-    return _sla_figures(timed, late)
+    return _sla_figures(timed, late, F.col("n"))
 
 
-def _sla_figures(timed: DataFrame, late: Column) -> DataFrame:
+def _sla_figures(timed: DataFrame, late: Column, times: Column | None = None) -> DataFrame:
+    """Figures per day and priority; `times` is how many incidents a row stands for."""
+    n = F.lit(1).cast("bigint") if times is None else times
+    nothing = F.lit(0).cast("bigint")
     return (
         timed.groupBy("snapshot_date", "priority")
         .agg(
-            _count_rows().alias("resolved_count"),
-            F.sum("seconds").alias("_sum"),
-            F.count("seconds").alias("_timed"),
-            _count_where(late).alias("breached_count"),
+            F.sum(n).alias("resolved_count"),
+            F.sum(F.col("seconds") * n).alias("_sum"),
+            F.sum(F.when(F.col("seconds").isNotNull(), n).otherwise(nothing)).alias("_timed"),
+            F.sum(F.when(late, n).otherwise(nothing)).alias("breached_count"),
         )
         .select(
             "snapshot_date",

@@ -2,24 +2,27 @@
 
 Layout under the root folder::
 
-    runs/<domain>/snapshot_date=.../run_id=...     rows of each run, once per ticket
-    run_log/id=...                                 one row per finished run
+    runs/<domain>/snapshot_date=.../run_id=.../attempt=...   rows of each run, once per ticket
+    run_log/id=...                                 one row per finished run, with its attempt
+    stream_runs/stream=.../batch=...               the run each batch of a stream became
     settled/<domain>/generation=.../snapshot_date=...   winners up to a run
     settled_log/domain=.../generation=...          dates each generation holds
 
-A run counts once it is in the run log, which is written last: readers never
-see half a run, and a run that failed is simply written again to the same
-partitions. A generation is the last run it takes in; it counts once it is in
-the settled log. Nothing that is being read is ever overwritten.
+A run counts once it is in the run log, which is written last, and only with
+the rows of the attempt and the date that the log names: rows of an attempt
+that failed are never seen, whatever the next attempt holds. A generation is
+the last run it takes in; it counts once it is in the settled log. Nothing that
+is being read is ever overwritten. Reading writes nothing.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 from datetime import datetime, timezone
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,11 +33,22 @@ from tickettide.operators.upsert import (
     latest_run_per_ticket,
     latest_run_wins,
 )
+from tickettide.plans.workspace import path_exists
 from tickettide.schema import DOMAINS, RUN_LOG_SCHEMA, Domain
 
 # Fixed value: a run is logged only once it has succeeded.
 STATUS_SUCCESS = "success"
 
+_ATTEMPT = T.StructField("attempt", T.StringType())
+_ATTEMPT_LOG_SCHEMA = T.StructType([*RUN_LOG_SCHEMA.fields, _ATTEMPT])
+
+_STREAM_RUNS_SCHEMA = T.StructType([
+    T.StructField("run_id", T.LongType()),
+    T.StructField("as_of", T.TimestampNTZType()),
+    T.StructField("stream", T.StringType()),
+    T.StructField("batch", T.LongType()),
+])
+
 _SETTLED_LOG_SCHEMA = T.StructType([
     T.StructField("snapshot_date", T.DateType()),
     T.StructField("domain", T.StringType()),
@@ -91,15 +105,12 @@ class SnapshotStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
-        self._present: set[str] = set()
 
-    def _read(self, folder: str, schema: T.StructType, *partitions: str) -> DataFrame:
+    def _read(self, folder: str, schema: T.StructType) -> DataFrame:
+        """A table of the store; one that nobody has written yet is empty."""
         path = f"{self.root}/{folder}"
-        if folder not in self._present:
-            # Makes an empty table where there is none yet, else does nothing.
-            empty = self.spark.createDataFrame([], schema)
-            empty.write.mode("ignore").partitionBy(*partitions).parquet(path)
-            self._present.add(folder)
+        if not path_exists(self.spark, path):
+            return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(path).select(*schema.fieldNames())
 
     def _write(
@@ -119,26 +130,68 @@ class SnapshotStore:
             .parquet(f"{self.root}/{folder}")
         )
 
+    def _attempts(self) -> DataFrame:
+        return self._read("run_log", _ATTEMPT_LOG_SCHEMA)
+
     def run_log(self) -> DataFrame:
-        return self._read("run_log", RUN_LOG_SCHEMA, "id")
+        return self._attempts().select(*RUN_LOG_SCHEMA.fieldNames())
 
     def next_run_id(self) -> int:
-        return (self.run_log().agg(F.max("id")).first()[0] or 0) + 1
-
-    def _write_tickets(self, stamped: Mapping[str, DataFrame], one_run: bool = False) -> None:
+        """An id above every run that is logged or promised to a batch of a stream."""
+        given = self.run_log().select("id").unionAll(self._stream_runs().select("run_id"))
+        return (given.agg(F.max("id")).first()[0] or 0) + 1
+
+    def _stream_runs(self) -> DataFrame:
+        return self._read("stream_runs", _STREAM_RUNS_SCHEMA)
+
+    def run_of_batch(self, stream: str, batch: int, as_of: datetime) -> tuple[int, datetime]:
+        """The run and time of a stream's batch: given out once, looked up on every retry."""
+        own = (F.col("stream") == stream) & (F.col("batch") == batch)
+        known = self._stream_runs().filter(own).select("run_id", "as_of").first()
+        if known:
+            return known["run_id"], known["as_of"]
+        run = self.next_run_id()
+        row = self.spark.createDataFrame([(run, as_of, stream, batch)], _STREAM_RUNS_SCHEMA)
+        self._write(row, "stream_runs", "stream", "batch", one_partition=True)
+        return run, as_of
+
+    def _refuse_settled(self, run: int) -> None:
+        settled = self._read("settled_log", _SETTLED_LOG_SCHEMA).agg(F.max("generation")).first()[0] or 0
+        if run <= settled:
+            raise ValueError(f"run {run} is settled (up to {settled}) and can't be written again")
+
+    def _write_tickets(
+        self, stamped: Mapping[str, DataFrame], attempt: str, one_run: bool = False
+    ) -> None:
         for name, rows in stamped.items():
             domain = DOMAINS[name]
-            winners = last_write_wins(with_payload(rows, domain), domain)
+            # The JSON copy is made of the winners, so it is not shuffled.
+            winners = with_payload(last_write_wins(rows, domain), domain)
             self._write(
-                winners, f"runs/{name}", "snapshot_date", "run_id", one_partition=one_run
+                winners.withColumn("attempt", F.lit(attempt)),
+                f"runs/{name}", "snapshot_date", "run_id", "attempt", one_partition=one_run,
             )
 
+    def _log(self, rows: DataFrame, attempt: str, one_run: bool = False) -> None:
+        self._write(rows.withColumn("attempt", F.lit(attempt)), "run_log", "id", one_partition=one_run)
+
     def write_runs(
         self, stamped: Mapping[str, DataFrame], since_days: int, notes: str | None = None
     ) -> None:
         """Store stamped rows of one or more runs, then log the runs."""
-        self._write_tickets(stamped)
-        self._write(run_log_rows(stamped, since_days, notes), "run_log", "id")
+        first = reduce(DataFrame.unionAll, (rows.select("run_id") for rows in stamped.values()))
+        self._refuse_settled_rows(first)
+        attempt = uuid.uuid4().hex
+        self._write_tickets(stamped, attempt)
+        self._log(run_log_rows(stamped, since_days, notes), attempt)
+
+    def _refuse_settled_rows(self, runs: DataFrame) -> None:
+        """Looks at the runs only where something is settled."""
+        if self._read("settled_log", _SETTLED_LOG_SCHEMA).isEmpty():
+            return
+        lowest = runs.agg(F.min("run_id")).first()[0]
+        if lowest is not None:
+            self._refuse_settled(lowest)
 
     def store(self, snapshot: Snapshot, run_id: int | None = None) -> DataFrame:
         """Store one pull as one run and return its log row.
@@ -146,19 +199,24 @@ class SnapshotStore:
         A pull without any rows is a run too, so its row starts from zero counts.
         """
         run = self.next_run_id() if run_id is None else run_id
+        self._refuse_settled(run)
         as_of = snapshot.as_of
         if as_of is None:
             as_of = datetime.now(timezone.utc).replace(tzinfo=None)
-        stamped = {n: stamp(rows, run, as_of) for n, rows in snapshot.frames.items()}
-        self._write_tickets(stamped, one_run=True)
-        log = self._single_run_log(stamped, run, as_of, snapshot)
-        self._write(log, "run_log", "id", one_partition=True)
+        attempt = uuid.uuid4().hex
+        pulled = {name: Observation() for name in snapshot.frames}
+        # Rows are counted as they are written, so that log and table agree.
+        stamped = {
+            name: stamp(rows, run, as_of).observe(pulled[name], F.count(F.lit(1)).alias("n"))
+            for name, rows in snapshot.frames.items()
+        }
+        self._write_tickets(stamped, attempt, one_run=True)
+        self._log(self._single_run_log(pulled, run, as_of, snapshot), attempt, one_run=True)
         return self.run_log().filter(F.col("id") == run)
 
-    def _single_run_log(self, stamped, run, as_of, snapshot) -> DataFrame:
+    def _single_run_log(self, pulled, run, as_of, snapshot) -> DataFrame:
         counts = {
-            name: stamped[name].agg(F.count(F.lit(1))).scalar() if name in stamped
-            else F.lit(0).cast("bigint")
+            name: F.lit(pulled[name].get["n"] if name in pulled else 0).cast("bigint")
             for name in DOMAINS
         }
         numbered = stamp(self.spark.range(1).select(), run, as_of).withColumns(
@@ -176,14 +234,17 @@ class SnapshotStore:
 
         The run is a partition column, so files of earlier runs are not read.
         """
-        finished = self.run_log().filter(F.col("id") > after).select(F.col("id").alias("run_id"))
-        rows = self._read(
-            f"runs/{name}", DOMAINS[name].snapshot_schema, "snapshot_date", "run_id"
-        ).filter(F.col("run_id") > after)
-        return rows.join(finished, "run_id", "left_semi").select(*rows.columns)
+        finished = self._attempts().filter(F.col("id") > after).select(
+            F.col("id").alias("run_id"), "snapshot_date", "attempt"
+        )
+        schema = T.StructType([*DOMAINS[name].snapshot_schema.fields, _ATTEMPT])
+        rows = self._read(f"runs/{name}", schema).filter(F.col("run_id") > after)
+        return rows.join(finished, ["run_id", "snapshot_date", "attempt"], "left_semi").select(
+            *DOMAINS[name].snapshot_columns
+        )
 
     def _settled_log(self, name: str) -> DataFrame:
-        log = self._read("settled_log", _SETTLED_LOG_SCHEMA, "domain", "generation")
+        log = self._read("settled_log", _SETTLED_LOG_SCHEMA)
         return log.filter(F.col("domain") == name)
 
     def _settled_up_to(self, name: str) -> int:
@@ -196,7 +257,7 @@ class SnapshotStore:
             F.max("generation").alias("generation")
         )
         schema = DOMAINS[name].snapshot_schema.add("generation", T.LongType())
-        rows = self._read(f"settled/{name}", schema, "generation", "snapshot_date")
+        rows = self._read(f"settled/{name}", schema)
         return rows.join(newest, ["snapshot_date", "generation"], "left_semi").select(
             *DOMAINS[name].snapshot_columns
         )

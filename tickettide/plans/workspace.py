@@ -2,28 +2,28 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
-SHARED_FOLDER_SETTING = "spark.checkpoint.dir"
+SHARED_FOLDER_SETTINGS = ("spark.checkpoint.dir", "spark.sql.warehouse.dir")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all machines see, as the session names it.
+    """The folder that all machines see: the checkpoint folder, else the warehouse.
 
-    Only where none is named and Spark runs within one process is a local
-    folder taken.
+    Every session has a warehouse, and on a cluster it is shared.
     """
-    named = spark.conf.get(SHARED_FOLDER_SETTING, None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"set {SHARED_FOLDER_SETTING} to a folder that all executors can reach")
-    return tempfile.mkdtemp(prefix="tickettide-")
+    named = (spark.conf.get(setting, None) for setting in SHARED_FOLDER_SETTINGS)
+    return next(folder for folder in named if folder).rstrip("/")
 
 
 def new_folder(spark: SparkSession, purpose: str) -> str:
     """A path under the shared folder that no other run uses."""
     return f"{shared_folder(spark)}/tickettide/{purpose}-{uuid.uuid4().hex}"
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is something at a path of any file system Spark knows."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)

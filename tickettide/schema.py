@@ -42,7 +42,6 @@ class Domain:
     fields: tuple[str, ...]
     table: str        # name under which the snapshot is queried in SQL
     label: str        # plural used in the run message
-    max_records: int  # default cap of one pull
     optional: bool    # pulled only on request
 
     @property
@@ -72,20 +71,22 @@ STAMP_FIELDS = [
     T.StructField("pulled_at", T.TimestampNTZType()),
 ]
 
-# Table names, plural labels and default caps.
+# Table names and plural labels.
 DOMAINS = {
     d.name: d
     for d in (
         Domain("incident", tuple(INCIDENT_FIELDS), "sn_incident_snapshot",
-               "incidents", 5000, False),
+               "incidents", False),
         Domain("request_item", tuple(REQUEST_ITEM_FIELDS), "sn_request_item_snapshot",
-               "request items", 5000, False),
+               "request items", False),
         Domain("change_request", tuple(CHANGE_REQUEST_FIELDS), "sn_change_request_snapshot",
-               "change requests", 3000, True),
+               "change requests", True),
         Domain("problem", tuple(PROBLEM_FIELDS), "sn_problem_snapshot",
-               "problems", 3000, True),
+               "problems", True),
     )
 }
+# Caps for callers who want pulls of a bounded size.
+CAPPED_PULL = {"incident": 5000, "request_item": 5000, "change_request": 3000, "problem": 3000}
 DEFAULT_LOOKBACK_DAYS = 30
 
 RUN_LOG_TABLE = "sn_sync_runs"

@@ -2,72 +2,103 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from datetime import datetime, timezone
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tickettide.functions import tickets as t
 from tickettide.functions.text import label_blank
 from tickettide.functions.times import instant_of, utc_of
-from tickettide.operators.pull import stamp
+from tickettide.operators.pull import Snapshot
 from tickettide.plans.store import SnapshotStore
-from tickettide.schema import INGEST_LOG_KEYS
+from tickettide.plans.workspace import path_exists
+from tickettide.schema import INGEST_LOG_KEYS, INGEST_LOG_SCHEMA
 
-SPREAD = 32
+_BATCH = "batch"
 
 
 def _run_available(writer, checkpoint: str) -> StreamingQuery:
     return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _stream_name(checkpoint: str) -> str:
+    """A stream is known by its checkpoint: a new one is another stream."""
+    return hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16]
+
+
 def stream_sync(
     tickets: DataFrame,
     domain: str,
     store: SnapshotStore,
     checkpoint: str,
     clock: Callable[[], datetime] | None = None,
-    first_run_id: int = 1,
+    since_days: int | None = None,
 ) -> StreamingQuery:
     """Store each batch of newly landed tickets as one run.
 
-    The run id follows from the batch id, so a batch that is run again after a
-    failure replaces its own partitions and log row.
+    The store hands out the run and its time once per batch, above all runs it
+    knows, and gives the same ones to a batch that is run again. A stream has
+    no lookback of its own, so the log holds `since_days` as given.
     """
     now = clock or (lambda: datetime.now(timezone.utc).replace(tzinfo=None))
+    stream = _stream_name(checkpoint)
 
     def store_batch(batch: DataFrame, batch_id: int) -> None:
-        store.write_runs({domain: stamp(batch, first_run_id + batch_id, now())}, since_days=1)
+        run, as_of = store.run_of_batch(stream, batch_id, now())
+        store.store(Snapshot({domain: batch}, as_of, since_days), run)
 
     return _run_available(tickets.writeStream.foreachBatch(store_batch), checkpoint)
 
 
-def first_arrivals(files: DataFrame, delay: str = "1 day") -> DataFrame:
-    """The key of each file once, however often it arrives within the delay.
+def _batches(spark: SparkSession, out: str, schema: T.StructType) -> DataFrame:
+    """What all batches of all streams have written, with `stream` and `batch`."""
+    full = T.StructType([*schema.fields, T.StructField("stream", T.StringType()), T.StructField(_BATCH, T.LongType())])
+    return spark.read.schema(full).parquet(out) if path_exists(spark, out) else spark.createDataFrame([], full)
+
+
+KEYS_SCHEMA = T.StructType([f for f in INGEST_LOG_SCHEMA.fields if f.name in INGEST_LOG_KEYS])
+
+
+def ingested_keys(spark: SparkSession, out: str) -> DataFrame:
+    """The key of every file that came, once."""
+    return _batches(spark, out, KEYS_SCHEMA).select(*INGEST_LOG_KEYS)
+
+
+def stream_ingest_once(files: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Append the key of each file that no earlier batch has brought, however late it comes.
 
-    ``received_at`` is text; ``received`` is its time. Repeats are dropped per
-    map task slice first, so a file that arrives in a third of all rows is not
-    sent to one task in full. A repeat later than the delay comes through
-    again: the ingest log stays the authority.
+    Batches write folders of their own, so one that is run again replaces what
+    it wrote, and compares itself with the others only.
     """
-    keys = files.select(*INGEST_LOG_KEYS, instant_of(F.col("received")).alias("received"))
-    sliced = keys.withColumn("_slice", F.pmod(F.spark_partition_id(), F.lit(SPREAD)))
-    return (
-        sliced.withWatermark("received", delay)
-        .dropDuplicatesWithinWatermark([*INGEST_LOG_KEYS, "_slice"])
-        .dropDuplicatesWithinWatermark(INGEST_LOG_KEYS)
-        .select(*INGEST_LOG_KEYS)
-    )
+    stream = _stream_name(checkpoint)
 
+    def record(batch: DataFrame, batch_id: int) -> None:
+        others = _batches(batch.sparkSession, out, KEYS_SCHEMA).filter(
+            (F.col("stream") != stream) | (F.col(_BATCH) != batch_id)
+        )
+        keys = batch.select(*INGEST_LOG_KEYS).distinct()
+        same = reduce(Column.__and__, (keys[k].eqNullSafe(others[k]) for k in INGEST_LOG_KEYS))
+        fresh = keys.join(others, same, "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{out}/stream={stream}/{_BATCH}={batch_id}")
 
-def stream_ingest_once(
-    files: DataFrame, out: str, checkpoint: str, delay: str = "1 day"
-) -> StreamingQuery:
-    """Append the key of each newly arrived file to a table."""
-    writer = first_arrivals(files, delay).writeStream.format("parquet").option("path", out)
-    return _run_available(writer, checkpoint)
+    return _run_available(files.writeStream.foreachBatch(record), checkpoint)
+
+
+HOUR_KEYS = ["hour_start", "category", "state"]
+PARTIAL_SCHEMA = T.StructType([
+    T.StructField("hour_start", T.TimestampNTZType()),
+    T.StructField("category", T.StringType()),
+    T.StructField("state", T.StringType()),
+    T.StructField("ticket_count", T.LongType()),
+    T.StructField("open_count", T.LongType()),
+    T.StructField("closed_count", T.LongType()),
+])
 
 
 def hourly_trend(tickets: DataFrame, delay: str = "1 day") -> DataFrame:
@@ -94,19 +125,30 @@ def hourly_trend(tickets: DataFrame, delay: str = "1 day") -> DataFrame:
     )
 
 
+def hourly_totals(spark: SparkSession, out: str) -> DataFrame:
+    """The trend that the batches of `stream_hourly_trend` in update mode add up to."""
+    counts = [f.name for f in PARTIAL_SCHEMA.fields if f.name not in HOUR_KEYS]
+    return _batches(spark, out, PARTIAL_SCHEMA).groupBy(*HOUR_KEYS).agg(*(F.sum(c).alias(c) for c in counts))
+
+
 def stream_hourly_trend(
     tickets: DataFrame, out: str, checkpoint: str, mode: str = "append", delay: str = "1 day"
 ) -> StreamingQuery:
     """Write the hourly trend.
 
-    In append mode an hour is written once the watermark has passed it. In
-    complete mode every batch replaces the whole table, open hours included.
+    In append mode an hour is written once the watermark has passed it, and
+    rows that come later are dropped. In update mode every batch writes the
+    counts of its own rows and nothing else: counts add up, so there is no
+    state, no row is too late, and `hourly_totals` has the sums.
     """
-    trend = hourly_trend(tickets, delay)
     if mode == "append":
+        trend = hourly_trend(tickets, delay)
         return _run_available(trend.writeStream.format("parquet").option("path", out), checkpoint)
+    if mode != "update":
+        raise ValueError(f"mode is append or update, not {mode!r}")
+    stream = _stream_name(checkpoint)
 
-    def replace(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
+    def add(batch: DataFrame, batch_id: int) -> None:
+        hourly_trend(batch, delay).write.mode("overwrite").parquet(f"{out}/stream={stream}/{_BATCH}={batch_id}")
 
-    return _run_available(trend.writeStream.outputMode(mode).foreachBatch(replace), checkpoint)
+    return _run_available(tickets.writeStream.foreachBatch(add), checkpoint)
