@@ -23,5 +23,5 @@ def sample(documents: DataFrame, labels: DataFrame, label: str, most: int, allow
     rows = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & allowed).groupBy(
         F.col("doc_id").cast("long").alias("_id")).agg(F.max(label).cast("double").alias("label"))
     some = rows.withColumn("turn", F.xxhash64("_id")).orderBy("turn", "_id").limit(most)
-    joined = documents.join(F.broadcast(some), documents["doc_id"].cast("long") == some["_id"])
-    return written(joined.select("turn", "label", text_bytes().alias("text")), purpose)
+    texts = documents.select(F.col("doc_id").cast("long").alias("_id"), text_bytes().alias("text"))
+    return written(texts.join(F.broadcast(some), "_id").select("turn", "label", "text"), purpose)

@@ -319,6 +319,8 @@ def repeated_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFram
     named = able.join(groups, ["high", "low"], "left").select(
         "doc_id", "line", F.coalesce("group_high", "high").alias("group_high"), F.coalesce("group_low", "low").alias("group_low"))
     first = named.groupBy("group_high", "group_low").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    # A table of its own, so that the lines of a hot group can be split over tasks when they meet it.
+    first = written(first, "lines-first")
     repeated = named.join(first, ["group_high", "group_low"]).where(F.struct("doc_id", "line") > F.col("first"))
     return repeated.where("doc_id is not null").select(
         "doc_id", "line", "group_high", "group_low", F.col("first.doc_id").alias("first_doc_id"), F.col("first.line").alias("first_line"))
@@ -338,14 +340,14 @@ def dedup_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     schema = documents.schema
     joined = documents.join(gone, documents["doc_id"].cast("long") == gone["_doc_id"], "left")
     parts = F.split(documents["text"], "\n", -1)
-    kept = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains(F.col("_gone"), i.cast("long"))), "\n")
-    text = F.when(F.col("_gone").isNull(), documents["text"]).otherwise(kept)
+    kept = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains(gone["_gone"], i.cast("long"))), "\n")
+    text = F.when(gone["_gone"].isNull(), documents["text"]).otherwise(kept)
     out = []
     for field in schema.fields:
         if field.name == "text":
             out.append(text.alias("text"))
         elif field.name == "n_chars" and field.dataType.typeName() in ("long", "integer"):
-            out.append(F.when(F.col("_gone").isNull(), documents["n_chars"]).otherwise(F.length(kept)).cast(field.dataType).alias("n_chars"))
+            out.append(F.when(gone["_gone"].isNull(), documents["n_chars"]).otherwise(F.length(kept)).cast(field.dataType).alias("n_chars"))
         else:
             out.append(documents[field.name])
     return joined.select(out)

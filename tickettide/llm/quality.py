@@ -187,23 +187,27 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", allowed
     return train(x, owner, np.array([r["label"] for r in kept]))
 
 
-def score(documents: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
-    """The documents' columns, whatever they are, and `_score`, the quality from 0 to 1.
+def score(documents: DataFrame, model: dict[str, np.ndarray], name: str = "_score") -> DataFrame:
+    """The documents' columns, whatever they are, and `name`, the quality from 0 to 1, which replaces a column called so.
 
     Empty and null texts are bags of one wordless passage and get its score.
     """
+    documents = documents.drop(name)
     fields = documents.schema.fieldNames()
 
     def each(batch):
         texts = batch.column(len(fields)).to_pylist()
         for a, b in slices(np.array([len(t) for t in texts]), _BATCH_BYTES):
             made = bag_scores(model, texts[a:b])
-            yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:-1]), pa.array(made)], [*fields, "_score"])
+            yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:-1]), pa.array(made)], [*fields, name])
 
-    rows = documents.select("*", text_bytes().alias("_bytes"))
-    return batches(rows, each, StructType([*documents.schema.fields, StructField("_score", DoubleType())]))
+    rows = documents.select("*", text_bytes().alias("bytes of the text"))
+    return batches(rows, each, StructType([*documents.schema.fields, StructField(name, DoubleType())]))
 
 
 def good_documents(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, allowed: Column | None = None) -> DataFrame:
     """The documents that score at least the threshold, columns and repeats as they are."""
-    return score(documents, fit(documents, labels, allowed=allowed)).where(F.col("_score") >= threshold).drop("_score")
+    name = "_score"
+    while name in documents.columns:
+        name += "_"
+    return score(documents, fit(documents, labels, allowed=allowed), name).where(F.col(name) >= threshold).drop(name)

@@ -170,6 +170,7 @@ def _texts(batch: pa.RecordBatch, column: str) -> list[str]:
 
 def with_trees(documents: DataFrame, vocabulary: str = VOCABULARY, leaf: int = LEAF) -> DataFrame:
     """The documents with `_leaves`, the leaves of each text's tree. Null and empty texts have none."""
+    documents = documents.drop("_leaves")
     names = documents.schema.fieldNames()
 
     def run(stream):
@@ -194,6 +195,7 @@ def apply_edits(documents: DataFrame, vocabulary: str = VOCABULARY, leaf: int =
     last to the first. A null or empty array leaves the row as it is. A place
     beyond the text counts as its end; a null `new` deletes.
     """
+    documents = documents.drop("_again")
     names = documents.schema.fieldNames()
 
     def run(stream):
@@ -227,6 +229,7 @@ MASK = "[removed]"
 
 def with_masking_edits(documents: DataFrame, pattern: str = PERSONAL, mask: str = MASK) -> DataFrame:
     """The documents with `edits` that replace every match of a pattern in their text."""
+    documents = documents.drop("edits")
     names = documents.schema.fieldNames()
     kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("new", pa.string())]))
 

@@ -227,8 +227,9 @@ def _shared(documents: DataFrame, model: dict):
     return documents.sparkSession.sparkContext.broadcast({k: v for k, v in model.items()})
 
 
-def score(documents: DataFrame, model: dict) -> DataFrame:
-    """The documents' columns and `_score`, the toxicity from 0 to 1; null and empty texts have no segment."""
+def score(documents: DataFrame, model: dict, name: str = "_score") -> DataFrame:
+    """The documents' columns and `name`, the toxicity from 0 to 1, which replaces a column called so; null and empty texts have no segment."""
+    documents = documents.drop(name)
     names = documents.schema.fieldNames()
     shared = _shared(documents, model)
 
@@ -238,10 +239,10 @@ def score(documents: DataFrame, model: dict) -> DataFrame:
         for a, b in slices(np.array([len(t) for t in texts]), _BATCH_BYTES):
             values = np.array([evidence(n, found, own) for n, found in text_segments(texts[a:b], own["table"])]).reshape(-1, 2)
             made = 1 / (1 + np.exp(-np.clip(_features(values[:, 0], values[:, 1]) @ own["weights"], -30, 30)))
-            yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:-1]), pa.array(made)], [*names, "_score"])
+            yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:-1]), pa.array(made)], [*names, name])
 
-    return batches(documents.select("*", text_bytes().alias("_bytes")), each,
-                   StructType([*documents.schema.fields, StructField("_score", DoubleType())]))
+    return batches(documents.select("*", text_bytes().alias("bytes of the text")), each,
+                   StructType([*documents.schema.fields, StructField(name, DoubleType())]))
 
 
 def toxic_passages(documents: DataFrame, model: dict) -> DataFrame:
