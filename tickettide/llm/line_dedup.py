@@ -1,9 +1,8 @@
 """Fuzzy line deduplication: SimHash, pigeonhole blocks, edit similarity, groups.
 
 Lines are normalised and equal ones put together by a 128-bit digest. Of the
-distinct lines only (digest, SimHash) travel to the block keys: with at most
-three differing bits, three of five blocks agree, so every pair meets on one of
-ten keys. Lines that have a partner there, and only those, are then brought
+distinct lines only the SimHash travels to the block keys: with at most three
+differing bits, two of five blocks agree, so every pair meets on one of ten keys. Lines that have a partner there, and only those, are then brought
 together with their texts, which confirms each pair by its edit similarity. A
 pair that the group already connects is not compared again, and a group emits
 the links of a spanning forest, never all pairs.
@@ -23,9 +22,9 @@ from tickettide.llm.common import batches, components, popcount, signed, slices,
 MIN_WORDS = 5
 SIMILARITY = 0.8
 DISTANCE = 3
-#: Bits of the five blocks; a key is three of them.
+#: Bits of the five blocks; a key is two of them.
 BLOCKS = (13, 13, 13, 13, 12)
-PICKED = len(BLOCKS) - (DISTANCE - 1)
+PICKED = len(BLOCKS) - DISTANCE
 _BATCH_BYTES = 2 << 20
 _TILE = 2048
 
