@@ -192,7 +192,8 @@ def _select(planned: DataFrame) -> DataFrame:
     rests = planned.select("sources", "rest").distinct()
     edge = before.join(rests, "sources").where("before <= rest and before + bucket_size > rest").groupBy("sources").agg(
         F.min_by("bucket", "bucket").alias("edge"), F.min_by("before", "bucket").alias("edge_before"))
-    rows = written(planned.join(edge, "sources", "left"), "mix-order")
+    # One row per pattern, which max_patterns bounds.
+    rows = written(planned.join(F.broadcast(edge), "sources", "left"), "mix-order")
     inner = rows.where("bucket = edge")
     at = Window.partitionBy("sources").orderBy("turn", F.col("doc_id").asc_nulls_first(), "size", "row")
     inside = inner.withColumn("until", F.col("edge_before") + F.sum("size").over(at.rowsBetween(Window.unboundedPreceding, 0)))
