@@ -70,7 +70,7 @@ def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         kept = np.unique(hashes ^ (of.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)[1]
         some = np.maximum(1, words)
         features[:, -4] = np.bincount(of, again, len(owner)) / some
-        features[:, -3] = 1 - np.bincount(of[kept], minlength=len(owner)) / some
+        features[:, -3] = (words - np.bincount(of[kept], minlength=len(owner))) / some
         features[:, -2] = np.bincount(of, ends - starts, len(owner)) / some / 16
     features[:, -1] = words / PASSAGE_WORDS
     return features, owner
