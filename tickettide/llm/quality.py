@@ -43,7 +43,7 @@ WIDTH = CLASSES * CLASSES + 4
 
 def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(features of all passages, text of each). A text without words is one passage."""
-    joined = b"\n".join(texts)
+    joined = b"".join(t + b"\n" for t in texts)
     data = np.frombuffer(joined, np.uint8)
     places = np.cumsum([0] + [len(t) + 1 for t in texts])
     kinds = _CLASS[data]
@@ -57,9 +57,12 @@ def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     begin = np.where(inner == 0, places[owner], starts[np.minimum(word_at, max(len(starts) - 1, 0))] if len(starts) else 0)
     features = np.zeros((len(owner), WIDTH), np.float32)
     if len(data) > 1:
+        # Every text ends with a line break of its own; what follows that is another text.
+        inner_pairs = np.ones(len(data) - 1, bool)
+        inner_pairs[places[1:-1] - 1] = False
         passage = np.searchsorted(begin, np.arange(len(data) - 1), side="right") - 1
         code = passage * (CLASSES * CLASSES) + kinds[:-1].astype(np.int64) * CLASSES + kinds[1:]
-        found = np.bincount(code, minlength=len(owner) * CLASSES * CLASSES)[: len(owner) * CLASSES * CLASSES].reshape(len(owner), -1)
+        found = np.bincount(code[inner_pairs], minlength=len(owner) * CLASSES * CLASSES)[: len(owner) * CLASSES * CLASSES].reshape(len(owner), -1)
         features[:, : CLASSES * CLASSES] = np.sqrt(found / np.maximum(1, found.sum(axis=1, keepdims=True)))
     words = np.minimum(PASSAGE_WORDS, counts[owner] - inner * PASSAGE_WORDS).clip(0)
     if len(starts):
