@@ -563,6 +563,12 @@ def _statements() -> dict[str, str]:
         SELECT 'customers-' || c_custkey // 200 || '.xlsx' AS path, c_custkey AS cust_key,
                c_name AS name, c_acctbal AS balance, c_mktsegment AS segment FROM customer"""
 
+    sql["workbook_files"] = sql["workbook_load"]
+    sql["ingest_chain"] = """
+        SELECT 'row' AS kind, CAST(c_custkey AS VARCHAR) AS name, CAST(NULL AS BIGINT) AS n FROM customer
+        UNION ALL SELECT 'file', 'customers-' || c_custkey // 200 || '.xlsx', count(*) FROM customer GROUP BY ALL
+        UNION ALL SELECT 'failed', 'broken.xlsx', NULL"""
+
     # streams
     sql["stream_sync"] = f"""{_with(CHANGE_LOG)} SELECT CAST(1 + CAST(sys_id AS BIGINT) % 2 AS BIGINT) AS run_id,
         DATE '2024-01-31' AS snapshot_date, TIMESTAMP '{EVENTS_AS_OF}' AS pulled_at,

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 from datetime import datetime
 
 import pandas as pd
+import pyarrow.fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from tickettide.functions import text as tx
 from tickettide.functions import tickets as t
 from tickettide.functions import times as tm
 from tickettide.operators import align, ingest_log, mail, profile, pull, trends, upsert
-from tickettide.plans import reports
+from tickettide.plans import ingest, reports
 from tickettide.plans.loading import load_table
 from tickettide.plans.store import SnapshotStore, run_log_rows
 from tickettide.plans.sync import sync, sync_report
@@ -25,9 +26,9 @@ from tickettide.plans.workspace import new_folder
 from tickettide.schema import DOMAINS
 from tickettide.sources.landed import records_from_replies
 from tickettide.sources.workbooks import (
-    clean_headers,
     column_types,
     decode_workbooks,
+    read_workbooks,
     typed_rows,
 )
 from tickettide.streaming import jobs
@@ -41,6 +42,7 @@ MAIL_AS_OF = datetime(2024, 3, 1)
 MAIL_SUBJECT = "The "
 BACKFILL_DAYS = ("2024-01-01", "2024-01-30")
 WORKBOOK_ROWS = 200
+WORKBOOK_TYPES = {"cust_key": "bigint", "name": "string", "balance": "double", "segment": "string"}
 PAGE_ROWS = 500
 
 _QUERIES: dict[str, Query] = {}
@@ -647,9 +649,9 @@ def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         })
 
 
-def _workbook_rows(tables: Tables) -> DataFrame:
-    """Customers packed into workbooks of 200 rows, then read back."""
-    books = (
+def _workbooks(tables: Tables) -> DataFrame:
+    """Customers packed into workbooks of 200 rows: (path, content)."""
+    return (
         tables.customer.groupBy(F.floor(F.col("c_custkey") / WORKBOOK_ROWS).alias("book"))
         .agg(
             F.collect_list(
@@ -663,7 +665,11 @@ def _workbook_rows(tables: Tables) -> DataFrame:
         )
         .mapInPandas(_pack, "path string, content binary")
     )
-    return clean_headers(decode_workbooks(books))
+
+
+def _workbook_rows(tables: Tables) -> DataFrame:
+    """The workbooks of customers, read back."""
+    return decode_workbooks(_workbooks(tables), clean=True)
 
 
 @_query
@@ -675,10 +681,47 @@ def workbook_types(tables):
 def workbook_load(tables):
     return typed_rows(
         _workbook_rows(tables),
-        {"cust_key": "bigint", "name": "string", "balance": "double", "segment": "string"},
+        WORKBOOK_TYPES,
     ).drop("row_number")
 
 
+def _save(batches: Iterator[pd.DataFrame], folder: str) -> Iterator[pd.DataFrame]:
+    for books in batches:
+        for path, content in zip(books["path"], books["content"]):
+            system, place = pyarrow.fs.FileSystem.from_uri(f"{folder}/{path}")
+            system.create_dir(place.rpartition("/")[0], recursive=True)
+            with system.open_output_stream(place) as file:
+                file.write(content)
+        yield books[["path"]]
+
+
+@_query
+def workbook_files(tables):
+    """Workbooks written to the shared folder as files and read from there."""
+    folder = new_folder(tables.spark, "workbooks")
+    _workbooks(tables).mapInPandas(lambda batches: _save(batches, folder), "path string").write.format("noop").mode("overwrite").save()
+    rows = typed_rows(read_workbooks(tables.spark, folder, clean=True), WORKBOOK_TYPES)
+    return rows.drop("row_number").withColumn("path", tx.base_name(F.col("path")))
+
+
+@_query
+def ingest_chain(tables):
+    """Mails' workbooks loaded twice: the second load brings the first one's files again,
+    new ones, and one that is no workbook."""
+    root = new_folder(tables.spark, "ingest")
+    books = _workbooks(tables).select(
+        F.col("path").alias("filename"), F.lit("2024-02-01 08:00:00").alias("received_at"), "content")
+    number = F.regexp_extract("filename", r"(\d+)", 1).cast("int")
+    first = books.filter(number % 2 == 0)
+    ingest.ingest_workbooks(first.unionAll(first), root, "customers", WORKBOOK_TYPES, MAIL_AS_OF)
+    broken = books.limit(1).select(F.lit("broken.xlsx").alias("filename"), "received_at", F.lit(b"no zip").alias("content"))
+    failed = ingest.ingest_workbooks(books.unionAll(broken), root, "customers", WORKBOOK_TYPES, MAIL_AS_OF)
+    rows = ingest.ingested_rows(tables.spark, root, "customers").select(
+        F.lit("row").alias("kind"), F.col("cust_key").cast("string").alias("name"), F.lit(None).cast("bigint").alias("n"))
+    log = ingest.ingest_log(tables.spark, root).select(F.lit("file"), "filename", "rows_loaded")
+    return rows.unionAll(log).unionAll(failed.select(F.lit("failed"), "filename", F.lit(None).cast("bigint")))
+
+
 # --- streams ---------------------------------------------------------------
 
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.errors import AnalysisException
 
+import tickettide.functions.text
 import tickettide.sources.workbooks as workbooks
 from checks.xlsx import encode_workbook
 from tickettide.functions.text import table_name
@@ -15,6 +16,7 @@ from tickettide.schema import DOMAINS, INGEST_LOG_SCHEMA
 from tickettide.sources.landed import read_extract, read_pages, records_from_replies
 
 cloudpickle.register_pickle_by_value(workbooks)
+cloudpickle.register_pickle_by_value(tickettide.functions.text)
 
 SALES = [["2025-07-14", "Harbour Mill", "810"], ["2025-07-19", "Old Quarry", "95"], ["2025-08-02", "Tin Lantern", "2240"]]
 
@@ -92,7 +94,7 @@ def test_column_types(spark, folder):
 
 
 def test_from_workbook_to_table(spark, folder, tmp_path):
-    rows = workbooks.clean_headers(workbooks.read_workbooks(spark, folder).filter("path LIKE '%sales%'"))
+    rows = workbooks.read_workbooks(spark, folder, clean=True).filter("path LIKE '%sales%'")
     typed = workbooks.typed_rows(rows, {"invoice_date": "date", "customer": "string", "amount": "bigint"})
     name = typed.select(table_name(typed.path)).first()[0]
     assert name == "sales_q3_2025"
@@ -101,6 +103,34 @@ def test_from_workbook_to_table(spark, folder, tmp_path):
     assert back.count() == 3 and back.agg({"amount": "sum"}).first()[0] == 3145
 
 
+def test_headers_alike_are_the_file_s_own_error(spark):
+    books = spark.createDataFrame(
+        [("bad", encode_workbook(["Name", " name\n"], [["a", "b"]])), ("good", encode_workbook([" Full Name\n", "B"], [["c", "d"]]))],
+        "path string, content binary")
+    rows = {r.path: r for r in workbooks.decode_workbooks(books, clean=True).collect()}
+    assert "alike after cleaning: name" in rows["bad"].error and rows["good"].cells == {"full_name": "c", "b": "d"}
+    assert align.clean_columns(spark.createDataFrame([(1,)], [" Full Name\n"])).columns == ["full_name"]
+
+
+def test_rows_are_dropped_as_they_pass(monkeypatch):
+    from xml.etree import ElementTree
+
+    book = encode_workbook(["n"], ([str(i)] for i in range(20_000)))
+    sizes = []
+    plain = ElementTree.iterparse
+
+    def watched(*args, **kwargs):
+        for event, element in plain(*args, **kwargs):
+            if element.tag.endswith("sheetData"):
+                watched.data = element
+            if event == "end" and element.tag.endswith("row"):
+                sizes.append(len(watched.data))
+            yield event, element
+
+    monkeypatch.setattr(workbooks.ElementTree, "iterparse", watched)
+    assert sum(1 for _ in workbooks._sheet_rows(book)) == 20_000 and max(sizes) < 2000  # the parser reads ahead by a block
+
+
 def test_load_modes(spark, tmp_path):
     path = str(tmp_path / "t")
     rows = spark.createDataFrame([(1, 3), (2, 4)], "a bigint, b bigint")

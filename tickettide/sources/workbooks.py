@@ -1,9 +1,10 @@
 """Rows of many spreadsheet files, one task per group of files.
 
 A workbook is read with the standard library only (it is XML in a zip file):
-first sheet, first row as header. Files come to Python in Arrow batches that
-Spark bounds in bytes (``spark.sql.execution.arrow.maxBytesPerBatch``), and
-rows leave in batches too, so a task never holds more than that at a time.
+first sheet, first row as header. A task holds the bytes of an Arrow batch of
+files (``spark.sql.execution.arrow.maxBytesPerBatch``, one file at least), the
+strings that the workbook shares, and a batch of its rows; the sheet itself is
+read as a stream and its rows are dropped as they pass.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickettide.functions.text import clean_name
 from tickettide.functions.times import parse_time
 
 ROW_SCHEMA = "path string, row_number bigint, cells map<string,string>, error string"
@@ -28,7 +30,7 @@ BATCH_ROWS = 10_000
 DATE_FORMAT_IDS = {*range(14, 23), *range(45, 48)}
 
 
-def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
+def read_workbooks(spark: SparkSession, path: str, clean: bool = False) -> DataFrame:
     """Rows of every ``.xlsx`` file under a path; other workbooks give an error row."""
     files = (
         spark.read.format("binaryFile")
@@ -36,16 +38,23 @@ def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
         .option("recursiveFileLookup", "true")
         .load(path)
     )
-    return decode_workbooks(files)
+    return decode_workbooks(files, clean)
 
 
-def decode_workbooks(files: DataFrame) -> DataFrame:
+def decode_workbooks(files: DataFrame, clean: bool = False) -> DataFrame:
     """Rows of workbooks given as (path, content).
 
-    ``cells`` maps header to text. A file that cannot be read gives one row
+    ``cells`` maps header to text, or the header's clean name to it. A file that
+    cannot be read, or has two headers that are alike when clean, gives one row
     with ``error`` set.
     """
-    return files.select("path", "content").mapInArrow(_decode_batches, ROW_SCHEMA)
+
+    def decode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0), batch.column(1)):
+                yield from _decode_file(path.as_py(), content.as_py(), clean)
+
+    return files.select("path", "content").mapInArrow(decode, ROW_SCHEMA)
 
 
 def typed_rows(rows: DataFrame, columns: Mapping[str, str]) -> DataFrame:
@@ -82,27 +91,11 @@ def column_types(rows: DataFrame) -> DataFrame:
     )
 
 
-def clean_headers(rows: DataFrame) -> DataFrame:
-    """Headers in lower case, trimmed, with underscores for spaces."""
-    return rows.withColumn(
-        "cells",
-        F.transform_keys(
-            "cells", lambda name, _: F.translate(F.lower(F.trim(name)), " ", "_")
-        ),
-    )
-
-
-def _decode_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for path, content in zip(batch.column(0), batch.column(1)):
-            yield from _decode_file(path.as_py(), content.as_py())
-
-
-def _decode_file(path: str, content: bytes) -> Iterator[pa.RecordBatch]:
+def _decode_file(path: str, content: bytes, clean: bool = False) -> Iterator[pa.RecordBatch]:
     numbers: list[int] = []
     cells: list[list[tuple[str, str | None]]] = []
     try:
-        for number, row in enumerate(_sheet_rows(content), start=1):
+        for number, row in enumerate(_sheet_rows(content, clean), start=1):
             numbers.append(number)
             cells.append(row)
             if len(numbers) == BATCH_ROWS:
@@ -131,7 +124,7 @@ def _local(tag: str) -> str:
     return tag.rpartition("}")[2]
 
 
-def _sheet_rows(content: bytes) -> Iterator[list[tuple[str, str | None]]]:
+def _sheet_rows(content: bytes, clean: bool = False) -> Iterator[list[tuple[str, str | None]]]:
     """Data rows of the first sheet as (header, text) pairs. Empty rows are passed over."""
     with zipfile.ZipFile(io.BytesIO(content)) as book:
         sheet, epoch = _first_sheet(book)
@@ -139,13 +132,18 @@ def _sheet_rows(content: bytes) -> Iterator[list[tuple[str, str | None]]]:
         dates = _date_styles(book)
         headers: list[str] | None = None
         with book.open(sheet) as xml:
-            for _, element in ElementTree.iterparse(xml):
+            rows = None
+            for event, element in ElementTree.iterparse(xml, events=("start", "end")):
+                if event == "start":
+                    rows = element if _local(element.tag) == "sheetData" else rows
+                    continue
                 if _local(element.tag) != "row":
                     continue
                 values = dict(_row_values(element, shared, dates, epoch))
-                element.clear()
+                if rows is not None:
+                    rows.clear()  # the row goes with its place in the sheet
                 if headers is None:
-                    headers = _header_names(values)
+                    headers = _clean_headers(_header_names(values)) if clean else _header_names(values)
                 elif any(v is not None for v in values.values()):
                     yield [(name, values.get(i)) for i, name in enumerate(headers)]
 
@@ -247,3 +245,11 @@ def _header_names(values: Mapping[int, str | None]) -> list[str]:
         seen[name] = repeat + 1
         names.append(f"{name}.{repeat}" if repeat else name)
     return names
+
+
+def _clean_headers(names: list[str]) -> list[str]:
+    cleaned = [clean_name(name) for name in names]
+    alike = sorted({name for name in cleaned if cleaned.count(name) > 1})
+    if alike:
+        raise ValueError(f"headers alike after cleaning: {', '.join(alike)}")
+    return cleaned
