@@ -210,8 +210,22 @@ def test_line_groups_equal_brute_force(documents):
     groups = reachable(lines, linked)
     order = {t: i for i, t in enumerate(lines)}
     repeated = {order[t] for t in lines if order[t] != min(order[m] for m in groups[t])}
-    got = line_dedup.repeated_lines(documents(*((i, t) for t, i in order.items())))
-    assert {r.doc_id for r in got.collect()} == repeated and len(repeated) > 10
+    docs = documents(*((i, t) for t, i in order.items()))
+    for slice_lines in (4000, 2):
+        got = line_dedup.repeated_lines(docs, slice_lines=slice_lines)
+        assert {r.doc_id for r in got.collect()} == repeated and len(repeated) > 10
+
+
+def test_many_prints_of_a_key_find_the_same_partners(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    number, masks = 0, np.array([m for _, m in line_dedup.block_keys()], np.uint64)
+    base = rng.integers(0, 2**63, 60).astype(np.uint64)
+    prints = np.concatenate([base ^ np.uint64(1 << b) for b in (0, 20, 30, 45, 63)] + [base]) & ~masks[number]
+    whole = line_dedup._with_partner(prints, number, masks)
+    monkeypatch.setattr(line_dedup, "_TILE", 16)
+    assert (line_dedup._with_partner(prints, number, masks) == whole).all() and whole.any()
 
 
 def test_edit_similarity():

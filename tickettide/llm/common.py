@@ -104,8 +104,9 @@ def components(edges: DataFrame, purpose: str) -> DataFrame:
     """(node, component): each node of the edges (src, dst) with the smallest node it reaches.
 
     Alternating large and small stars. A node's neighbours are never gathered:
-    their minimum is a plain aggregate, and the rows of a hot node meet it in an
-    ordinary join, which AQE splits. Each round is written to the shared folder;
+    their minimum is a plain aggregate. It is written down before it is joined,
+    so that both sides of the join come from exchanges of their own and AQE can
+    split the rows of a hot node. Each round is written to the shared folder;
     the rounds grow with the logarithm of the longest path. No edges, no rows.
     """
     spark = edges.sparkSession
@@ -115,7 +116,8 @@ def components(edges: DataFrame, purpose: str) -> DataFrame:
     state = written(state, f"{purpose}-edges")
     mark = _fingerprint(state)
     while True:
-        state = written(_small_star(_large_star(state)), f"{purpose}-round")
+        large = written(_large_star(state), f"{purpose}-large")
+        state = written(_small_star(large), f"{purpose}-small")
         now = _fingerprint(state)
         if now == mark:
             break
@@ -131,13 +133,13 @@ def _fingerprint(edges: DataFrame) -> tuple:
 def _large_star(edges: DataFrame) -> DataFrame:
     """Larger neighbours of each node move to the smallest of its neighbours and itself."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Smaller neighbours of each node, and itself, move to the smallest of them."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = written(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
     moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 

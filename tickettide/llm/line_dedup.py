@@ -27,6 +27,8 @@ BLOCKS = (13, 13, 13, 13, 12)
 PICKED = len(BLOCKS) - DISTANCE
 _BATCH_BYTES = 2 << 20
 _TILE = 2048
+#: Lines of a key whose texts are compared in one group; more are dealt to pairs of slices.
+SLICE_LINES = 4000
 
 _IN_WORD = np.zeros(256, bool)
 _IN_WORD[ord("0") : ord("9") + 1] = _IN_WORD[ord("a") : ord("z") + 1] = _IN_WORD[128:] = True
@@ -202,7 +204,27 @@ def _near_lines(distinct: DataFrame) -> DataFrame:
 
 
 def _with_partner(prints: np.ndarray, number: int, masks: np.ndarray) -> np.ndarray:
-    """Which of the prints of a key have another one near whose first agreeing key is this."""
+    """Which of the prints of a key have another one near whose first agreeing key is this.
+
+    Many prints are compared by pigeonhole once more: of four parts of the bits
+    that the key leaves open, three differing bits leave one alike.
+    """
+    found = np.zeros(len(prints), bool)
+    if len(prints) > 4 * _TILE:
+        open_ = [b for b in range(64) if not int(masks[number]) >> b & 1]
+        for part in range(DISTANCE + 1):
+            own = np.uint64(sum(1 << b for b in open_[part :: DISTANCE + 1]))
+            order = np.argsort(prints & own, kind="stable")
+            values = (prints & own)[order]
+            edges = np.concatenate([[0], np.flatnonzero(values[1:] != values[:-1]) + 1, [len(values)]])
+            for a, b in zip(edges[:-1], edges[1:]):
+                if b - a > 1:
+                    found[order[a:b]] |= _near_each_other(prints[order[a:b]], number, masks)
+        return found
+    return _near_each_other(prints, number, masks)
+
+
+def _near_each_other(prints: np.ndarray, number: int, masks: np.ndarray) -> np.ndarray:
     found = np.zeros(len(prints), bool)
     for i in range(0, len(prints), _TILE):
         for j in range(i, len(prints), _TILE):
@@ -242,14 +264,14 @@ def _forest(rows: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int, int
 
 
 def _verified(stream):
-    """Links of the groups (key, at); the rows come sorted by them."""
+    """Links of the groups (key, at, one, other); the rows come sorted by them."""
     current, rows = None, []
     for batch in stream:
         found: list = []
-        for key, at, high, low, print_, text in zip(*(c.to_pylist() for c in batch.columns)):
-            if (key, at) != current:
+        for *own, high, low, print_, text in zip(*(c.to_pylist() for c in batch.columns)):
+            if own != current:
                 found += _forest(rows)
-                current, rows = (key, at), []
+                current, rows = own, []
             rows.append((high, low, print_ & 0xFFFFFFFFFFFFFFFF, text))
         yield _pairs(found)
     yield _pairs(_forest(rows))
@@ -282,7 +304,23 @@ def _texts(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     return batches(rows.select("places", "text"), each, "high long, low long, print long, text binary")
 
 
-def line_groups(documents: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
+def _sliced(near: DataFrame, slice_lines: int) -> DataFrame:
+    """`near` with `one` and `other`, the slices of its key that a row is compared in.
+
+    A key of many lines is cut into slices by the print, and every pair of
+    slices is a group of its own, so no pair of lines is missed and no group
+    grows with the key.
+    """
+    many = written(near.groupBy("key", "at").count().where(F.col("count") > slice_lines), "lines-many")
+    counted = near.join(many, ["key", "at"], "left")
+    slices = F.ceil(F.coalesce("count", F.lit(1)) / F.lit(slice_lines)).cast("int")
+    own = F.pmod(F.xxhash64("print"), F.col("_slices")).cast("int")
+    pairs = counted.withColumn("_slices", slices).withColumn("_own", own).withColumn(
+        "_other", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)))
+    return pairs.select("key", "at", "print", F.least("_own", "_other").alias("one"), F.greatest("_own", "_other").alias("other"))
+
+
+def line_groups(documents: DataFrame, min_words: int = MIN_WORDS, slice_lines: int = SLICE_LINES) -> tuple[DataFrame, DataFrame]:
     """(all lines, groups): `lines` of the documents, written once; and of the distinct
     lines that are linked to others (high, low, group_high, group_low)."""
     every = written(lines(documents), "lines")
@@ -296,8 +334,9 @@ def line_groups(documents: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataF
     rows = distinct.join(some, "print").select("high", "low", "print", "first.doc_id", "first.line")
     texts = _texts(documents, rows).dropDuplicates(["high", "low"])
     parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    together = near.join(texts, "print").select("key", "at", "high", "low", "print", "text")
-    pairs = together.repartition(parts, "key", "at").sortWithinPartitions("key", "at", "high", "low").mapInArrow(
+    group = ["key", "at", "one", "other"]
+    together = _sliced(near, slice_lines).join(texts, "print").select(*group, "high", "low", "print", "text")
+    pairs = together.repartition(parts, *group).sortWithinPartitions(*group, "high", "low").mapInArrow(
         _verified, "a_high long, a_low long, b_high long, b_low long")
     node = lambda side: F.struct(F.col(f"{side}_high").alias("high"), F.col(f"{side}_low").alias("low"))
     linked = components(pairs.select(node("a").alias("src"), node("b").alias("dst")), "lines")
@@ -305,7 +344,7 @@ def line_groups(documents: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataF
         "node.high", "node.low", F.col("component.high").alias("group_high"), F.col("component.low").alias("group_low"))
 
 
-def repeated_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_lines(documents: DataFrame, min_words: int = MIN_WORDS, slice_lines: int = SLICE_LINES) -> DataFrame:
     """(doc_id, line, group_high, group_low, first_doc_id, first_line): every line but the first of its group.
 
     A group holds equal normalised lines and those linked to them; its first
@@ -313,8 +352,8 @@ def repeated_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFram
     `min_words` words never repeat anything. Lines of rows without a doc_id
     come before all others and are never returned themselves.
     """
-    every, groups = line_groups(documents, min_words)
-    able = every.where((F.col("words") >= min_words))
+    every, groups = line_groups(documents, min_words, slice_lines)
+    able = every.where(F.col("words") >= min_words)
     named = able.join(groups, ["high", "low"], "left").select(
         "doc_id", "line", F.coalesce("group_high", "high").alias("group_high"), F.coalesce("group_low", "low").alias("group_low"))
     first = named.groupBy("group_high", "group_low").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")).where("n > 1")
