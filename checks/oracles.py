@@ -522,6 +522,9 @@ def _statements() -> dict[str, str]:
     sql["top_request_types"] = f"""{req} SELECT {ITEM} AS request_type, count(*) AS requests
         FROM request GROUP BY ALL ORDER BY requests DESC, request_type LIMIT 15"""
     sql["run_summary"] = f"{_with(RUN_LOG)} SELECT * FROM run_log ORDER BY id DESC LIMIT 200"
+    sql["catalog_profile"] = " UNION ALL ".join(
+        f"SELECT 'listed_' || name AS name, 'view' AS type, columns, row_count FROM ({_profile(table)})"
+        for table in ("region", "nation", "part"))
     sql["store_retry"] = f"""{_with(CHANGE)} SELECT CAST(1 AS BIGINT) AS run_id, DATE '2024-02-01' AS snapshot_date,
         TIMESTAMP '2024-02-01 09:30:00' AS pulled_at, sys_id, 'change_request' AS domain
         FROM change WHERE risk = '2' GROUP BY sys_id"""

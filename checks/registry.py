@@ -7,7 +7,6 @@ from datetime import datetime
 
 import pandas as pd
 import pyarrow.fs
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +18,7 @@ from tickettide.functions import tickets as t
 from tickettide.functions import times as tm
 from tickettide.operators import align, ingest_log, mail, profile, pull, trends, upsert
 from tickettide.plans import ingest, reports
-from tickettide.plans.loading import load_table
+from tickettide.plans.loading import load_table, read_table
 from tickettide.plans.store import SnapshotStore, run_log_rows
 from tickettide.plans.sync import sync, sync_report
 from tickettide.plans.workspace import new_folder
@@ -244,8 +243,8 @@ def fail_if_exists(tables):
     load_table(tables.supplier, path, "fail")
     try:
         load_table(tables.part, path, "fail")
-    except AnalysisException:
-        return tables.spark.read.parquet(path)
+    except FileExistsError:
+        return read_table(tables.spark, path)
     raise AssertionError("the second load was not refused")
 
 
@@ -285,7 +284,7 @@ def replace_load(tables):
     load_table(tables.supplier, path)
     load_table(tables.supplier, path, "append")
     load_table(tables.part, path, "replace")
-    return tables.spark.read.parquet(path)
+    return read_table(tables.spark, path)
 
 
 @_query
@@ -299,7 +298,7 @@ def append_load(tables):
         ),
         path,
     )
-    return tables.spark.read.parquet(path)
+    return read_table(tables.spark, path)
 
 
 @_query
@@ -588,6 +587,15 @@ def object_profile(tables):
     return profile.object_profile({name: getattr(tables, name) for name in names})
 
 
+@_query
+def catalog_profile(tables):
+    """Views and a saved table of the session, found in its catalog."""
+    spark = tables.spark
+    for name in ("region", "nation", "part"):
+        getattr(tables, name).createOrReplaceTempView(f"listed_{name}")
+    return profile.catalog_profile(spark, "listed_*")
+
+
 @_query
 def preview(tables):
     latest = reports.incident_latest(a.incidents(tables), ORDERS_AS_OF)

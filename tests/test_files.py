@@ -4,14 +4,14 @@ import zipfile
 
 import pytest
 from pyspark import cloudpickle
-from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
 
 import tickettide.functions.text
 import tickettide.sources.workbooks as workbooks
 from checks.xlsx import encode_workbook
 from tickettide.functions.text import table_name
 from tickettide.operators import align, ingest_log, profile
-from tickettide.plans.loading import load_table
+from tickettide.plans.loading import load_table, read_table
 from tickettide.schema import DOMAINS, INGEST_LOG_SCHEMA
 from tickettide.sources.landed import read_extract, read_pages, records_from_replies
 
@@ -99,7 +99,7 @@ def test_from_workbook_to_table(spark, folder, tmp_path):
     name = typed.select(table_name(typed.path)).first()[0]
     assert name == "sales_q3_2025"
     assert load_table(typed.drop("path", "row_number"), str(tmp_path / name)) == 3
-    back = spark.read.parquet(str(tmp_path / name))
+    back = read_table(spark, str(tmp_path / name))
     assert back.count() == 3 and back.agg({"amount": "sum"}).first()[0] == 3145
 
 
@@ -133,19 +133,28 @@ def test_rows_are_dropped_as_they_pass(monkeypatch):
 
 def test_load_modes(spark, tmp_path):
     path = str(tmp_path / "t")
+    table = lambda: read_table(spark, path)
     rows = spark.createDataFrame([(1, 3), (2, 4)], "a bigint, b bigint")
+    assert table() is None
     assert load_table(rows, path) == 2
     assert load_table(rows, path, "append") == 2
-    assert spark.read.parquet(path).count() == 4
+    assert table().count() == 4
     other = spark.createDataFrame([("x", 9)], "c string, b int")
     assert load_table(other, path) == 1
-    assert sorted(map(tuple, spark.read.parquet(path).filter("b = 9").collect())) == [(None, 9)]
-    assert spark.read.parquet(path).columns == ["a", "b"]
-    assert load_table(rows, path, "replace") == 2
-    assert spark.read.parquet(path).count() == 2
-    with pytest.raises(AnalysisException, match="PATH_ALREADY_EXISTS"):
+    assert sorted(map(tuple, table().filter("b = 9").collect())) == [(None, 9)]
+    assert table().columns == ["a", "b"]
+    open_ = table()
+    assert load_table(other, path, "replace") == 1
+    assert table().columns == ["c", "b"] and table().count() == 1
+    assert open_.count() == 5  # who reads the old table still can
+    broken = other.withColumn("b", F.raise_error(F.lit("no")).cast("int"))
+    with pytest.raises(Exception, match="no"):
+        load_table(broken, path, "replace")
+    assert table().count() == 1
+    assert load_table(other, path) == 1 and table().count() == 2
+    with pytest.raises(FileExistsError):
         load_table(rows, path, "fail")
-    with pytest.raises(KeyError):
+    with pytest.raises(ValueError):
         load_table(rows, path, "guess")
 
 
@@ -207,4 +216,10 @@ def test_landed_extracts_may_lack_fields(spark, tmp_path):
 def test_object_profile(spark):
     demo = spark.createDataFrame([(1, "a")], "id int, name string")
     assert [tuple(r) for r in profile.object_profile({"demo": demo}).collect()] == [("demo", "table", "id, name", 1)]
+    demo.createOrReplaceTempView("zz_demo")
+    demo.write.mode("overwrite").saveAsTable("zz_saved")
+    assert [tuple(r) for r in profile.catalog_profile(spark, "zz_*").collect()] == [
+        ("zz_demo", "view", "id, name", 1), ("zz_saved", "table", "id, name", 1)]
+    spark.sql("DROP TABLE zz_saved")
+    assert profile.catalog_profile(spark, "no such*").count() == 0
     assert profile.preview(spark.range(500)).count() == 100
