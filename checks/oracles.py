@@ -2,7 +2,8 @@
 
 Written apart from the Spark code: same meaning, other means. The test tables
 become tickets through the named queries below, which follow the recipes of
-``tickettide.adapters``.
+``tickettide.adapters``. Column names, labels, the states that count as finished
+and the wording of messages are fixed values.
 """
 
 from __future__ import annotations
@@ -395,6 +396,11 @@ def _statements() -> dict[str, str]:
     sql["snapshot_backfill_capped"] = f"""{_with(CHANGE_LOG, BACKFILL)}
         SELECT snapshot_date, sys_id, sys_updated_on, state FROM pulls QUALIFY row_number() OVER
             (PARTITION BY snapshot_date ORDER BY sys_updated_on NULLS FIRST, sys_id) <= 100"""
+    sql["received_records"] = """
+        SELECT CAST(event_id AS VARCHAR) AS sys_id, event_type AS state, CAST(to_json({
+            'sys_id': CAST(event_id AS VARCHAR), 'sys_updated_on': '2024-01-31 00:00:00',
+            'state': {'display_value': upper(event_type), 'value': event_type}, 'extra': user_id}) AS VARCHAR) AS raw_payload
+        FROM events"""
     sql["payload_explode"] = """
         SELECT CAST(event_id AS VARCHAR) AS sys_id, printf('INC%07d', event_id) AS number,
                event_type AS state, CASE WHEN user_id % 5 <> 0 THEN props END AS short_description,

@@ -111,7 +111,7 @@ def capped_fetch_newest(tables):
 def _pull(rows: DataFrame, name: str, as_of: datetime) -> DataFrame:
     domain = DOMAINS[name]
     pulled = pull.pull_domain(rows, domain, as_of, 30)
-    return pull.stamp(pulled, 1, as_of)
+    return pull.stamp(fields_of(pulled), 1, as_of)
 
 
 @_query
@@ -168,6 +168,27 @@ def payload_explode(tables):
     return records.select("sys_id", "number", "state", "short_description", "category")
 
 
+@_query
+def received_records(tables):
+    """Records of reply pages stored as they came: `extra` is no column of a ticket."""
+    record = F.struct(
+        F.col("event_id").cast("string").alias("sys_id"),
+        F.lit("2024-01-31 00:00:00").alias("sys_updated_on"),
+        F.struct(F.upper("event_type").alias("display_value"), F.col("event_type").alias("value")).alias("state"),
+        F.col("user_id").alias("extra"),
+    )
+    pages = (
+        tables.events.withColumn("page", F.floor(F.col("event_id") / PAGE_ROWS))
+        .groupBy("page")
+        .agg(F.to_json(F.struct(F.collect_list(record).alias("result"))).alias("reply"))
+    )
+    store = SnapshotStore(tables.spark, new_folder(tables.spark, "received"))
+    landed = records_from_replies(pages, "reply", DOMAINS["incident"])
+    sync(store, {"incident": landed, "request_item": landed.limit(0).select(F.lit("").alias("sys_updated_on"), *(
+        F.lit(None).cast("string").alias(f) for f in DOMAINS["request_item"].fields if f != "sys_updated_on"))}, EVENTS_AS_OF)
+    return store.current("incident").select("sys_id", "state", "raw_payload")
+
+
 # --- storing ---------------------------------------------------------------
 
 

@@ -198,7 +198,8 @@ def test_reply_pages(spark, tmp_path):
         (tmp_path / f"page{page}.json").write_text(json.dumps({"result": records}, indent=1))
     (tmp_path / "page9.json").write_text('{"result": []}')
     got = read_pages(spark, str(tmp_path), DOMAINS["incident"])
-    assert got.columns == list(DOMAINS["incident"].fields)
+    assert got.columns == [*DOMAINS["incident"].fields, "raw_payload"]
+    assert json.loads(got.filter("sys_id = '3'").first().raw_payload)["unknown"] == 3
     assert sorted((r.sys_id, r.number, r.priority) for r in got.collect()) == [
         (str(n), f"INC000{n}", "1") for n in (1, 2, 3)]
     shown = read_pages(spark, str(tmp_path), DOMAINS["incident"], "display_value")

@@ -130,7 +130,7 @@ def test_table_names_and_extensions(spark):
 
 
 def test_clean_name():
-    assert [text.clean_name(n) for n in ("  First Name ", "Amount $", "Region", 7)] == [
+    assert [text.clean_name(n) for n in ("  First Name ", "Amount $", "Region", "7")] == [
         "first_name", "amount_$", "region", "7"]
 
 

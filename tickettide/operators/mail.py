@@ -147,6 +147,7 @@ def scan_errors(staged: DataFrame) -> DataFrame:
     A table and not a list within the counts: a list of all errors would have
     to fit into one row.
     """
+    # How an error begins.
     text = F.when(F.col("stage") == NOT_MAIL, F.lit("[non-mail item] no received time")).when(
         F.col("stage") == UNREADABLE,
         F.concat(

@@ -103,11 +103,14 @@ def pull_domain(
 ) -> DataFrame:
     """Tickets updated within the lookback, in the domain's columns, oldest first.
 
+    A record that the source has kept (`raw_payload`) comes along.
+
     The lookback compares text with text: ISO times sort as they read, and the
     comparison can be pushed down to the files.
     """
     recent = tickets.filter(F.col(UPDATED) >= lookback_start(as_time(as_of), since_days))
-    return oldest_updates(recent.select(*domain.fields), max_records)
+    kept = [c for c in ("raw_payload",) if c in tickets.columns]
+    return oldest_updates(recent.select(*domain.fields, *kept), max_records)
 
 
 def stamp(rows: DataFrame, run_id: int | Column, as_of: Column | datetime | date | str | None) -> DataFrame:
@@ -228,14 +231,15 @@ def _last_days_needed(spans: DataFrame, dates: Column, max_records: int) -> Data
     )
 
 
-def cap_per_day(rows: DataFrame, max_records: int, salts: int = 64) -> DataFrame:
+def cap_per_day(rows: DataFrame, max_records: int, salts: int | None = None) -> DataFrame:
     """The oldest updates of each snapshot date, up to a cap.
 
     Two steps: within slices of a day, then within the day. A row outside the
     first ``max_records`` of its slice is outside those of its day, so the
     result is exact, and a day holding most of the rows is cut down in many
-    tasks before one task sees it.
+    tasks before one task sees it. There are as many slices as shuffle partitions.
     """
+    salts = salts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col(UPDATED).asc_nulls_first(), F.col("sys_id")]
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64("sys_id"), F.lit(salts)))
     for keys in (["snapshot_date", "_salt"], ["snapshot_date"]):

@@ -23,14 +23,14 @@ TOP_LIST_ROWS = 15
 RUN_HISTORY_ROWS = 200
 
 # Columns of the two latest-state views.
-INCIDENT_LATEST_COLUMNS = """
-    sys_id number state priority category subcategory assignment_group
-    assigned_to opened_at sys_updated_on closed_at
-""".split()
-REQUEST_ITEM_LATEST_COLUMNS = """
-    sys_id number request state priority cat_item assignment_group assigned_to
-    opened_at sys_updated_on closed_at
-""".split()
+INCIDENT_LATEST_COLUMNS = [
+    "sys_id", "number", "state", "priority", "category", "subcategory", "assignment_group",
+    "assigned_to", "opened_at", "sys_updated_on", "closed_at",
+]
+REQUEST_ITEM_LATEST_COLUMNS = [
+    "sys_id", "number", "request", "state", "priority", "cat_item", "assignment_group",
+    "assigned_to", "opened_at", "sys_updated_on", "closed_at",
+]
 
 
 def _state(latest: DataFrame, columns: list[str], as_of) -> DataFrame:

@@ -22,6 +22,7 @@ from collections.abc import Mapping
 from datetime import datetime, timezone
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,10 +58,14 @@ _SETTLED_LOG_SCHEMA = T.StructType([
 
 
 def with_payload(rows: DataFrame, domain: Domain) -> DataFrame:
-    """Stamped rows in the stored columns, with the whole record as JSON."""
-    return rows.withColumn("raw_payload", raw_payload(list(domain.fields))).select(
-        *domain.snapshot_columns
-    )
+    """Stamped rows in the stored columns, with the whole record as JSON.
+
+    A record that the source has kept as it came stays so, display values and
+    fields that are no columns included.
+    """
+    built = raw_payload(list(domain.fields))
+    kept = F.coalesce("raw_payload", built) if "raw_payload" in rows.columns else built
+    return rows.withColumn("raw_payload", kept).select(*domain.snapshot_columns)
 
 
 def run_message(counts: Mapping[str, Column]) -> Column:
@@ -99,6 +104,14 @@ def run_log_rows(
     )
 
 
+def _observed(observation: Observation, rows: DataFrame) -> int:
+    """The count that a write observed; a plan that Spark found to be empty observes nothing."""
+    try:
+        return observation.get["n"]
+    except Py4JJavaError:
+        return rows.count()
+
+
 class SnapshotStore:
     """Reads and writes one store folder. One writer at a time; any number of readers."""
 
@@ -216,7 +229,7 @@ class SnapshotStore:
 
     def _single_run_log(self, pulled, run, as_of, snapshot) -> DataFrame:
         counts = {
-            name: F.lit(pulled[name].get["n"] if name in pulled else 0).cast("bigint")
+            name: F.lit(_observed(pulled[name], snapshot.frames[name]) if name in pulled else 0).cast("bigint")
             for name in DOMAINS
         }
         numbered = stamp(self.spark.range(1).select(), run, as_of).withColumns(

@@ -12,26 +12,26 @@ from dataclasses import dataclass
 from pyspark.sql import types as T
 
 # Ticket fields, in stored column order.
-INCIDENT_FIELDS = """
-    sys_id number opened_at sys_created_on sys_updated_on resolved_at closed_at
-    state priority severity impact urgency category subcategory
-    assignment_group assigned_to caller_id short_description
-""".split()
-REQUEST_ITEM_FIELDS = """
-    sys_id number request opened_at sys_created_on sys_updated_on closed_at
-    state priority cat_item short_description assignment_group assigned_to
-    requested_for
-""".split()
-CHANGE_REQUEST_FIELDS = """
-    sys_id number opened_at sys_created_on sys_updated_on start_date end_date
-    state type risk priority category assignment_group assigned_to
-    short_description
-""".split()
-PROBLEM_FIELDS = """
-    sys_id number opened_at sys_created_on sys_updated_on closed_at state
-    priority known_error category assignment_group assigned_to
-    short_description
-""".split()
+INCIDENT_FIELDS = [
+    "sys_id", "number", "opened_at", "sys_created_on", "sys_updated_on", "resolved_at",
+    "closed_at", "state", "priority", "severity", "impact", "urgency", "category",
+    "subcategory", "assignment_group", "assigned_to", "caller_id", "short_description",
+]
+REQUEST_ITEM_FIELDS = [
+    "sys_id", "number", "request", "opened_at", "sys_created_on", "sys_updated_on", "closed_at",
+    "state", "priority", "cat_item", "short_description", "assignment_group", "assigned_to",
+    "requested_for",
+]
+CHANGE_REQUEST_FIELDS = [
+    "sys_id", "number", "opened_at", "sys_created_on", "sys_updated_on", "start_date",
+    "end_date", "state", "type", "risk", "priority", "category", "assignment_group",
+    "assigned_to", "short_description",
+]
+PROBLEM_FIELDS = [
+    "sys_id", "number", "opened_at", "sys_created_on", "sys_updated_on", "closed_at", "state",
+    "priority", "known_error", "category", "assignment_group", "assigned_to",
+    "short_description",
+]
 
 
 @dataclass(frozen=True)

@@ -10,29 +10,31 @@ from tickettide.functions.tickets import pick_value
 from tickettide.schema import Domain
 
 
-def _reply_schema(domain: Domain) -> T.StructType:
-    return T.StructType([T.StructField("result", T.ArrayType(domain.ticket_schema))])
-
-
-def flatten_fields(records: DataFrame, part: str = "value") -> DataFrame:
-    """Plain text in every column, for fields sent as value and display value."""
-    return records.select(*(pick_value(F.col(c), part).alias(c) for c in records.columns))
+#: Records stay text at first, so that each can be stored as it came.
+_REPLY_SCHEMA = T.StructType([T.StructField("result", T.ArrayType(T.StringType()))])
+RAW = "raw_payload"
 
 
 def records_from_replies(
     replies: DataFrame, column: str, domain: Domain, part: str = "value"
 ) -> DataFrame:
-    """One row per record of each reply text ``{"result": [...]}``."""
-    parsed = F.from_json(F.col(column), _reply_schema(domain))
-    records = replies.select(F.explode(parsed["result"]).alias("record")).select("record.*")
-    return flatten_fields(records, part)
+    """One row per record of each reply text ``{"result": [...]}``, with the record itself as `RAW`."""
+    parsed = F.from_json(F.col(column), _REPLY_SCHEMA)
+    return _fields_and_raw(replies.select(F.explode(parsed["result"]).alias(RAW)), domain, part)
+
+
+def _fields_and_raw(records: DataFrame, domain: Domain, part: str) -> DataFrame:
+    fields = F.from_json(RAW, domain.ticket_schema)
+    parsed = records.withColumn("_fields", fields)
+    return parsed.select(
+        *(pick_value(F.col(f"_fields.{f}"), part).alias(f) for f in domain.fields), RAW
+    )
 
 
 def read_pages(spark: SparkSession, path: str, domain: Domain, part: str = "value") -> DataFrame:
     """Records of all captured reply pages under a path, one reply per file."""
-    pages = spark.read.schema(_reply_schema(domain)).json(path, multiLine=True)
-    records = pages.select(F.explode("result").alias("record")).select("record.*")
-    return flatten_fields(records, part)
+    pages = spark.read.schema(_REPLY_SCHEMA).json(path, multiLine=True)
+    return _fields_and_raw(pages.select(F.explode("result").alias(RAW)), domain, part)
 
 
 def read_extract(spark: SparkSession, path: str, domain: Domain, fmt: str = "parquet") -> DataFrame:
