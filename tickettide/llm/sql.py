@@ -63,7 +63,61 @@ WITH vectors AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
+
+def _pick(before: str, after: str, choice: str) -> str:
+    """One more document per source, the first by `choice` of those that it allows."""
+    where, order = choice.split(" BY ")
+    return f"""
+{after} AS (
+  SELECT d.*, d.more OR coalesce(row_number() OVER (PARTITION BY src, (NOT more AND size > 0 AND ({where}))
+                                                    ORDER BY {order}) = 1 AND NOT more AND size > 0 AND ({where}), false) AS chosen,
+  FROM (SELECT *, rest - sum(CASE WHEN more THEN size ELSE 0 END) OVER (PARTITION BY src) AS gap FROM {before}) d
+), {after}_ AS (SELECT * EXCLUDE (more, chosen, gap), chosen AS more FROM {after})"""
+
+
+_LARGEST = "size <= gap BY size DESC, turn DESC, doc_id DESC, r DESC"
+
+SOURCE_MIX = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, source AS src,
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS BIGINT) AS size,
+         md5('mix' || coalesce(CAST(doc_id AS VARCHAR), '')) AS turn
+  FROM documents
+), sources AS (
+  SELECT src, CAST(sum(size) AS BIGINT) AS total,
+         CAST(1 + (row_number() OVER (ORDER BY src IS NULL, src) - 1) % 3 AS BIGINT) AS weight FROM docs GROUP BY src
+), filled AS (
+  SELECT *, sum(total) OVER () - coalesce(sum(3 * total) OVER ranked, 0) AS left_,
+         sum(weight) OVER () - coalesce(sum(weight) OVER ranked, 0) AS weights
+  FROM sources
+  WINDOW ranked AS (ORDER BY 3.0 * total / weight, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), capped AS (
+  SELECT *, left_ * weight > 3 * total * weights AS above FROM filled
+), level AS (
+  SELECT (SELECT sum(total) FROM sources) - coalesce(sum(CASE WHEN above THEN 3 * total END), 0) AS left_over,
+         sum(CASE WHEN above THEN 0 ELSE weight END) AS open_weight
+  FROM capped
+), targets AS (
+  SELECT src, total, CASE WHEN above THEN CAST(3 * total AS DOUBLE)
+                          ELSE CAST(left_over * weight AS DOUBLE) / CAST(open_weight AS DOUBLE) END AS target
+  FROM capped, level
+), sent AS (
+  SELECT *, least(CAST(round_even(target, 0) AS BIGINT), 3 * total) AS sent FROM targets
+), plan AS (
+  SELECT *, CASE WHEN total > 0 THEN sent // total ELSE 0 END AS times, CASE WHEN total > 0 THEN sent % total ELSE 0 END AS rest FROM sent
+), d0 AS (
+  SELECT r, doc_id, d.src, size, turn, total, target, times, rest,
+         rest > 0 AND sum(size) OVER (PARTITION BY d.src ORDER BY turn, doc_id NULLS FIRST, size, r) <= rest AS more
+  FROM docs d JOIN plan p ON d.src IS NOT DISTINCT FROM p.src
+),""" + _pick("d0", "d1", _LARGEST) + "," + _pick("d1_", "d2", _LARGEST) + "," + _pick("d2_", "d3", _LARGEST) + "," + _pick(
+    "d3_", "d4", "gap > 0 AND size < 2 * gap BY size, turn, doc_id, r") + """
+SELECT doc_id, size, total AS source_size, target,
+       CAST(CASE WHEN size > 0 THEN (times + CASE WHEN more THEN 1 ELSE 0 END) * size ELSE 0 END AS BIGINT) AS taken
+FROM d4_
+"""
+
 STATEMENTS = {
+    "op5_source_mixing": SOURCE_MIX,
     "op1_warc_from_arc": ARCHIVED_PAGES,
     "op7_vantage_point_search": NEAREST_VECTORS,
     "op2_benchmark_decontamination": BENCHMARK_HITS,
