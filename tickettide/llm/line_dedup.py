@@ -28,7 +28,7 @@ PICKED = len(BLOCKS) - DISTANCE
 _BATCH_BYTES = 2 << 20
 _TILE = 2048
 #: Lines of a key whose texts are compared in one group; more are dealt to pairs of slices.
-SLICE_LINES = 4000
+SLICE_LINES = 1000
 
 _IN_WORD = np.zeros(256, bool)
 _IN_WORD[ord("0") : ord("9") + 1] = _IN_WORD[ord("a") : ord("z") + 1] = _IN_WORD[128:] = True

@@ -182,17 +182,19 @@ def mix(documents: DataFrame, share: Fraction | int = 1, most: int = MAX_REPEATS
 
 def _select(planned: DataFrame) -> DataFrame:
     """Adds repeats: the whole rounds, and one more for the chosen part of each pattern."""
-    bucket = F.substring("turn", 1, BUCKET_DIGITS)
     spark = planned.sparkSession
-    planned = planned.withColumn("bucket", bucket)
-    by_bucket = planned.where("rest > 0").groupBy("sources", "bucket").agg(F.sum("size").alias("bucket_size"))
-    order = Window.partitionBy("sources").orderBy("bucket")
-    before = by_bucket.withColumn("before", F.sum("bucket_size").over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    before = before.select("sources", "bucket", F.coalesce("before", F.lit(0)).alias("before"), "bucket_size")
-    rests = planned.select("sources", "rest").distinct()
-    edge = before.join(rests, "sources").where("before <= rest and before + bucket_size > rest").groupBy("sources").agg(
-        F.min_by("bucket", "bucket").alias("edge"), F.min_by("before", "bucket").alias("edge_before"))
-    # One row per pattern, which max_patterns bounds.
+    open_ = planned.where("rest > 0")
+    edge = open_.groupBy("sources").agg(F.lit("").alias("edge"), F.lit(0).cast("long").alias("edge_before"))
+    # One row per pattern, which max_patterns bounds; a level has 256 buckets of each.
+    for digits in range(2, BUCKET_DIGITS + 1, 2):
+        near = open_.join(F.broadcast(edge), "sources").where(F.substring("turn", 1, digits - 2) == F.col("edge"))
+        sums = near.groupBy("sources", F.substring("turn", 1, digits).alias("bucket")).agg(
+            F.sum("size").alias("bucket_size"), F.max("rest").alias("rest"), F.max("edge_before").alias("edge_before"))
+        earlier = F.sum("bucket_size").over(Window.partitionBy("sources").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+        before = sums.withColumn("before", F.col("edge_before") + F.coalesce(earlier, F.lit(0)))
+        edge = written(before.where("before <= rest and before + bucket_size > rest").groupBy("sources").agg(
+            F.min("bucket").alias("edge"), F.min_by("before", "bucket").alias("edge_before")), "mix-edge")
+    planned = planned.withColumn("bucket", F.substring("turn", 1, BUCKET_DIGITS))
     rows = written(planned.join(F.broadcast(edge), "sources", "left"), "mix-order")
     inner = rows.where("bucket = edge")
     at = Window.partitionBy("sources").orderBy("turn", F.col("doc_id").asc_nulls_first(), "size", "row")
