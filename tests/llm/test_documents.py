@@ -228,6 +228,22 @@ def test_many_prints_of_a_key_find_the_same_partners(monkeypatch):
     assert (line_dedup._with_partner(prints, number, masks) == whole).all() and whole.any()
 
 
+def test_small_and_large_groups_find_the_same_partners(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    masks = np.array([m for _, m in line_dedup.block_keys()], np.uint64)
+    base = rng.integers(0, 2**63, 40).astype(np.uint64)
+    prints = np.unique(np.concatenate([base, *(base ^ np.uint64(sum(1 << int(b) for b in rng.integers(0, 64, 3))) for _ in range(6))]))
+    rows = sorted((k, int(p) & int(m), int(p)) for k, m in enumerate(masks) for p in prints)
+    keys, at, values = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.uint64), np.array([r[2] for r in rows], np.uint64)
+    small = line_dedup._partners(keys, at, values, masks)
+    monkeypatch.setattr(line_dedup, "_SMALL", 1)
+    assert line_dedup._partners(keys, at, values, masks).tolist() == small.tolist()
+    near = {int(p) for p in prints if any(0 < (int(p) ^ int(q)).bit_count() <= 3 for q in prints)}
+    assert {int(values[i]) for i in small} == near and len(near) > 30
+
+
 def test_edit_similarity():
     rng = random.Random(4)
 

@@ -27,6 +27,7 @@ BLOCKS = (13, 13, 13, 13, 12)
 PICKED = len(BLOCKS) - DISTANCE
 _BATCH_BYTES = 2 << 20
 _TILE = 2048
+_SMALL = 64
 #: Lines of a key whose texts are compared in one group; more are dealt to pairs of slices.
 SLICE_LINES = 1000
 
@@ -184,25 +185,47 @@ def _near_lines(distinct: DataFrame) -> DataFrame:
             yield from partnered(carried)
 
     def partnered(table):
-        if table.shape[1] < 2:
-            return
-        edges = np.flatnonzero(np.any(table[:2, 1:] != table[:2, :-1], axis=0)) + 1
-        edges = np.concatenate([[0], edges, [table.shape[1]]])
-        keep = []
-        for a, b in zip(edges[:-1], edges[1:]):
-            if b - a > 1:
-                prints, number = table[2, a:b].view(np.uint64), int(table[0, a])
-                keep.append(a + np.flatnonzero(_with_partner(prints, number, masks)))
-        if keep:
-            rows = np.concatenate(keep)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(table[0, rows].astype(np.int32)), pa.array(table[1, rows]), pa.array(table[2, rows])], ["key", "at", "print"])
+        if table.shape[1] > 1:
+            rows = _partners(table[0], table[1], table[2].view(np.uint64), masks)
+            if len(rows):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(table[0, rows].astype(np.int32)), pa.array(table[1, rows]), pa.array(table[2, rows])], ["key", "at", "print"])
 
     parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sent = batches(distinct.select("print").distinct(), spread, "key int, at long, print long")
     return sent.repartition(parts, "key", "at").sortWithinPartitions("key", "at").mapInArrow(meet, "key int, at long, print long")
 
 
+def _partners(keys: np.ndarray, at: np.ndarray, prints: np.ndarray, masks: np.ndarray) -> np.ndarray:
+    """The rows, sorted by (key, at), that have a near partner whose first agreeing key is theirs.
+
+    Small groups, nearly all, are compared at once: every row with the next one
+    of its group, then with the one after that, and so on.
+    """
+    edges = np.flatnonzero((keys[1:] != keys[:-1]) | (at[1:] != at[:-1])) + 1
+    edges = np.concatenate([[0], edges, [len(keys)]])
+    sizes = np.diff(edges)
+    group = np.repeat(np.arange(len(sizes)), sizes)
+    found = np.zeros(len(keys), bool)
+    first = np.flatnonzero((sizes[group] > 1) & (sizes[group] <= _SMALL))
+    for step in range(1, _SMALL):
+        first = first[first + step < len(keys)]
+        first = first[group[first] == group[first + step]]
+        if not len(first):
+            break
+        apart = prints[first] ^ prints[first + step]
+        near = np.flatnonzero(popcount(apart) <= DISTANCE)
+        apart, one = apart[near], first[near]
+        own = np.ones(len(near), bool)
+        for number, mask in enumerate(masks):
+            own &= (keys[one] <= number) | (apart & mask != 0)
+        found[one[own]] = found[one[own] + step] = True
+    for g in np.flatnonzero(sizes > _SMALL):
+        inside = slice(edges[g], edges[g + 1])
+        found[inside] = _with_partner(prints[inside], int(keys[edges[g]]), masks)
+    return np.flatnonzero(found)
+
+
 def _with_partner(prints: np.ndarray, number: int, masks: np.ndarray) -> np.ndarray:
     """Which of the prints of a key have another one near whose first agreeing key is this.
 
