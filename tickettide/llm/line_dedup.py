@@ -11,6 +11,7 @@ the links of a spanning forest, never all pairs.
 from __future__ import annotations
 
 from itertools import combinations
+from operator import ne
 
 import numpy as np
 import pyarrow as pa
@@ -110,19 +111,29 @@ def edit_similarity(a: bytes, b: bytes, least: float) -> float:
 
     Banded dynamic programming: the band is what `least` allows.
     """
-    x, y = a.split(b" "), b.split(b" ")
+    return word_similarity(a.split(b" "), b.split(b" "), least)
+
+
+def word_similarity(x: list[bytes], y: list[bytes], least: float) -> float:
+    """`edit_similarity` of lines already cut into words."""
     if len(x) > len(y):
         x, y = y, x
     n, m = len(x), len(y)
+    whole = m
     most = int((1 - least) * m + 1e-9)
     if m - n > most:
         return 0.0
+    if n == m:
+        # Words changed in place are the usual case, and bound the distance from above.
+        changed = sum(map(ne, x, y))
+        if changed <= 1:
+            return 1 - changed / whole
     while n and x[n - 1] == y[m - 1]:
         n, m = n - 1, m - 1
     skip = 0
     while skip < n and x[skip] == y[skip]:
         skip += 1
-    x, y, whole = x[skip:n], y[skip:m], max(len(a.split(b" ")), len(b.split(b" ")))
+    x, y = x[skip:n], y[skip:m]
     n, m = len(x), len(y)
     infinite = most + 1
     row = [j if j <= most else infinite for j in range(m + 1)]
@@ -262,7 +273,7 @@ def _near_each_other(prints: np.ndarray, number: int, masks: np.ndarray) -> np.n
     return found
 
 
-def _forest(rows: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int, int, int]]:
+def _forest(rows: list[tuple[int, int, int, list[bytes]]]) -> list[tuple[int, int, int, int]]:
     """Links that connect what the pairs within DISTANCE and SIMILARITY connect."""
     clusters: list[list] = []
     found = []
@@ -270,7 +281,7 @@ def _forest(rows: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int, int
         joined = None
         for cluster in clusters[:]:
             hit = next((m for m in cluster if (m[2] ^ row[2]).bit_count() <= DISTANCE
-                        and edit_similarity(m[3], row[3], SIMILARITY) >= SIMILARITY), None)
+                        and word_similarity(m[3], row[3], SIMILARITY) >= SIMILARITY), None)
             if hit is None:
                 continue
             found.append((*row[:2], *hit[:2]))
@@ -295,7 +306,7 @@ def _verified(stream):
             if own != current:
                 found += _forest(rows)
                 current, rows = own, []
-            rows.append((high, low, print_ & 0xFFFFFFFFFFFFFFFF, text))
+            rows.append((high, low, print_ & 0xFFFFFFFFFFFFFFFF, text.split(b" ")))
         yield _pairs(found)
     yield _pairs(_forest(rows))
 
