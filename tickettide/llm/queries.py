@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tickettide.llm import archives, decontamination, html_text, line_dedup, mixing, quality, simhash, token_counts, toxicity, vptree
+from tickettide.llm import archives, decontamination, html_text, line_dedup, mixing, ngram_rules, quality, simhash, token_counts, toxicity, vptree
 from tickettide.llm.labelled import fold
 
 
@@ -69,6 +69,14 @@ def deduped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(documents)
 
 
+def ruled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trusted are the documents labelled good; the raw corpus is all of them."""
+    trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    rows = ngram_rules.judged(table(spark, sf_dir, "documents").select("doc_id", "text"), trusted)
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+    return rows.select("doc_id", *(F.col(f"_{n}").alias(n) for n in names))
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc_from_arc": archived_pages,
@@ -81,5 +89,6 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html_text": page_texts,
         "op9_toxicity": toxicity_scores,
         "op10_line_dedup": deduped_lines,
+        "op11_ngram_quality_rules": ruled_documents,
         "pipeline": corpus_pipeline.run,
     }
