@@ -80,7 +80,8 @@ _LARGEST = "size <= gap BY size DESC, turn DESC, doc_id DESC, r DESC"
 SOURCE_MIX = r"""
 WITH docs AS (
   SELECT row_number() OVER () AS r, doc_id, source AS src,
-         CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS BIGINT) AS size,
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS BIGINT) AS size,
          md5('mix' || coalesce(CAST(doc_id AS VARCHAR), '')) AS turn
   FROM documents
 ), sources AS (
@@ -116,9 +117,68 @@ SELECT doc_id, size, total AS source_size, target,
 FROM d4_
 """
 
+# CRC-32 of an id's decimal digits: a byte at a time, eight shifts a byte.
+_CRC_BYTE = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)"
+
+
+def _crc32(identifier: str) -> str:
+    digits = f"[CAST(ord(d) AS BIGINT) FOR d IN string_split(CAST({identifier} AS VARCHAR), '')]"
+    return f"xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], {digits}), lambda c, b: {_CRC_BYTE}), 4294967295)"
+
+
+def _encoded(value: str) -> str:
+    return f"coalesce(CAST(octet_length(encode(CAST({value} AS VARCHAR))) AS VARCHAR) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(map(_encoded, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+
+
+def _levels(name: str, leaves: str) -> str:
+    """Every level of every tree: sixteen neighbours become one node while a tree has several."""
+    return f"""{name} AS (
+  SELECT 0 AS level, tree, i, node FROM {leaves}
+  UNION ALL
+  SELECT level + 1, tree, i // 16, sha256(string_agg(node, '' ORDER BY i))
+  FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM {name}) WHERE n > 1 GROUP BY level, tree, i // 16
+), {name}_around AS (
+  SELECT *, coalesce(string_agg(node, '') OVER (PARTITION BY level, tree, i // 16 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+         coalesce(string_agg(node, '') OVER (PARTITION BY level, tree, i // 16 ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r,
+         count(*) OVER (PARTITION BY level, tree) AS n
+  FROM {name}
+)"""
+
+
+DATASET_MANIFEST = f"""
+WITH RECURSIVE leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, node) - 1 AS i
+  FROM (SELECT row_number() OVER () AS id, doc_id, source, {_encoded('source')} AS tree, {_leaf('text')} AS node,
+               CASE WHEN {_crc32('doc_id')} % 5 = 0 THEN {_leaf(_LOWER.format('text'))} END AS changed FROM documents)
+), {_levels('inner_', 'leaves')}, subroots AS (
+  SELECT 'all' AS tree, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, node, own
+  FROM (SELECT u.tree AS own, u.node, s.source FROM inner__around u
+        JOIN (SELECT tree, any_value(source) AS source FROM leaves GROUP BY tree) s USING (tree) WHERE n = 1)
+), {_levels('outer_', 'subroots')}, paths AS (
+  SELECT v.id, level, l, r FROM leaves v JOIN inner__around u ON u.tree = v.tree AND u.n > 1 AND u.i = v.i // CAST(pow(16, level) AS BIGINT)
+  UNION ALL
+  SELECT v.id, 1000 + level, l, r FROM leaves v JOIN subroots s ON s.own = v.tree
+  JOIN outer__around u ON u.n > 1 AND u.i = s.i // CAST(pow(16, level) AS BIGINT)
+), ways AS (
+  SELECT id, list(l || '|' || r ORDER BY level) AS way, string_agg(l || r, '' ORDER BY level) AS beside FROM paths GROUP BY id
+), folded AS (
+  SELECT v.doc_id, v.node AS leaf, s.node AS subroot, (SELECT node FROM outer__around WHERE n = 1) AS root,
+         sha256(coalesce(beside, '')) AS proof_sha256,
+         list_reduce(list_concat([coalesce(changed, v.node)], coalesce(way, [])),
+                     lambda h, w: sha256(split_part(w, '|', 1) || h || split_part(w, '|', 2))) AS folded_root
+  FROM leaves v JOIN subroots s ON s.own = v.tree LEFT JOIN ways USING (id)
+)
+SELECT *, folded_root = root AS verified FROM folded
+"""
+
 STATEMENTS = {
     "op5_source_mixing": SOURCE_MIX,
     "op1_warc_from_arc": ARCHIVED_PAGES,
     "op7_vantage_point_search": NEAREST_VECTORS,
     "op2_benchmark_decontamination": BENCHMARK_HITS,
+    "op13_merkle_manifest": DATASET_MANIFEST,
 }
