@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tickettide.llm import archives, decontamination, html_text, line_dedup, merkle, mixing, ngram_rules, quality, simhash, token_counts, toxicity, vptree
+from tickettide.llm import archives, decontamination, html_text, line_dedup, merkle, mixing, ngram_rules, prefix_trie, quality, simhash, token_counts, toxicity, vptree
 from tickettide.llm.labelled import fold
 
 
@@ -77,6 +77,10 @@ def ruled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *(F.col(f"_{n}").alias(n) for n in names))
 
 
+def conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def dataset_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
@@ -94,6 +98,7 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_toxicity": toxicity_scores,
         "op10_line_dedup": deduped_lines,
         "op11_ngram_quality_rules": ruled_documents,
+        "op12_conversation_prefix_trie": conversation_trie,
         "op13_merkle_manifest": dataset_manifest,
         "pipeline": corpus_pipeline.run,
     }

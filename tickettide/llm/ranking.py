@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -58,7 +58,10 @@ def _numbered(stream, group: list[str]):
         yield held.set_column(held.num_columns - 1, LAST, pa.array(ends))
 
 
-def placed(rows: DataFrame, group: Sequence[str], order: Sequence[str], purpose: str, sort: Sequence[str] = ()) -> DataFrame:
+def placed(
+    rows: DataFrame, group: Sequence[str], order: Sequence[str], purpose: str, sort: Sequence[str] = (),
+    keep: Callable[[DataFrame], DataFrame] = lambda sorted_rows: sorted_rows,
+) -> DataFrame:
     """Rows with their place (`_place`, from 1) within their group in ascending order, nulls first.
 
     Rows are dealt out by ranges of group and order, so a group of any size is
@@ -66,14 +69,15 @@ def placed(rows: DataFrame, group: Sequence[str], order: Sequence[str], purpose:
     by. Only the first group of a partition can have begun in an earlier one;
     what it has there is a row per partition, which is added up and broadcast.
     `sort` settles ties of `order`, which then only bounds the ranges: rows tied
-    by it stay in one partition. `group` may be empty: all rows are one group.
+    by it stay in one partition. `keep` projects the sorted rows, before they
+    are written. `group` may be empty: all rows are one group.
     Rows of equal group and order get places in no fixed order.
     """
     group, order = list(group), list(order)
-    names = [f.name for f in rows.schema.fields]
-    schema = T.StructType([*rows.schema.fields, T.StructField(PART, T.IntegerType()), T.StructField(PLACE, T.LongType()),
+    dealt = keep(rows.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order, *sort))
+    names = dealt.columns
+    schema = T.StructType([*dealt.schema.fields, T.StructField(PART, T.IntegerType()), T.StructField(PLACE, T.LongType()),
                            T.StructField(FIRST, T.BooleanType()), T.StructField(LAST, T.BooleanType())])
-    dealt = rows.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order, *sort)
     local = written(dealt.mapInArrow(lambda stream: _numbered(stream, group), schema), purpose)
     # Null groups compare as equal in windows.
     ends = local.where(LAST).select(PART, *group, F.col(PLACE).alias("_n"))

@@ -175,10 +175,47 @@ WITH RECURSIVE leaves AS (
 SELECT *, folded_root = root AS verified FROM folded
 """
 
+CONVERSATION_TRIE = f"""
+WITH said AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS base, {_crc32('conv_id')} % 9 AS h FROM (SELECT DISTINCT conv_id FROM said)
+), pieces AS (
+  SELECT c.conv_id, 0 AS part, p, role, text FROM convs c JOIN said s ON s.conv_id = c.base AND p <= h
+  UNION ALL
+  SELECT c.conv_id, 1 AS part, p, role, text FROM convs c JOIN said s ON s.conv_id = c.conv_id AND p > h
+), rebuilt AS (
+  SELECT conv_id, coalesce(turns, []) AS turns FROM convs LEFT JOIN (
+    SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY part, p) AS turns FROM pieces GROUP BY conv_id) USING (conv_id)
+), prefixes AS (
+  SELECT conv_id, d, len(turns) AS n, turns[1:d] AS prefix FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS d FROM rebuilt)
+), nodes AS (
+  SELECT d, prefix, min(conv_id) AS conv_id, count(*) AS n_convs,
+         coalesce(string_agg(CASE WHEN d = n THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '') AS ends
+  FROM prefixes GROUP BY d, prefix
+), children AS (
+  SELECT d - 1 AS d, prefix[1:d - 1] AS prefix, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1, 2
+), figures AS (
+  SELECT v.*, coalesce(c.n, 0) AS n_children,
+         CASE WHEN v.d > 0 THEN (n_convs - 1) * octet_length(encode(v.prefix[v.d].text)) ELSE 0 END AS saved
+  FROM nodes v LEFT JOIN children c ON c.d = v.d AND c.prefix = v.prefix
+), below AS (
+  SELECT k AS d, prefix[1:k] AS prefix, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(saved) AS saved_tokens
+  FROM (SELECT *, unnest(range(0, d + 1)) AS k FROM figures) GROUP BY 1, 2
+)
+SELECT f.conv_id, f.d AS depth, u.conv_id AS parent_conv_id, f.n_convs, f.n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+       CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(f.ends) AS ends_sha256
+FROM figures f JOIN below b ON b.d = f.d AND b.prefix = f.prefix
+LEFT JOIN nodes u ON u.d = f.d - 1 AND u.prefix = f.prefix[1:f.d - 1]
+"""
+
 STATEMENTS = {
     "op5_source_mixing": SOURCE_MIX,
     "op1_warc_from_arc": ARCHIVED_PAGES,
     "op7_vantage_point_search": NEAREST_VECTORS,
     "op2_benchmark_decontamination": BENCHMARK_HITS,
+    "op12_conversation_prefix_trie": CONVERSATION_TRIE,
     "op13_merkle_manifest": DATASET_MANIFEST,
 }
