@@ -396,6 +396,12 @@ def _statements() -> dict[str, str]:
     sql["snapshot_backfill_capped"] = f"""{_with(CHANGE_LOG, BACKFILL)}
         SELECT snapshot_date, sys_id, sys_updated_on, state FROM pulls QUALIFY row_number() OVER
             (PARTITION BY snapshot_date ORDER BY sys_updated_on NULLS FIRST, sys_id) <= 100"""
+    wide = """wide_log AS (SELECT * REPLACE (CAST(CAST(substr(number, 4) AS BIGINT) % 7000 AS VARCHAR) AS sys_id) FROM change_log)"""
+    sql["snapshot_backfill_large_cap"] = f"""{_with(CHANGE_LOG, wide, BACKFILL.replace("change_log", "wide_log"))}
+        SELECT snapshot_date, sys_id, sys_updated_on, state FROM pulls QUALIFY row_number() OVER
+            (PARTITION BY snapshot_date ORDER BY sys_updated_on NULLS FIRST, sys_id) <= 1500"""
+    sql["capped_fetch_bulk_update"] = f"""{inc} SELECT sys_id, number, '2001-01-01 00:00:00' AS sys_updated_on, state
+        FROM incident WHERE snapshot_date = CAST(opened_at AS DATE) ORDER BY sys_id LIMIT 4000"""
     sql["received_records"] = """
         SELECT CAST(event_id AS VARCHAR) AS sys_id, event_type AS state, CAST(to_json({
             'sys_id': CAST(event_id AS VARCHAR), 'sys_updated_on': '2024-01-31 00:00:00',

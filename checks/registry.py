@@ -148,6 +148,25 @@ def snapshot_backfill_capped(tables):
     ).select("snapshot_date", "sys_id", "sys_updated_on", "state")
 
 
+@_query
+def snapshot_backfill_large_cap(tables):
+    """Events dealt out to 7,000 tickets: more of them a day than the cap, itself beyond what a group limit takes."""
+    log = a.change_log(tables.events).withColumn(
+        "sys_id", F.expr("CAST(CAST(substr(number, 4) AS BIGINT) % 7000 AS STRING)"))
+    return pull.backfill(
+        log, DOMAINS["incident"], *BACKFILL_DAYS, since_days=7, max_records=1500
+    ).select("snapshot_date", "sys_id", "sys_updated_on", "state")
+
+
+@_query
+def capped_fetch_bulk_update(tables):
+    """All orders updated in one second, a quarter of them wanted: the cap falls among equal times."""
+    rows = a.incidents(tables).drop("raw_payload").filter("snapshot_date = CAST(opened_at AS DATE)")
+    return pull.oldest_updates(
+        rows.withColumn("sys_updated_on", F.lit("2001-01-01 00:00:00")), 4000
+    ).select("sys_id", "number", "sys_updated_on", "state")
+
+
 @_query
 def payload_explode(tables):
     """Events packed into reply pages of 500 records, then unpacked."""

@@ -11,11 +11,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickettide.functions.times import as_time, parse_time, to_second
+from tickettide.operators.selection import Level, first_rows, written
 from tickettide.operators.upsert import first_per_key
 from tickettide.schema import DEFAULT_LOOKBACK_DAYS, DOMAINS, Domain
 
 UPDATED = "sys_updated_on"
-HIGHEST_CHARACTER = "\U0010ffff"  # sorts after any time of the day it is put behind
 
 
 def query_table(
@@ -60,33 +60,20 @@ def oldest_updates(
     *,
     newest_first: bool = False,
     tie_break: Sequence[str] = ("sys_id",),
+    ordered: bool = True,
 ) -> DataFrame:
     """The first ``max_records`` rows by update time; all of them without a cap.
 
-    A plain ordered limit hands ``max_records`` rows of every task to one task.
-    So the days that can hold the wanted rows are counted out first (a narrow
-    pass, one row per day after aggregation), and only rows of those days
-    compete for a place. The cut-off reaches the scan as a filter.
+    The update time of the last one is counted out in a pass over that column
+    and is a filter of the scan; see `first_rows` for rows that share it. So a
+    cap of any size, and a bulk update that gives all rows one time, are cut by
+    the tasks that read them. Sorting what is left is optional.
     """
     if max_records is None:
         return rows
-    if max_records <= 0:
-        return rows.limit(0)
-    day = F.coalesce(F.substring(UPDATED, 1, 10), F.lit(""))
-    days = rows.groupBy(day.alias("day")).agg(F.count(F.lit(1)).alias("n"))
-    direction = F.col("day").desc() if newest_first else F.col("day").asc()
-    running = days.withColumn("running", F.sum("n").over(Window.orderBy(direction)))
-    enough = F.when(F.col("running") >= max_records, F.col("day"))
-    if newest_first:
-        cutoff = running.agg(F.coalesce(F.max(enough), F.min("day"))).scalar()
-        near = rows.filter(F.coalesce(UPDATED, F.lit("")) >= cutoff)
-        first = F.col(UPDATED).desc_nulls_last()
-    else:
-        last = F.coalesce(F.min(enough), F.max("day"))
-        cutoff = running.agg(F.concat(last, F.lit(HIGHEST_CHARACTER))).scalar()
-        near = rows.filter(F.col(UPDATED).isNull() | (F.col(UPDATED) <= cutoff))
-        first = F.col(UPDATED).asc_nulls_first()
-    return near.orderBy(first, *tie_break).limit(max_records)
+    order = [Level(UPDATED, descending=newest_first), *map(Level, tie_break)]
+    found = first_rows(rows, max_records, order)
+    return found.orderBy(*(level.order() for level in order)) if ordered else found
 
 
 def lookback_start(as_of: Column, since_days: int) -> Column:
@@ -101,7 +88,7 @@ def pull_domain(
     since_days: int = DEFAULT_LOOKBACK_DAYS,
     max_records: int | None = None,
 ) -> DataFrame:
-    """Tickets updated within the lookback, in the domain's columns, oldest first.
+    """Tickets updated within the lookback, in the domain's columns; with a cap the oldest updates, in no order.
 
     A record that the source has kept (`raw_payload`) comes along.
 
@@ -110,7 +97,7 @@ def pull_domain(
     """
     recent = tickets.filter(F.col(UPDATED) >= lookback_start(as_time(as_of), since_days))
     kept = [c for c in ("raw_payload",) if c in tickets.columns]
-    return oldest_updates(recent.select(*domain.fields, *kept), max_records)
+    return oldest_updates(recent.select(*domain.fields, *kept), max_records, ordered=False)
 
 
 def stamp(rows: DataFrame, run_id: int | Column, as_of: Column | datetime | date | str | None) -> DataFrame:
@@ -173,7 +160,8 @@ def backfill(
     to one row per day on which it changed, each row learns when the next one
     replaces it, and only then is it repeated for the days it was current. The
     shuffles carry changes, not snapshots, and no ticket has more rows in one
-    group than there are days.
+    group than there are days. With a cap the changes so cut are written once,
+    and the cut-off of every day is looked for before the result is planned.
     """
     lookback = max(int(since_days), 1)
     others = [f for f in domain.fields if f not in ("sys_id", UPDATED)]
@@ -200,49 +188,24 @@ def backfill(
         .filter("_from <= _until")
         .drop("_next")
     )
-    dates = F.explode(F.sequence("_from", "_until"))
-    seen = spans.withColumn("_date", dates).drop("_from", "_until")
     if max_records is not None:
-        # One row per date of the range, so the broadcast has a known bound.
-        cutoffs = F.broadcast(_last_days_needed(spans, dates, max_records))
-        seen = seen.join(cutoffs, "_date").filter("_day <= _cutoff").drop("_cutoff")
-    stamped = stamp(
+        spans = written(spans, "spans")
+    seen = spans.withColumn("_date", F.explode(F.sequence("_from", "_until"))).drop("_from", "_until", "_day")
+    if max_records is not None:
+        seen = cap_per_day(seen, max_records, "_date")
+    return stamp(
         seen,
         F.datediff("_date", first) + 1,
         F.col("_date").cast("timestamp_ntz") + F.make_dt_interval(*map(F.lit, (0, 23, 59, 59))),
-    ).drop("_date", "_day")
-    return stamped if max_records is None else cap_per_day(stamped, max_records)
-
-
-def _last_days_needed(spans: DataFrame, dates: Column, max_records: int) -> DataFrame:
-    """For each date the last day of change that can still be among its oldest updates.
-
-    Spans are counted before they are repeated per date: what is repeated here
-    has at most one row per day of change and end of span.
-    """
-    counts = spans.groupBy("_day", "_from", "_until").agg(F.count(F.lit(1)).alias("n"))
-    per_date = counts.withColumn("_date", dates).groupBy("_date", "_day").agg(F.sum("n").alias("n"))
-    running = F.sum("n").over(Window.partitionBy("_date").orderBy("_day"))
-    reached = F.when(F.col("_running") >= max_records, F.col("_day"))
-    return (
-        per_date.withColumn("_running", running)
-        .groupBy("_date")
-        .agg(F.coalesce(F.min(reached), F.max("_day")).alias("_cutoff"))
-    )
+    ).drop("_date")
 
 
-def cap_per_day(rows: DataFrame, max_records: int, salts: int | None = None) -> DataFrame:
-    """The oldest updates of each snapshot date, up to a cap.
+def cap_per_day(rows: DataFrame, max_records: int, day: str = "snapshot_date") -> DataFrame:
+    """The oldest updates of each day, up to a cap of any size.
 
-    Two steps: within slices of a day, then within the day. A row outside the
-    first ``max_records`` of its slice is outside those of its day, so the
-    result is exact, and a day holding most of the rows is cut down in many
-    tasks before one task sees it. There are as many slices as shuffle partitions.
+    Per day the cut-off is looked for by date, then by time, then by ticket,
+    and joined to the rows: a row per day, and no window over the day's rows.
     """
-    salts = salts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.col(UPDATED).asc_nulls_first(), F.col("sys_id")]
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("sys_id"), F.lit(salts)))
-    for keys in (["snapshot_date", "_salt"], ["snapshot_date"]):
-        place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-        salted = salted.withColumn("_place", place).filter(F.col("_place") <= max_records)
-    return salted.drop("_salt", "_place")
+    dated = rows.withColumn("_updated_day", F.left(UPDATED, F.lit(10)))
+    order = [Level("_updated_day"), Level(UPDATED), Level("sys_id")]
+    return first_rows(dated, max_records, order, [day]).drop("_updated_day")
