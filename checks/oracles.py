@@ -594,6 +594,18 @@ def _statements() -> dict[str, str]:
         {CATEGORY} AS category, {STATE} AS state, count(*) AS ticket_count,
         {_tally(OPEN, 'open_count')}, {_tally(f'NOT {OPEN}', 'closed_count')}
         FROM change_log GROUP BY ALL"""
+    sql["stream_hourly_compacted"] = sql["stream_hourly_trend"]
+    landed = " UNION ALL ".join(
+        f"SELECT '{domain}' AS domain, sys_id, CAST(CASE WHEN right(sys_id, 1) IN ('1', '3', '5', '7', '9') THEN 2 ELSE 1 END AS BIGINT) AS run_id FROM {table}"
+        for domain, table in (("incident", "incident"), ("request_item", "request"), ("change_request", "change"), ("problem", "problem")))
+    per_run = ", ".join(f"count(*) FILTER (domain = '{domain}') AS {domain}_count" for domain in DOMAINS)
+    sql["stream_sync_domains"] = f"""{every}, landed AS ({landed}), counted AS (
+            SELECT run_id AS id, DATE '2024-01-31' AS snapshot_date, TIMESTAMP '{EVENTS_AS_OF}' AS pulled_at,
+                   CAST(30 AS BIGINT) AS since_days, {per_run} FROM landed GROUP BY run_id)
+        SELECT *, 'success' AS status, {NOTE} AS notes FROM counted"""
+    sql["stream_sync_domains_stored"] = f"""{every}, landed AS ({landed})
+        SELECT run_id, DATE '2024-01-31' AS snapshot_date, domain, count(DISTINCT sys_id) AS tickets, max(sys_id) AS last_ticket
+        FROM landed GROUP BY run_id, domain"""
     return sql
 
 

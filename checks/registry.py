@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 from datetime import datetime
 
@@ -23,7 +24,7 @@ from tickettide.plans.store import SnapshotStore, run_log_rows
 from tickettide.plans.sync import sync, sync_report
 from tickettide.plans.workspace import new_folder
 from tickettide.schema import DOMAINS
-from tickettide.sources.landed import records_from_replies
+from tickettide.sources.landed import records_from_replies, stream_extract
 from tickettide.sources.workbooks import (
     column_types,
     decode_workbooks,
@@ -819,3 +820,44 @@ def stream_hourly_trend(tables):
         lambda stream, folder, checkpoint: jobs.stream_hourly_trend(
             a.change_log(stream).withColumn("pulled_at", F.col("ts")), f"{folder}/trend", checkpoint, mode="update"))
     return jobs.hourly_totals(tables.spark, f"{folder}/trend")
+
+
+@_query
+def stream_hourly_compacted(tables):
+    """As `stream_hourly_trend`, each batch merged into a generation of its own."""
+    folder = _landings(
+        tables, "events", "event_id % 3 = 1",
+        lambda stream, folder, checkpoint: jobs.stream_hourly_trend(
+            a.change_log(stream).withColumn("pulled_at", F.col("ts")), f"{folder}/trend", checkpoint, mode="update", compact_every=1))
+    return jobs.hourly_totals(tables.spark, f"{folder}/trend")
+
+
+def _stream_all_domains(tables: Tables) -> SnapshotStore:
+    """Tickets of all domains land in two parts, by ticket; each part is one batch and one run."""
+    folder = new_folder(tables.spark, "stream-domains")
+    store = SnapshotStore(tables.spark, f"{folder}/store")
+    tickets = {name: rows.select(*DOMAINS[name].fields) for name, rows in (all_domains(tables) | {
+        "request_item": request_items_now(tables)}).items()}
+    late = F.right("sys_id", F.lit(1)).isin(*"13579")
+    for part, chosen in (("first", ~late), ("second", late)):
+        sources = {}
+        for name, rows in tickets.items():
+            rows.filter(chosen).write.parquet(f"{folder}/{name}/{part}")
+            sources[name] = stream_extract(tables.spark, f"{folder}/{name}/*", DOMAINS[name])
+        jobs.stream_sync_domains(sources, store, f"{folder}/checkpoint", clock=lambda: EVENTS_AS_OF, since_days=30).awaitTermination()
+    return store
+
+
+@_query
+def stream_sync_domains(tables):
+    """The log of two batches over all four domains: a row each."""
+    return _stream_all_domains(tables).run_log()
+
+
+@_query
+def stream_sync_domains_stored(tables):
+    """What two batches over all four domains have stored."""
+    store = _stream_all_domains(tables)
+    stored = [store.current(name).groupBy("run_id", "snapshot_date", F.lit(name).alias("domain")).agg(
+        F.count(F.lit(1)).alias("tickets"), F.max("sys_id").alias("last_ticket")) for name in DOMAINS]
+    return functools.reduce(DataFrame.unionAll, stored)

@@ -127,3 +127,110 @@ def test_streamed_trend_equals_the_batch(spark):
     log = a.change_log(a.Tables(spark, folder).events).withColumn("pulled_at", F.col("ts"))
     batch = jobs.hourly_trend(log)
     assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, batch.collect()))
+
+
+def keys_frame(spark, *rows):
+    return spark.createDataFrame(list(rows), "filename string, received_at string")
+
+
+def index_with_three_days(spark, tmp_path):
+    from tickettide.streaming.key_index import KeyIndex
+
+    index = KeyIndex(spark, str(tmp_path / "index"), bits=1 << 15)
+    for batch, day in enumerate(("2023-01-01", "2024-03-04", "2024-03-05")):
+        index.add(keys_frame(spark, *[(f"f{i}.xlsx", f"{day} 0{i}:00:00") for i in range(5)]), "s", batch)
+    return index
+
+
+def test_a_batch_of_one_day_reads_no_other_day(spark, tmp_path):
+    from tickettide.streaming.key_index import day_of
+
+    index = index_with_three_days(spark, tmp_path)
+
+    def plan_of(*rows):
+        keys = keys_frame(spark, *rows).withColumn("day", day_of(F.col("received_at")))
+        fresh = index.fresh(keys, "s", 9)
+        return [r.filename for r in fresh.collect()], fresh.inputFiles()
+
+    names, files = plan_of(("f1.xlsx", "2024-03-05 01:00:00"), ("new.xlsx", "2024-03-05 01:00:00"))
+    assert names == ["new.xlsx"] and files and all("day=2024-03-05" in f for f in files)
+    # A late file that has come before is found, in its own day alone.
+    names, files = plan_of(("f2.xlsx", "2023-01-01 02:00:00"))
+    assert names == [] and files and all("day=2023-01-01" in f for f in files)
+    # Where the filters know none of the keys, no key is read.
+    assert plan_of(("other.xlsx", "2024-03-05 07:00:00"), ("old.xlsx", "2023-01-01 07:00:00"))[1] == []
+
+
+def test_an_index_takes_odd_keys_and_batches_again(spark, tmp_path):
+    index = index_with_three_days(spark, tmp_path)
+    odd = keys_frame(spark, (None, None), (None, "2024-03-05"), ("f1.xlsx", None), ("f1.xlsx", "no date"), ("f1.xlsx", ""), ("f1.xlsx", ""))
+    for batch in (3, 3, 4):
+        index.add(odd, "s", batch)
+    index.add(keys_frame(spark, *[(f"f{i}.xlsx", f"2024-03-05 0{i}:00:00") for i in range(5)]), "s", 2)
+    got = [tuple(r) for r in index.keys().collect()]
+    assert len(got) == len(set(got)) == 20
+
+
+def partial_counts(spark, tmp_path):
+    from tickettide.streaming.partials import PartialCounts
+
+    schema = spark.createDataFrame([], "k string, n long").schema
+    return PartialCounts(spark, str(tmp_path / "counts"), schema, ["k"])
+
+
+def test_generations_add_up_and_leave_nothing_behind(spark, tmp_path):
+    counts, want = partial_counts(spark, tmp_path), {}
+    for batch in range(9):
+        rows = [("a", batch), (f"k{batch % 3}", 1)]
+        counts.write_batch(spark.createDataFrame(rows, "k string, n long"), "s", batch)
+        for k, n in rows:
+            want[k] = want.get(k, 0) + n
+        if batch % 2:
+            counts.compact()
+            assert counts.pending() == 0
+        assert {r.k: r.n for r in counts.sums().collect()} == want
+    parts = {p.name for p in (tmp_path / "counts" / "parts" / "stream=s").iterdir()}
+    assert parts == {"batch=6", "batch=7", "batch=8"}
+    assert {p.name for p in (tmp_path / "counts" / "totals").iterdir() if p.name.startswith("gen")} == {"generation=3", "generation=4"}
+    plan = counts.sums()._jdf.queryExecution().executedPlan().toString()
+    filters = plan.split("PartitionFilters: [")[2]
+    files = counts.sums().inputFiles()
+    assert plan.count("FileScan") == 2 and any("generation=4" in f for f in files) and not any("generation=3" in f for f in files)
+    assert "batch" in filters.split("]")[0] and "> 7" in filters.split("]")[0]
+
+
+def test_a_crash_before_the_switch_changes_nothing(spark, tmp_path):
+    counts = partial_counts(spark, tmp_path)
+    for stream in ("s", "t"):
+        counts.write_batch(spark.createDataFrame([("a", 1)], "k string, n long"), stream, 0)
+    counts.compact()
+    counts.write_batch(spark.createDataFrame([("a", 5)], "k string, n long"), "s", 1)
+    counts._merge(*counts.generation())
+    assert counts.generation()[0] == 1 and [tuple(r) for r in counts.sums().collect()] == [("a", 7)]
+    # A batch that was merged and is run again adds nothing; one that is not yet merged replaces itself.
+    counts.write_batch(spark.createDataFrame([("a", 1)], "k string, n long"), "t", 0)
+    counts.write_batch(spark.createDataFrame([("a", 6)], "k string, n long"), "s", 1)
+    assert [tuple(r) for r in counts.sums().collect()] == [("a", 8)]
+    counts.compact()
+    assert counts.generation()[0] == 2 and [tuple(r) for r in counts.sums().collect()] == [("a", 8)]
+
+
+def test_all_domains_become_one_run(spark, landed, tmp_path):
+    store = SnapshotStore(spark, str(tmp_path / "store"))
+
+    def run(now):
+        sources = {n: stream_extract(spark, str(tmp_path / n / "*"), DOMAINS[n]) for n in DOMAINS}
+        jobs.stream_sync_domains(sources, store, str(tmp_path / "cp"), clock=lambda: now).awaitTermination()
+        return [(r.id, r.incident_count, r.request_item_count, r.change_request_count, r.problem_count) for r in store.run_log().orderBy("id").collect()]
+
+    def land(part, **rows):
+        for name in DOMAINS:
+            landed(name, *rows.get(name, [])).coalesce(1).write.parquet(str(tmp_path / name / part))
+
+    land("a", incident=[{"sys_id": "1", "state": "a"}, {"sys_id": "1", "state": "a"}], problem=[{"sys_id": "1", "known_error": "true"}])
+    assert run(datetime(2024, 1, 10, 6)) == [(1, 2, 0, 0, 1)]
+    assert run(datetime(2024, 1, 10, 7)) == [(1, 2, 0, 0, 1)]
+    land("b", incident=[{"sys_id": "2"}], change_request=[{"sys_id": "9", "risk": "high"}], request_item=[{"sys_id": "3", "cat_item": "x"}])
+    assert run(datetime(2024, 1, 10, 8)) == [(1, 2, 0, 0, 1), (2, 1, 1, 1, 0)]
+    assert [(r.sys_id, r.risk, r.run_id) for r in store.current("change_request").collect()] == [("9", "high", 2)]
+    assert [(r.sys_id, r.known_error, r.run_id) for r in store.current("problem").collect()] == [("1", "true", 1)]

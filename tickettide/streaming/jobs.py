@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from datetime import datetime, timezone
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -17,10 +17,11 @@ from tickettide.functions.text import label_blank
 from tickettide.functions.times import instant_of, utc_of
 from tickettide.operators.pull import Snapshot
 from tickettide.plans.store import SnapshotStore
-from tickettide.plans.workspace import path_exists
-from tickettide.schema import INGEST_LOG_KEYS, INGEST_LOG_SCHEMA
-
-_BATCH = "batch"
+from tickettide.plans.workspace import remove
+from tickettide.schema import DOMAINS
+from tickettide.sources.landed import RAW
+from tickettide.streaming.key_index import KeyIndex
+from tickettide.streaming.partials import PartialCounts
 
 
 def _run_available(writer, checkpoint: str) -> StreamingQuery:
@@ -56,36 +57,62 @@ def stream_sync(
     return _run_available(tickets.writeStream.foreachBatch(store_batch), checkpoint)
 
 
-def _batches(spark: SparkSession, out: str, schema: T.StructType) -> DataFrame:
-    """What all batches of all streams have written, with `stream` and `batch`."""
-    full = T.StructType([*schema.fields, T.StructField("stream", T.StringType()), T.StructField(_BATCH, T.LongType())])
-    return spark.read.schema(full).parquet(out) if path_exists(spark, out) else spark.createDataFrame([], full)
+DOMAIN = "domain"
+
 
+def tagged_union(sources: Mapping[str, DataFrame]) -> DataFrame:
+    """Tickets of several domains as one stream, each row with its domain; fields a domain lacks are NULL."""
+    tagged = (
+        rows.select(*DOMAINS[name].fields, *(c for c in (RAW,) if c in rows.columns), F.lit(name).alias(DOMAIN))
+        for name, rows in sources.items()
+    )
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
 
-KEYS_SCHEMA = T.StructType([f for f in INGEST_LOG_SCHEMA.fields if f.name in INGEST_LOG_KEYS])
+
+def stream_sync_domains(
+    sources: Mapping[str, DataFrame],
+    store: SnapshotStore,
+    checkpoint: str,
+    clock: Callable[[], datetime] | None = None,
+    since_days: int | None = None,
+) -> StreamingQuery:
+    """Store what lands of all domains in a batch as one run with one log row.
+
+    One query follows all sources, so a batch has one id and commits their
+    files together. It is written once, a folder per domain, and each domain
+    is stored from its folder; a domain of which nothing landed counts zero.
+    """
+    now = clock or (lambda: datetime.now(timezone.utc).replace(tzinfo=None))
+    stream, names = _stream_name(checkpoint), list(sources)
+
+    def store_batch(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        run, as_of = store.run_of_batch(stream, batch_id, now())
+        folder = f"{store.root}/arrivals/stream={stream}/batch={batch_id}"
+        batch.write.mode("overwrite").partitionBy(DOMAIN).parquet(folder)
+        arrived = spark.read.schema(batch.schema).parquet(folder)
+        kept = [RAW] if RAW in batch.columns else []
+        frames = {name: arrived.filter(F.col(DOMAIN) == name).select(*DOMAINS[name].fields, *kept) for name in names}
+        store.store(Snapshot(frames, as_of, since_days), run)
+        remove(spark, folder)
+
+    return _run_available(tagged_union(sources).writeStream.foreachBatch(store_batch), checkpoint)
 
 
 def ingested_keys(spark: SparkSession, out: str) -> DataFrame:
     """The key of every file that came, once."""
-    return _batches(spark, out, KEYS_SCHEMA).select(*INGEST_LOG_KEYS)
+    return KeyIndex(spark, out).keys()
 
 
 def stream_ingest_once(files: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Append the key of each file that no earlier batch has brought, however late it comes.
+    """Add the key of each file that no earlier batch has brought to an index, however late it comes.
 
-    Batches write folders of their own, so one that is run again replaces what
-    it wrote, and compares itself with the others only.
+    See `KeyIndex`: a batch meets the keys of its own days only.
     """
     stream = _stream_name(checkpoint)
 
     def record(batch: DataFrame, batch_id: int) -> None:
-        others = _batches(batch.sparkSession, out, KEYS_SCHEMA).filter(
-            (F.col("stream") != stream) | (F.col(_BATCH) != batch_id)
-        )
-        keys = batch.select(*INGEST_LOG_KEYS).distinct()
-        same = reduce(Column.__and__, (keys[k].eqNullSafe(others[k]) for k in INGEST_LOG_KEYS))
-        fresh = keys.join(others, same, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{out}/stream={stream}/{_BATCH}={batch_id}")
+        KeyIndex(batch.sparkSession, out).add(batch, stream, batch_id)
 
     return _run_available(files.writeStream.foreachBatch(record), checkpoint)
 
@@ -125,21 +152,26 @@ def hourly_trend(tickets: DataFrame, delay: str = "1 day") -> DataFrame:
     )
 
 
+def hourly_counts(spark: SparkSession, out: str) -> PartialCounts:
+    """The counts that `stream_hourly_trend` in update mode keeps in a folder."""
+    return PartialCounts(spark, out, PARTIAL_SCHEMA, HOUR_KEYS)
+
+
 def hourly_totals(spark: SparkSession, out: str) -> DataFrame:
     """The trend that the batches of `stream_hourly_trend` in update mode add up to."""
-    counts = [f.name for f in PARTIAL_SCHEMA.fields if f.name not in HOUR_KEYS]
-    return _batches(spark, out, PARTIAL_SCHEMA).groupBy(*HOUR_KEYS).agg(*(F.sum(c).alias(c) for c in counts))
+    return hourly_counts(spark, out).sums()
 
 
 def stream_hourly_trend(
-    tickets: DataFrame, out: str, checkpoint: str, mode: str = "append", delay: str = "1 day"
+    tickets: DataFrame, out: str, checkpoint: str, mode: str = "append", delay: str = "1 day", compact_every: int = 64
 ) -> StreamingQuery:
     """Write the hourly trend.
 
     In append mode an hour is written once the watermark has passed it, and
     rows that come later are dropped. In update mode every batch writes the
     counts of its own rows and nothing else: counts add up, so there is no
-    state, no row is too late, and `hourly_totals` has the sums.
+    state, no row is too late, and `hourly_totals` has the sums. Every so many
+    batches, the counts so far are merged into one generation.
     """
     if mode == "append":
         trend = hourly_trend(tickets, delay)
@@ -149,6 +181,9 @@ def stream_hourly_trend(
     stream = _stream_name(checkpoint)
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        hourly_trend(batch, delay).write.mode("overwrite").parquet(f"{out}/stream={stream}/{_BATCH}={batch_id}")
+        counts = hourly_counts(batch.sparkSession, out)
+        counts.write_batch(hourly_trend(batch, delay), stream, batch_id)
+        if (batch_id + 1) % compact_every == 0:
+            counts.compact()
 
     return _run_available(tickets.writeStream.foreachBatch(add), checkpoint)
