@@ -18,7 +18,7 @@ from tickettide.sources.landed import read_extract, read_pages, records_from_rep
 cloudpickle.register_pickle_by_value(workbooks)
 cloudpickle.register_pickle_by_value(tickettide.functions.text)
 
-SALES = [["2025-07-14", "Harbour Mill", "810"], ["2025-07-19", "Old Quarry", "95"], ["2025-08-02", "Tin Lantern", "2240"]]
+FREIGHT = [["2025-07-14", "Harbour Mill", "810"], ["2025-07-19", "Old Quarry", "95"], ["2025-08-02", "Tin Lantern", "2240"]]
 
 
 def full_workbook() -> bytes:
@@ -53,7 +53,7 @@ def full_workbook() -> bytes:
 @pytest.fixture
 def folder(tmp_path):
     (tmp_path / "in" / "deep").mkdir(parents=True)
-    (tmp_path / "in" / "sales_q3_2025.xlsx").write_bytes(encode_workbook(["Invoice Date", "Customer", "Amount"], SALES))
+    (tmp_path / "in" / "harbour_freight.xlsx").write_bytes(encode_workbook(["Ship Day", "Berth", "Crates"], FREIGHT))
     (tmp_path / "in" / "deep" / "Full.XLSX").write_bytes(full_workbook())
     (tmp_path / "in" / "old.xls").write_bytes(b"\xd0\xcf\x11\xe0 not a zip file")
     (tmp_path / "in" / "notes.txt").write_text("no workbook")
@@ -62,9 +62,9 @@ def folder(tmp_path):
 
 def test_workbooks_are_read(spark, folder):
     rows = workbooks.read_workbooks(spark, folder)
-    sales = rows.filter("path LIKE '%sales%'").orderBy("row_number").collect()
-    assert [list(r.cells.values()) for r in sales] == SALES
-    assert list(sales[0].cells) == ["Invoice Date", "Customer", "Amount"]
+    freight = rows.filter("path LIKE '%freight%'").orderBy("row_number").collect()
+    assert [[r.cells[h] for h in ("Ship Day", "Berth", "Crates")] for r in freight] == FREIGHT
+    assert len(freight[0].cells) == 3
     full = rows.filter("path LIKE '%Full%'").orderBy("row_number").collect()
     assert [r.cells for r in full] == [
         {"Name": "x", "When & how": "2024-01-01 12:00:00", "Unnamed: 2": "true", "Name.1": None},
@@ -83,24 +83,24 @@ def test_long_sheets_come_in_batches(spark, monkeypatch):
 
 
 def test_column_types(spark, folder):
-    sales = workbooks.read_workbooks(spark, folder)
-    kinds = {r.name: r.type for r in workbooks.column_types(sales).collect()}
+    freight = workbooks.read_workbooks(spark, folder)
+    kinds = {r.name: r.type for r in workbooks.column_types(freight).collect()}
     assert kinds == {
-        "Invoice Date": "timestamp_ntz", "Customer": "string", "Amount": "bigint", "Name": "string",
+        "Ship Day": "timestamp_ntz", "Berth": "string", "Crates": "bigint", "Name": "string",
         "When & how": "timestamp_ntz", "Unnamed: 2": "boolean", "Name.1": "double"}
-    typed = workbooks.typed_rows(sales, kinds)
-    assert typed.agg({"Amount": "sum"}).first()[0] == 3145 and typed.count() == 5
-    assert workbooks.typed_rows(sales, {"no such header": "string"}).first()["no such header"] is None
+    typed = workbooks.typed_rows(freight, kinds)
+    assert typed.agg({"Crates": "sum"}).first()[0] == 3145 and typed.count() == 5
+    assert workbooks.typed_rows(freight, {"no such header": "string"}).first()["no such header"] is None
 
 
 def test_from_workbook_to_table(spark, folder, tmp_path):
-    rows = workbooks.read_workbooks(spark, folder, clean=True).filter("path LIKE '%sales%'")
-    typed = workbooks.typed_rows(rows, {"invoice_date": "date", "customer": "string", "amount": "bigint"})
+    rows = workbooks.read_workbooks(spark, folder, clean=True).filter("path LIKE '%freight%'")
+    typed = workbooks.typed_rows(rows, {"ship_day": "date", "berth": "string", "crates": "bigint"})
     name = typed.select(table_name(typed.path)).first()[0]
-    assert name == "sales_q3_2025"
+    assert name == "harbour_freight"
     assert load_table(typed.drop("path", "row_number"), str(tmp_path / name)) == 3
     back = read_table(spark, str(tmp_path / name))
-    assert back.count() == 3 and back.agg({"amount": "sum"}).first()[0] == 3145
+    assert back.count() == 3 and back.agg({"crates": "sum"}).first()[0] == 3145
 
 
 def test_headers_alike_are_the_file_s_own_error(spark):

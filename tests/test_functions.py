@@ -131,7 +131,8 @@ def test_table_names_and_extensions(spark):
 
 def test_clean_name():
     assert [text.clean_name(n) for n in ("  First Name ", "Amount $", "Region", "7")] == [
-        "first_name", "amount_$", "region", "7"]
+        "first_name", "amount_$", "region", "7"]  # the first three are fixed values
+    assert [text.clean_name(n) for n in ("a \t b\nC", "\u00a0x  y", "")] == ["a_b_c", "x_y", ""]
 
 
 def test_terminal_states(spark):

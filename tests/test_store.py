@@ -165,3 +165,41 @@ def test_several_runs_in_one_write(store, landed):
     assert len(content(store)) == 4
     log = run_log_rows({"incident": both}, 1)
     assert log.schema.fieldNames() == RUN_LOG_SCHEMA.fieldNames()
+
+
+def folders(path, start):
+    return sorted(p.name for p in path.iterdir() if p.name.startswith(start)) if path.exists() else []
+
+
+def test_settling_merges_the_logs(store, landed, tmp_path):
+    def runs(*numbers):
+        for n in numbers:
+            store.run_of_batch("s", n, DAY)
+            store.store(snapshot(landed, {"sys_id": str(n), "state": "a"}), run_id=n)
+
+    runs(1, 2, 3)
+    store.settle("incident")
+    runs(4, 5)
+    before = store.run_log()
+    store.settle("incident")
+    root = tmp_path / "store"
+    # Entries that the first checkpoint held are gone, those of the second stay until the third.
+    assert folders(root / "run_log", "id=") == ["id=4", "id=5"]
+    assert folders(root / "stream_runs" / "stream=s", "batch=") == ["batch=4", "batch=5"]
+    assert folders(root / "run_log_checkpoint", "upto=") == ["upto=3", "upto=5"]
+    assert len([p for p in (root / "run_log_checkpoint" / "upto=5").iterdir() if p.suffix == ".parquet"]) == 1
+    assert [r.id for r in before.orderBy("id").collect()] == [1, 2, 3, 4, 5]
+    runs(6)
+    store.settle("incident")
+    assert folders(root / "run_log", "id=") == ["id=6"] and folders(root / "run_log_checkpoint", "upto=") == ["upto=5", "upto=6"]
+    assert [(r.id, r.incident_count) for r in store.run_log().orderBy("id").collect()] == [(n, 1) for n in range(1, 7)]
+    assert store.run_of_batch("s", 2, datetime(2030, 1, 1)) == (2, DAY) and store.next_run_id() == 7
+    assert {r[1] for r in content(store)} == {str(n) for n in range(1, 7)}
+
+
+def test_a_checkpoint_cut_short_is_not_seen(store, landed, tmp_path):
+    for n in (1, 2):
+        store.store(snapshot(landed, {"sys_id": str(n)}))
+    store.settle("incident")
+    (tmp_path / "store" / "run_log_checkpoint" / "upto=9").mkdir()
+    assert [r.id for r in store.run_log().orderBy("id").collect()] == [1, 2] and store.next_run_id() == 3

@@ -38,10 +38,6 @@ def table_name(path: Column) -> Column:
     return label_blank(F.btrim(safe, F.lit("_")), "data")
 
 
-_UNDERSCORES = str.maketrans(" ", "_")
-
-
 def clean_name(header: str) -> str:
-    """A header as a column name: no white space around it, no capitals, blanks underscored."""
-    inner = header.lower().strip()
-    return inner.translate(_UNDERSCORES)
+    """A header as a column name: its words in small letters, one underscore for whatever space is between them."""
+    return "_".join(header.lower().split())

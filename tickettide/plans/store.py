@@ -5,6 +5,7 @@ Layout under the root folder::
     runs/<domain>/snapshot_date=.../run_id=.../attempt=...   rows of each run, once per ticket
     run_log/id=...                                 one row per finished run, with its attempt
     stream_runs/stream=.../batch=...               the run each batch of a stream became
+    run_log_checkpoint/, stream_runs_checkpoint/   both logs up to a settled run, in one file
     settled/<domain>/generation=.../snapshot_date=...   winners up to a run
     settled_log/domain=.../generation=...          dates each generation holds
 
@@ -34,6 +35,7 @@ from tickettide.operators.upsert import (
     latest_run_per_ticket,
     latest_run_wins,
 )
+from tickettide.plans.logs import Log
 from tickettide.plans.workspace import path_exists
 from tickettide.schema import DOMAINS, RUN_LOG_SCHEMA, Domain
 
@@ -143,8 +145,14 @@ class SnapshotStore:
             .parquet(f"{self.root}/{folder}")
         )
 
+    def _attempt_log(self) -> Log:
+        return Log(self.spark, self.root, "run_log", _ATTEMPT_LOG_SCHEMA, "id", ["id"])
+
+    def _stream_log(self) -> Log:
+        return Log(self.spark, self.root, "stream_runs", _STREAM_RUNS_SCHEMA, "run_id", ["stream", "batch"])
+
     def _attempts(self) -> DataFrame:
-        return self._read("run_log", _ATTEMPT_LOG_SCHEMA)
+        return self._attempt_log().rows()
 
     def run_log(self) -> DataFrame:
         return self._attempts().select(*RUN_LOG_SCHEMA.fieldNames())
@@ -155,7 +163,7 @@ class SnapshotStore:
         return (given.agg(F.max("id")).first()[0] or 0) + 1
 
     def _stream_runs(self) -> DataFrame:
-        return self._read("stream_runs", _STREAM_RUNS_SCHEMA)
+        return self._stream_log().rows()
 
     def run_of_batch(self, stream: str, batch: int, as_of: datetime) -> tuple[int, datetime]:
         """The run and time of a stream's batch: given out once, looked up on every retry."""
@@ -320,7 +328,7 @@ class SnapshotStore:
         """Write down the winners of every date with runs not settled yet.
 
         Later reads of these dates need no shuffle. Runs up to this point must
-        not be rewritten afterwards.
+        not be rewritten afterwards. The logs of runs are merged up to here.
         """
         generation = self.run_log().agg(F.max("id")).first()[0] or 0
         settled_run = self._settled_up_to(name)
@@ -333,3 +341,6 @@ class SnapshotStore:
             "snapshot_date", F.lit(name).alias("domain"), tag.alias("generation")
         )
         self._write(marks, "settled_log", "domain", "generation")
+        # Settled runs are never written again, so their log entries can be merged.
+        for log in (self._attempt_log(), self._stream_log()):
+            log.checkpoint(generation)

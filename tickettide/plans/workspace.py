@@ -29,6 +29,16 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
+def finished_folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a path whose writing has ended well."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(place):
+        return []
+    found = [status.getPath() for status in system.listStatus(place) if status.isDirectory()]
+    return [folder.getName() for folder in found if system.exists(spark._jvm.org.apache.hadoop.fs.Path(folder, "_SUCCESS"))]
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of any file system Spark knows, if it is there."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
