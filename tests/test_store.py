@@ -203,3 +203,81 @@ def test_a_checkpoint_cut_short_is_not_seen(store, landed, tmp_path):
     store.settle("incident")
     (tmp_path / "store" / "run_log_checkpoint" / "upto=9").mkdir()
     assert [r.id for r in store.run_log().orderBy("id").collect()] == [1, 2] and store.next_run_id() == 3
+
+
+def numbered(landed, prefix, count, **fields):
+    return landed("incident", *({"sys_id": f"{prefix}{i}", "number": f"INC{i:06d}", **fields} for i in range(count)))
+
+
+def test_latest_over_settled_rows_needs_no_exchange(spark, store, landed):
+    for day in (10, 11):
+        store.store(Snapshot({"incident": numbered(landed, "t", 300, state=f"d{day}")}, datetime(2024, 1, day, 6)))
+    want = sorted(map(tuple, store.latest("incident").collect()))
+    store.settle("incident")
+    settled = store.latest("incident")
+    plan = settled.filter("number = 'INC000123'")._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, settled.collect())) == want
+    assert "Exchange" not in plan and "EqualTo(number,INC000123)" in plan.split("PushedFilters", 1)[1]
+    # Files hold ranges of the number, so the filter leaves out all row groups but one.
+    spans = settled.groupBy(F.input_file_name()).agg(F.min("number").alias("a"), F.max("number").alias("b")).orderBy("a").collect()
+    assert all(x.b < y.a for x, y in zip(spans, spans[1:]))
+
+
+def test_newer_runs_replace_settled_latest_rows(store, landed):
+    def run(day, *rows):
+        store.store(snapshot(landed, *({"sys_id": i, "number": i, "state": s} for i, s in rows), as_of=datetime(2024, 1, day, 6)))
+
+    def both():
+        fast = sorted((r.sys_id, r.state, r.run_id) for r in store.latest("incident").collect())
+        plain = {}
+        for r in store.current("incident").collect():
+            plain[r.sys_id] = max(plain.get(r.sys_id, (r.snapshot_date, 0, "")), (r.snapshot_date, r.run_id, r.state))
+        assert fast == sorted((k, s, n) for k, (_, n, s) in plain.items())
+        return fast
+
+    run(10, ("a", "1"), ("b", "1"), ("c", "1"))
+    run(12, ("c", "2"))
+    store.settle("incident")
+    assert both() == [("a", "1", 1), ("b", "1", 1), ("c", "2", 2)]
+    # A run of an older day reopens it: its row of c is older than the settled one, that of d is new.
+    run(11, ("b", "3"), ("c", "3"), ("d", "3"))
+    run(12, ("c", "4"))
+    run(10, ("a", "5"), ("e", "5"))
+    assert both() == [("a", "5", 5), ("b", "3", 3), ("c", "4", 4), ("d", "3", 3), ("e", "5", 5)]
+    store.settle("incident")
+    assert both() == [("a", "5", 5), ("b", "3", 3), ("c", "4", 4), ("d", "3", 3), ("e", "5", 5)]
+
+
+def test_maintained_reports_read_settled_dates_as_kept(store, landed, tmp_path):
+    import shutil
+
+    from tickettide.plans.maintained import DAILY, MaintainedReports
+
+    some = {r: DAILY[r] for r in ("incident_trends_daily", "incident_sla_daily", "problem_trends_daily")}
+    kept = MaintainedReports(store, some)
+
+    def run(day, **domains):
+        frames = {n: landed(n, *rows) for n, rows in domains.items()}
+        store.store(Snapshot(frames, datetime(2024, 1, day, 6)))
+
+    def equal():
+        for report, (name, compute) in some.items():
+            want = sorted(map(repr, compute(store.current(name)).collect()))
+            assert sorted(map(repr, kept.read(report).collect())) == want, report
+
+    run(10, incident=[{"sys_id": "1", "category": "", "opened_at": "2024-01-10 00:00:00", "resolved_at": "2024-01-10 05:00:00", "priority": "1"},
+                      {"sys_id": "2", "state": "x"}], problem=[{"sys_id": "1"}])
+    run(11, incident=[{"sys_id": "1", "category": "net"}])
+    for name in ("incident", "problem"):
+        kept.settle(name)
+    equal()
+    # Settled without its reports: those dates are computed until the next settling.
+    run(12, incident=[{"sys_id": "3"}], problem=[{"sys_id": "9", "state": "z"}])
+    store.settle("incident")
+    run(11, incident=[{"sys_id": "1", "category": "disk"}, {"sys_id": "4"}])
+    equal()
+    # Rows of kept dates are not looked at: without them the reports are the same.
+    before = sorted(map(repr, kept.read("incident_trends_daily").collect()))
+    for folder in (tmp_path / "store" / "settled" / "incident").glob("generation=*/snapshot_date=2024-01-10"):
+        shutil.rmtree(folder)
+    assert sorted(map(repr, kept.read("incident_trends_daily").collect())) == before

@@ -8,6 +8,7 @@ Layout under the root folder::
     run_log_checkpoint/, stream_runs_checkpoint/   both logs up to a settled run, in one file
     settled/<domain>/generation=.../snapshot_date=...   winners up to a run
     settled_log/domain=.../generation=...          dates each generation holds
+    latest/<domain>/generation=...                 each ticket's newest row up to a run, by number
 
 A run counts once it is in the run log, which is written last, and only with
 the rows of the attempt and the date that the log names: rows of an attempt
@@ -36,7 +37,7 @@ from tickettide.operators.upsert import (
     latest_run_wins,
 )
 from tickettide.plans.logs import Log
-from tickettide.plans.workspace import path_exists
+from tickettide.plans.workspace import finished_folders, path_exists, remove
 from tickettide.schema import DOMAINS, RUN_LOG_SCHEMA, Domain
 
 # Fixed value: a run is logged only once it has succeeded.
@@ -296,6 +297,18 @@ class SnapshotStore:
         )
         return latest_run_wins(reopened.unionByName(fresh))
 
+    def settled_dates(self, name: str) -> DataFrame:
+        """(snapshot_date, generation) of the dates that no run after the settled ones has touched."""
+        newest = self._settled_log(name).groupBy("snapshot_date").agg(F.max("generation").alias("generation"))
+        return newest.join(self._dates_after(self._settled_up_to(name)), "snapshot_date", "left_anti")
+
+    def current_of_dates(self, name: str, settled: DataFrame) -> DataFrame:
+        """`current` rows of the dates with runs that are not settled, and of some settled dates (snapshot_date, generation)."""
+        contested = self._contested(name, self._settled_up_to(name))
+        schema = DOMAINS[name].snapshot_schema.add("generation", T.LongType())
+        untouched = self._read(f"settled/{name}", schema).join(settled, ["snapshot_date", "generation"], "left_semi")
+        return contested.unionByName(untouched.select(*contested.columns))
+
     def current(self, name: str) -> DataFrame:
         """One row per ticket and day: the last run that held the ticket.
 
@@ -314,15 +327,37 @@ class SnapshotStore:
         return untouched.select(*contested.columns).unionByName(contested)
 
     def latest(self, name: str) -> DataFrame:
-        """The newest row of each ticket, straight from settled rows and newer runs.
+        """The newest row of each ticket.
 
-        One shuffle by ticket, whether or not the dates are settled.
+        The settled ones are read as they were written down, by ranges of their
+        number, so that a filter on it skips files and row groups. Newer runs
+        are cut to a row per ticket; what they replace is taken out by a join
+        with these alone, whose side is small.
         """
         settled_run = self._settled_up_to(name)
-        rows = self.run_rows(name, after=settled_run)
-        if settled_run:
-            rows = self._settled_rows(name).unionByName(rows)
-        return latest_run_per_ticket(rows)
+        newer = latest_run_per_ticket(self.run_rows(name, after=settled_run))
+        folder = f"latest/{name}/generation={settled_run}"
+        if not settled_run or not path_exists(self.spark, f"{self.root}/{folder}"):
+            rows = self.run_rows(name, after=settled_run)
+            return latest_run_per_ticket(self._settled_rows(name).unionByName(rows)) if settled_run else newer
+        settled = self._read(folder, DOMAINS[name].snapshot_schema)
+        if self.run_log().filter(F.col("id") > settled_run).isEmpty():
+            return settled
+        # Of a ticket's two rows the later date wins, then the later run, which is the newer one.
+        marks = newer.select("sys_id", F.col("snapshot_date").alias("_date"))
+        beside = settled.join(marks, "sys_id", "left")
+        kept = beside.filter("_date IS NULL OR snapshot_date > _date").drop("_date")
+        beaten = settled.select("sys_id", "snapshot_date").join(marks, "sys_id").filter("snapshot_date > _date").select("sys_id")
+        return kept.select(*settled.columns).unionByName(newer.join(beaten, "sys_id", "left_anti").select(*settled.columns))
+
+    def _write_latest(self, name: str, generation: int) -> None:
+        """Write down the newest row of each ticket up to a generation, sorted by number over all files."""
+        rows = self.latest(name).filter(F.col("run_id") <= generation)
+        self._sorted(rows, "number", "sys_id").write.mode("overwrite").parquet(f"{self.root}/latest/{name}/generation={generation}")
+
+    @staticmethod
+    def _sorted(rows: DataFrame, *columns: str) -> DataFrame:
+        return rows.repartitionByRange(*columns).sortWithinPartitions(*columns)
 
     def settle(self, name: str) -> None:
         """Write down the winners of every date with runs not settled yet.
@@ -337,6 +372,7 @@ class SnapshotStore:
         tag = F.lit(generation).cast("bigint")
         winners = self._contested(name, settled_run).withColumn("generation", tag)
         self._write(winners, f"settled/{name}", "generation", "snapshot_date")
+        self._write_latest(name, generation)
         marks = self._dates_after(settled_run).select(
             "snapshot_date", F.lit(name).alias("domain"), tag.alias("generation")
         )
@@ -344,3 +380,7 @@ class SnapshotStore:
         # Settled runs are never written again, so their log entries can be merged.
         for log in (self._attempt_log(), self._stream_log()):
             log.checkpoint(generation)
+        # Readers may still be at the generation before this one.
+        for folder in finished_folders(self.spark, f"{self.root}/latest/{name}"):
+            if int(folder.partition("=")[2]) < settled_run:
+                remove(self.spark, f"{self.root}/latest/{name}/{folder}")
