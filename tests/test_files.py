@@ -224,3 +224,16 @@ def test_object_profile(spark):
     spark.sql("DROP TABLE zz_saved")
     assert profile.catalog_profile(spark, "no such*").count() == 0
     assert profile.preview(spark.range(500)).count() == 100
+
+
+def test_a_record_is_parsed_once(spark):
+    record = {"sys_id": "1", "state": {"display_value": "New", "value": "1"}, "priority": {"link": "l", "value": "p"}, "category": {"value": None},
+              "number": 7, "caller_id": '{"value": "text"}', "urgency": {"other": [1, "x"]}, "impact": True, "extra": 1}
+    replies = spark.createDataFrame([(json.dumps({"result": [record, "no record", 5]}),), ("no reply",), (None,)], "reply string")
+    rows = records_from_replies(replies, "reply", DOMAINS["incident"])
+    first, *others = rows.collect()
+    assert (first.sys_id, first.state, first.priority, first.category, first.number, first.caller_id, first.urgency, first.impact, first.opened_at) == (
+        "1", "1", "p", None, "7", '{"value": "text"}', '{"other":[1,"x"]}', "true", None)
+    assert all(r.sys_id is None for r in others)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parsejson") + plan.count("parse_json") + plan.count("parseJson") == 1

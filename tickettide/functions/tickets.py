@@ -86,3 +86,16 @@ def pick_value(field: Column, part: str = "value") -> Column:
     """Text of a field sent either plain or as ``{"display_value", "value"}``."""
     wrapped = field.rlike(r'^\s*\{\s*"(display_value|value)"\s*:')
     return F.when(wrapped, F.get_json_object(field, f"$.{part}")).otherwise(field)
+
+
+def pick_field(record: Column, name: str, part: str = "value") -> Column:
+    """Text of a parsed record's field sent either plain or as an object of ``display_value`` and ``value``.
+
+    `record` is a VARIANT, parsed once for all fields. Other objects and lists
+    come as their JSON; numbers without zeros at their end.
+    """
+    def at(*path: str, kind: str = "string") -> Column:
+        return F.try_variant_get(record, ".".join(["$", name, *path]), kind)
+
+    wrapped = at("value", kind="variant").isNotNull() | at("display_value", kind="variant").isNotNull()
+    return F.when(wrapped, at(part)).otherwise(at())

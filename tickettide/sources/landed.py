@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickettide.functions.tickets import pick_value
+from tickettide.functions.tickets import pick_field
 from tickettide.schema import Domain
 
 
@@ -24,11 +24,9 @@ def records_from_replies(
 
 
 def _fields_and_raw(records: DataFrame, domain: Domain, part: str) -> DataFrame:
-    fields = F.from_json(RAW, domain.ticket_schema)
-    parsed = records.withColumn("_fields", fields)
-    return parsed.select(
-        *(pick_value(F.col(f"_fields.{f}"), part).alias(f) for f in domain.fields), RAW
-    )
+    """Each record parsed once; one that is no JSON, or names a field twice, has no fields."""
+    parsed = records.withColumn("_record", F.try_parse_json(RAW))
+    return parsed.select(*(pick_field(F.col("_record"), f, part).alias(f) for f in domain.fields), RAW)
 
 
 def read_pages(spark: SparkSession, path: str, domain: Domain, part: str = "value") -> DataFrame:
