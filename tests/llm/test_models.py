@@ -124,3 +124,15 @@ def test_decay_solves_its_equation():
     scores, weights = np.array([-1.0, 2.0]), np.array([0.9, 0.1])
     rate = toxicity.decay(scores, weights)
     assert (weights * np.exp(rate * scores)).sum() == pytest.approx(1, abs=1e-6)
+
+
+def test_a_long_first_document_is_passed_over(spark):
+    """Documents beyond the bound don't end the fit; if none fits, that is an error."""
+    rows = [(i, ("good clean prose here " if i % 2 else "| spam | x $$$ ") * (400 if i < 3 else 40)) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    model = quality.fit(docs, labels, passages_most=30)
+    scores = {r.doc_id: r._score for r in quality.score(docs, model).collect()}
+    assert min(s for i, s in scores.items() if i % 2) > max(s for i, s in scores.items() if not i % 2)
+    with pytest.raises(ValueError, match="fits"):
+        quality.fit(docs, labels, passages_most=0)

@@ -206,12 +206,33 @@ def clean_documents(documents: DataFrame, benchmark: DataFrame, window: int = WI
                     block_words: int = BLOCK_WORDS) -> DataFrame:
     """The documents that are not contaminated, all columns and repeats as they are.
 
-    Rows that share a doc_id go together when one of them is contaminated.
+    Each row is judged by its own text where it is read, so shared and null ids
+    need no rule, and nothing is shuffled. A benchmark of several blocks takes
+    a pass each, and what is hit so far goes along with the row.
     """
-    bad = contamination(documents, benchmark, window, hit_part, block_words).where("contaminated").select(
-        F.col("doc_id").alias("_doc_id")).distinct()
-    own = documents["doc_id"].cast("long")
-    return documents.join(bad, own.eqNullSafe(bad["_doc_id"]), "left_anti")
+    columns = documents.columns
+    rows = documents.withColumns({"bytes of the text": text_bytes(), "words hit": F.lit(None).cast("array<struct<first:long,last:long>>")})
+    schema = rows.schema
+    for number, (blocks, windows) in enumerate(_blocks(benchmark, window, block_words)):
+        shared, last = documents.sparkSession.sparkContext.broadcast(windows), number == blocks - 1
+
+        def each(batch, shared=shared, last=last):
+            texts = batch.column(len(columns)).to_pylist()
+            for a, b in slices(np.array([len(t) for t in texts]), _BATCH_BYTES):
+                part = batch.slice(a, b - a)
+                counts, ranges, _ = hits(texts[a:b], shared.value)
+                before = part.column(len(columns) + 1).to_pylist()
+                every = [merged([*((r["first"], r["last"]) for r in x or []), *ranges.get(i, [])]) for i, x in enumerate(before)]
+                if last:
+                    n_hit = [sum(y - x for x, y in found) for found in every]
+                    part = part.filter(pa.array([not (n and hit_part * n >= words) for n, words in zip(n_hit, counts)], pa.bool_()))
+                    yield part
+                else:
+                    marks = pa.array([[{"first": x, "last": y} for x, y in found] for found in every], _RANGES)
+                    yield pa.RecordBatch.from_arrays([*part.columns[:-1], marks], part.schema.names)
+
+        rows = batches(rows, each, schema)
+    return rows.select(*columns)
 
 
 def without_passages(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

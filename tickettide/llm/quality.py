@@ -158,7 +158,8 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", allowed
     """The model from at most `most` labelled documents and `passages_most` of their passages.
 
     Whole documents are used, in the seeded order of their ids, while their
-    passages fit the bound. Without any label the model scores near one half.
+    passages fit the bound; those that do not are passed over. Without any label
+    the model scores near one half; labels of which no document fits are an error.
     """
 
     def each(batch):
@@ -177,14 +178,16 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", allowed
     rows = written(batches(chosen.where(F.octet_length("text") < 64 * PASSAGE_WORDS * passages_most), each,
                            "turn long, label double, n long, packed binary"), "quality-features")
     sizes = sorted((r["turn"], r["n"]) for r in rows.select("turn", "n").collect())
-    total, last = 0, None
+    total, turns = 0, []
     for turn, n in sizes:
-        if total + n > passages_most:
-            break
-        total, last = total + n, turn
-    if last is None:
+        if total + n <= passages_most:
+            total += n
+            turns.append(turn)
+    if not turns:
+        if not chosen.isEmpty():
+            raise ValueError(f"no labelled document fits in {passages_most} passages")
         return start_model() | {"c": np.zeros(ENCODED)}
-    kept = sorted(rows.where(F.col("turn") <= last).collect(), key=lambda r: (r["turn"], r["label"], bytes(r["packed"])))
+    kept = sorted(rows.where(F.col("turn").isin(turns)).collect(), key=lambda r: (r["turn"], r["label"], bytes(r["packed"])))
     x = np.concatenate([np.frombuffer(r["packed"], np.float32).reshape(-1, WIDTH) for r in kept])
     owner = np.repeat(np.arange(len(kept)), [r["n"] for r in kept])
     return train(x, owner, np.array([r["label"] for r in kept]))

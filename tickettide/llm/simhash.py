@@ -18,7 +18,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickettide.llm.common import batches, components, popcount, signed, text_bytes, written
@@ -56,17 +56,22 @@ def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
 
 
 def fingerprints(documents: DataFrame, words: int = WORDS, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp): one row per document, the fingerprint's bits as a signed long.
+    """(doc_id, text_hash, fp): one row per document, the fingerprint's bits as a signed long.
 
-    A null text counts as empty, whose fingerprint is zero.
+    A null text counts as empty, whose fingerprint is zero. `text_hash` tells
+    rows that share an id apart.
     """
 
     def each(batch):
-        made = np.array([fingerprint(x, words, seed) for x in batch.column(1).to_pylist()], np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signed(made))], ["doc_id", "fp"])
+        made = np.array([fingerprint(x, words, seed) for x in batch.column(2).to_pylist()], np.uint64)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(signed(made))], ["doc_id", "text_hash", "fp"])
 
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
-    return batches(rows, each, "doc_id long, fp long")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), _text_hash().alias("text_hash"), text_bytes().alias("text"))
+    return batches(rows, each, "doc_id long, text_hash long, fp long")
+
+
+def _text_hash() -> Column:
+    return F.xxhash64(text_bytes())
 
 
 def masks(bits: int, most: int, shift: int = 0) -> np.ndarray:
@@ -222,6 +227,19 @@ def _stars(made: np.ndarray, owner: np.ndarray) -> np.ndarray:
     return np.unique(pairs, axis=0) if len(pairs) else pairs
 
 
+def _classes(documents: DataFrame, radius: int, words: int, seed: int, hot_rows: int) -> DataFrame:
+    """(doc_id, text_hash, fp, component_id) of every document, and its group's least row as `least`."""
+    prints = written(fingerprints(documents, words, seed), "simhash-prints")
+    row = F.struct("doc_id", "text_hash")
+    distinct = written(prints.groupBy("fp").agg(F.min(F.when(F.col("doc_id").isNotNull(), row)).alias("first")), "simhash-distinct")
+    linked = components(links(distinct.select("fp"), radius, hot_rows), "simhash")
+    rooted = distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select(
+        "fp", "first", F.coalesce("component", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("first").alias("least"))
+    by_print = written(rooted.join(least, "root").select("fp", "least"), "simhash-classes")
+    return prints.join(by_print, "fp").withColumn("component_id", F.col("least.doc_id"))
+
+
 def near_duplicates(documents: DataFrame, radius: int = RADIUS, words: int = WORDS, seed: int = SEED,
                     hot_rows: int = HOT_ROWS) -> DataFrame:
     """(doc_id, fp, component_id): every document with its near-duplicate group.
@@ -233,24 +251,21 @@ def near_duplicates(documents: DataFrame, radius: int = RADIUS, words: int = WOR
     the smallest; a group of null ids only has a null component. Other columns
     are not read. An empty table gives no rows.
     """
-    prints = written(fingerprints(documents, words, seed), "simhash-prints")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    linked = components(links(distinct.select("fp"), radius, hot_rows), "simhash")
-    rooted = distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "first_id", F.coalesce("component", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_print = written(rooted.join(least, "root").select("fp", "component_id"), "simhash-classes")
-    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    return _classes(documents, radius, words, seed, hot_rows).select("doc_id", "fp", "component_id")
 
 
 def keep_one(documents: DataFrame, radius: int = RADIUS, words: int = WORDS, seed: int = SEED) -> DataFrame:
     """The documents without near duplicates: of each group the row with the smallest doc_id.
 
-    Columns and rows stay as they are. Of repeated rows with that doc_id one
-    stays; rows without a doc_id all stay.
+    Columns and rows stay as they are. Of rows that share this id the one whose
+    text's hash is smallest stays, of equal rows one; rows that share an id but
+    are of different groups are different documents. Rows without a doc_id all
+    stay.
     """
-    groups = near_duplicates(documents, radius, words, seed)
-    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    whole = documents.where("doc_id is not null")
-    single = whole.join(kept, whole["doc_id"] == kept["_kept"], "left_semi").dropDuplicates(["doc_id"])
+    classes = _classes(documents, radius, words, seed, HOT_ROWS)
+    kept = classes.where(F.struct("doc_id", "text_hash") == F.col("least")).select(
+        F.col("doc_id").alias("_doc_id"), F.col("text_hash").alias("_text_hash")).distinct()
+    whole = documents.where("doc_id is not null").withColumn("hash of the text", _text_hash())
+    same = (whole["doc_id"].cast("long") == kept["_doc_id"]) & (whole["hash of the text"] == kept["_text_hash"])
+    single = whole.join(kept, same, "left_semi").dropDuplicates(["doc_id", "hash of the text"]).drop("hash of the text")
     return single.unionByName(documents.where("doc_id is null"))
