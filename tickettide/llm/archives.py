@@ -309,7 +309,8 @@ def convert(archives: DataFrame, folder: str, least_payload: int = LEAST_PAYLOAD
         yield pa.RecordBatch.from_arrays(
             [pa.array([m.uri for m in made], pa.string()), pa.array([m.records for m in made], pa.int64())], ["archive", "records"])
 
-    jobs = archives.select("archive").join(revisits, "archive", "left").select("archive", "revisits")
+    # Written first: dealt out by the key of a join, its rows would keep that join's few partitions.
+    jobs = written(archives.select("archive").join(revisits, "archive", "left").select("archive", "revisits"), "arc-jobs")
     return written(_each_archive(jobs, run, "archive string, records long"), "warc-files")
 
 
