@@ -15,7 +15,7 @@ from operator import ne
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickettide.llm.common import batches, components, popcount, signed, slices, span_hashes, spans_of, text_bytes, written
@@ -107,63 +107,84 @@ def block_keys() -> list[tuple[int, int]]:
 
 
 def edit_similarity(a: bytes, b: bytes, least: float) -> float:
-    """1 - edit distance / longer length over the words, zero once it must fall below `least`.
-
-    Banded dynamic programming: the band is what `least` allows.
-    """
+    """1 - edit distance / longer length over the words, zero where it falls below `least`."""
     return word_similarity(a.split(b" "), b.split(b" "), least)
 
 
 def word_similarity(x: list[bytes], y: list[bytes], least: float) -> float:
     """`edit_similarity` of lines already cut into words."""
-    if len(x) > len(y):
-        x, y = y, x
+    whole = max(len(x), len(y))
+    distance = word_distance(x, y) if abs(len(x) - len(y)) <= _most(whole, least) else whole
+    return 1 - distance / whole if whole and distance <= _most(whole, least) else float(not whole)
+
+
+def _most(whole: int, least: float) -> int:
+    """The largest distance at which lines of so many words are still alike."""
+    return int((1 - least) * whole + 1e-9)
+
+
+def word_distance(x: list[bytes], y: list[bytes]) -> int:
+    """Edit distance over words: a column of the distance matrix at a time, its differences as bits of two integers."""
     n, m = len(x), len(y)
-    whole = m
-    most = int((1 - least) * m + 1e-9)
-    if m - n > most:
-        return 0.0
-    if n == m:
-        # Words changed in place are the usual case, and bound the distance from above.
-        changed = sum(map(ne, x, y))
-        if changed <= 1:
-            return 1 - changed / whole
-    while n and x[n - 1] == y[m - 1]:
+    while n and m and x[n - 1] == y[m - 1]:
         n, m = n - 1, m - 1
     skip = 0
-    while skip < n and x[skip] == y[skip]:
+    while skip < min(n, m) and x[skip] == y[skip]:
         skip += 1
     x, y = x[skip:n], y[skip:m]
-    n, m = len(x), len(y)
-    infinite = most + 1
-    row = [j if j <= most else infinite for j in range(m + 1)]
-    for i in range(1, n + 1):
-        low, high = max(1, i - most), min(m, i + most)
-        new = [infinite] * (m + 1)
-        if i <= most:
-            new[0] = i
-        for j in range(low, high + 1):
-            new[j] = min(row[j - 1] + (x[i - 1] != y[j - 1]), row[j] + 1, new[j - 1] + 1, infinite)
-        if min(new[low - 1 : high + 1]) > most:
-            return 0.0
-        row = new
-    return 1 - row[m] / whole if row[m] <= most else 0.0
+    if not x or not y:
+        return len(x) + len(y)
+    at: dict[bytes, int] = {}
+    for i, word in enumerate(x):
+        at[word] = at.get(word, 0) | 1 << i
+    whole, last = (1 << len(x)) - 1, 1 << len(x) - 1
+    distance, more, less = len(x), whole, 0  # the column's steps up and down
+    for word in y:
+        same = at.get(word, 0)
+        diagonal = (((same & more) + more) ^ more) | same | less
+        up, down = less | whole & ~(diagonal | more), more & diagonal
+        distance += bool(up & last) - bool(down & last)
+        up, down = up << 1 | 1, down << 1
+        more, less = whole & (down | ~(same | less | up)), whole & up & (same | less)
+    return distance
+
+
+def alike(x: list[bytes], y: list[bytes], least: float) -> bool:
+    """Whether the similarity of two lines' words is at least that.
+
+    Words changed in place bound the distance from above, which settles most pairs.
+    """
+    most = _most(max(len(x), len(y)), least)
+    if abs(len(x) - len(y)) > most:
+        return False
+    return len(x) == len(y) and sum(map(ne, x, y)) <= most or word_distance(x, y) <= most
 
 
 def lines(documents: DataFrame) -> DataFrame:
-    """(doc_id, line, words, high, low, print): every line of every text, by its place."""
+    """(doc_id, text_hash, line, words, high, low, print): every line of every text, by its place.
+
+    A row is known by its id and its text's hash, so that rows sharing an id are kept apart.
+    """
 
     def each(batch):
-        texts = batch.column(1).to_pylist()
+        texts = batch.column(2).to_pylist()
         for a, b in slices(np.array([len(t) for t in texts]), _BATCH_BYTES):
             text_of, place, counts, high, low, prints = line_prints(texts[a:b])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a, b - a).take(pa.array(text_of)), pa.array(place), pa.array(counts.astype(np.int64)),
-                 pa.array(signed(high)), pa.array(signed(low)), pa.array(signed(prints))],
-                ["doc_id", "line", "words", "high", "low", "print"])
+                [*(batch.column(k).slice(a, b - a).take(pa.array(text_of)) for k in range(2)), pa.array(place),
+                 pa.array(counts.astype(np.int64)), pa.array(signed(high)), pa.array(signed(low)), pa.array(signed(prints))],
+                ["doc_id", "text_hash", "line", "words", "high", "low", "print"])
+
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), _text_hash(), text_bytes().alias("text"))
+    return batches(rows, each, "doc_id long, text_hash long, line long, words long, high long, low long, print long")
+
+
+def _text_hash() -> Column:
+    return F.xxhash64(text_bytes()).alias("text_hash")
+
 
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
-    return batches(rows, each, "doc_id long, line long, words long, high long, low long, print long")
+def _same_row(a: DataFrame, b: DataFrame) -> Column:
+    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_hash"] == b["text_hash"])
 
 
 def _near_lines(distinct: DataFrame) -> DataFrame:
@@ -273,18 +294,18 @@ def _near_each_other(prints: np.ndarray, number: int, masks: np.ndarray) -> np.n
     return found
 
 
-def _forest(rows: list[tuple[int, int, int, list[bytes]]]) -> list[tuple[int, int, int, int]]:
+def _forest(rows: list[tuple[int, int, list[bytes]]]) -> list[tuple[int, int]]:
     """Links that connect what the pairs within DISTANCE and SIMILARITY connect."""
     clusters: list[list] = []
     found = []
     for row in rows:
         joined = None
         for cluster in clusters[:]:
-            hit = next((m for m in cluster if (m[2] ^ row[2]).bit_count() <= DISTANCE
-                        and word_similarity(m[3], row[3], SIMILARITY) >= SIMILARITY), None)
+            hit = next((m for m in cluster if (m[1] ^ row[1]).bit_count() <= DISTANCE
+                        and alike(m[2], row[2], SIMILARITY)), None)
             if hit is None:
                 continue
-            found.append((*row[:2], *hit[:2]))
+            found.append((row[0], hit[0]))
             if joined is None:
                 joined = cluster
             else:
@@ -302,40 +323,38 @@ def _verified(stream):
     current, rows = None, []
     for batch in stream:
         found: list = []
-        for *own, high, low, print_, text in zip(*(c.to_pylist() for c in batch.columns)):
+        for *own, id_, print_, text in zip(*(c.to_pylist() for c in batch.columns)):
             if own != current:
                 found += _forest(rows)
                 current, rows = own, []
-            rows.append((high, low, print_ & 0xFFFFFFFFFFFFFFFF, text.split(b" ")))
+            rows.append((id_, print_ & 0xFFFFFFFFFFFFFFFF, text.split(b" ")))
         yield _pairs(found)
     yield _pairs(_forest(rows))
 
 
 def _pairs(found: list) -> pa.RecordBatch:
-    columns = list(zip(*found)) if found else [[]] * 4
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a_high", "a_low", "b_high", "b_low"])
+    columns = list(zip(*found)) if found else [[]] * 2
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["src", "dst"])
 
 
 def _texts(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(high, low, print, text): the normalised words of the wanted lines, one row per distinct line.
+    """(id, print, text): the normalised words of the wanted lines, one row per distinct line.
 
-    `wanted` names documents by id, and the places of lines in them.
+    `wanted` names rows of documents by id and text, and the places of lines in them.
     """
 
     def each(batch):
         made = []
         for places, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             parts = text.split(b"\n")
-            for p in places:
-                if p["line"] < len(parts):
-                    made.append((p["high"], p["low"], p["print"], b" ".join(normal_words(parts[p["line"]]))))
-        columns = list(zip(*made)) if made else [[]] * 4
-        kinds = [pa.int64()] * 3 + [pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["high", "low", "print", "text"])
+            made += [(p["id"], p["print"], b" ".join(normal_words(parts[p["line"]]))) for p in places]
+        columns = list(zip(*made)) if made else [[]] * 3
+        kinds = [pa.int64(), pa.int64(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["id", "print", "text"])
 
-    by_document = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line", "high", "low", "print")).alias("places"))
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).join(by_document, "doc_id")
-    return batches(rows.select("places", "text"), each, "high long, low long, print long, text binary")
+    by_row = wanted.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("line", "id", "print")).alias("places"))
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), _text_hash(), text_bytes().alias("text"))
+    return batches(rows.join(by_row, _same_row(rows, by_row)).select("places", "text"), each, "id long, print long, text binary")
 
 
 def _sliced(near: DataFrame, slice_lines: int) -> DataFrame:
@@ -359,43 +378,47 @@ def line_groups(documents: DataFrame, min_words: int = MIN_WORDS, slice_lines: i
     lines that are linked to others (high, low, group_high, group_low)."""
     every = written(lines(documents), "lines")
     able = every.where(F.col("words") >= min_words)
+    # A number for each distinct line, so that links and groups are of single longs.
     distinct = written(able.groupBy("high", "low", "print").agg(
-        F.min(F.struct("doc_id", "line")).alias("first")), "lines-distinct")
+        F.min(F.struct("doc_id", "text_hash", "line")).alias("first")).withColumn("id", F.monotonically_increasing_id()), "lines-distinct")
     # Prints that several distinct lines share need their texts compared as well.
     twins = distinct.groupBy("print").count().where("count > 1").select(F.lit(-1).alias("key"), F.col("print").alias("at"), "print")
     near = written(_near_lines(distinct).unionByName(twins), "lines-near")
     some = near.select("print").distinct()
-    rows = distinct.join(some, "print").select("high", "low", "print", "first.doc_id", "first.line")
-    texts = _texts(documents, rows).dropDuplicates(["high", "low"])
+    rows = distinct.join(some, "print").select("id", "print", "first.doc_id", "first.text_hash", "first.line")
+    texts = _texts(documents, rows).dropDuplicates(["id"])
     parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     group = ["key", "at", "one", "other"]
-    together = _sliced(near, slice_lines).join(texts, "print").select(*group, "high", "low", "print", "text")
-    pairs = together.repartition(parts, *group).sortWithinPartitions(*group, "high", "low").mapInArrow(
-        _verified, "a_high long, a_low long, b_high long, b_low long")
-    node = lambda side: F.struct(F.col(f"{side}_high").alias("high"), F.col(f"{side}_low").alias("low"))
-    linked = components(pairs.select(node("a").alias("src"), node("b").alias("dst")), "lines")
-    return every, linked.select(
-        "node.high", "node.low", F.col("component.high").alias("group_high"), F.col("component.low").alias("group_low"))
+    together = _sliced(near, slice_lines).join(texts, "print").select(*group, "id", "print", "text")
+    pairs = together.repartition(parts, *group).sortWithinPartitions(*group, "id").mapInArrow(_verified, "src long, dst long")
+    linked = components(pairs, "lines")
+    names = distinct.select("id", "high", "low")
+    groups = linked.join(names.withColumnRenamed("id", "node"), "node").join(
+        names.select(F.col("id").alias("component"), F.col("high").alias("group_high"), F.col("low").alias("group_low")), "component")
+    return every, groups.select("high", "low", "group_high", "group_low")
 
 
 def repeated_lines(documents: DataFrame, min_words: int = MIN_WORDS, slice_lines: int = SLICE_LINES) -> DataFrame:
-    """(doc_id, line, group_high, group_low, first_doc_id, first_line): every line but the first of its group.
+    """(doc_id, text_hash, line, group_high, group_low, first_doc_id, first_line): every line but the first of its group.
 
     A group holds equal normalised lines and those linked to them; its first
-    line is the one with the smallest (doc_id, place). Lines of fewer than
-    `min_words` words never repeat anything. Lines of rows without a doc_id
-    come before all others and are never returned themselves.
+    line is the one with the smallest (doc_id, text's hash, place). Lines of
+    fewer than `min_words` words never repeat anything. Lines of rows without a
+    doc_id come before all others and are never returned themselves. Rows with
+    the same id and text are one.
     """
     every, groups = line_groups(documents, min_words, slice_lines)
     able = every.where(F.col("words") >= min_words)
+    place = F.struct("doc_id", "text_hash", "line")
     named = able.join(groups, ["high", "low"], "left").select(
-        "doc_id", "line", F.coalesce("group_high", "high").alias("group_high"), F.coalesce("group_low", "low").alias("group_low"))
-    first = named.groupBy("group_high", "group_low").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")).where("n > 1")
+        "doc_id", "text_hash", "line", F.coalesce("group_high", "high").alias("group_high"), F.coalesce("group_low", "low").alias("group_low"))
+    first = named.groupBy("group_high", "group_low").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
     # A table of its own, so that the lines of a hot group can be split over tasks when they meet it.
     first = written(first, "lines-first")
-    repeated = named.join(first, ["group_high", "group_low"]).where(F.struct("doc_id", "line") > F.col("first"))
+    repeated = named.join(first, ["group_high", "group_low"]).where(place > F.col("first"))
     return repeated.where("doc_id is not null").select(
-        "doc_id", "line", "group_high", "group_low", F.col("first.doc_id").alias("first_doc_id"), F.col("first.line").alias("first_line"))
+        "doc_id", "text_hash", "line", "group_high", "group_low", F.col("first.doc_id").alias("first_doc_id"),
+        F.col("first.line").alias("first_line"))
 
 
 def dedup_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -404,15 +427,19 @@ def dedup_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     Texts lose whole lines and nothing else. A document that loses every line
     stays with an empty text, null texts and documents without repeats stay as
     they are, and so do all other columns; `n_chars`, where there is one of a
-    number type, counts the new text. Rows that share a doc_id lose the same
-    places, and rows without one lose nothing.
+    number type, counts the new text. Rows that share a doc_id are told apart by
+    their texts, and rows without one lose nothing.
     """
-    gone = repeated_lines(documents, min_words).groupBy("doc_id").agg(F.collect_set("line").alias("_gone"), F.lit(True).alias("_some")).select(
-        F.col("doc_id").alias("_doc_id"), "_gone")
+    gone = repeated_lines(documents, min_words).groupBy("doc_id", "text_hash").agg(F.collect_set(F.col("line").cast("int")).alias("_gone")).select(
+        F.col("doc_id").alias("_doc_id"), F.col("text_hash").alias("_text_hash"), "_gone")
     schema = documents.schema
-    joined = documents.join(gone, documents["doc_id"].cast("long") == gone["_doc_id"], "left")
-    parts = F.split(documents["text"], "\n", -1)
-    kept = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains(gone["_gone"], i.cast("long"))), "\n")
+    joined = documents.join(gone, (documents["doc_id"].cast("long") == gone["_doc_id"]) & (
+        F.xxhash64(F.coalesce(documents["text"].cast("binary"), F.lit(b""))) == gone["_text_hash"]), "left")
+    # A column of its own, so that the text is cut once and not for each line.
+    joined = joined.withColumn("lines of the text", F.when(gone["_gone"].isNotNull(), F.split(documents["text"], "\n", -1)))
+    parts = F.col("lines of the text")
+    places = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), gone["_gone"])
+    kept = F.array_join(F.transform(places, lambda i: F.get(parts, i)), "\n")
     text = F.when(gone["_gone"].isNull(), documents["text"]).otherwise(kept)
     out = []
     for field in schema.fields:
