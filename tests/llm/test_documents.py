@@ -76,6 +76,14 @@ def test_simhash_equals_brute_force(documents, clashing, corpus, hot_rows):
     assert sorted(((r.doc_id, r.fp % 2**64, r.component_id) for r in got), key=str) == sorted(((i, p, least[p]) for i, p in prints), key=str)
 
 
+def test_leading_bits_grow_with_the_fingerprints():
+    widths = [simhash.lead_bits(n, 2) for n in (1, 9_000_000, 30_000_000, 10 ** 8, 10 ** 9, 10 ** 12)]
+    assert widths[:2] == [16, 16] and widths == sorted(widths) and widths[-1] <= 40
+    for n in (3 * 10 ** 7, 10 ** 9, 10 ** 11):
+        bits = simhash.lead_bits(n, 2)
+        assert n * len(simhash.masks(bits, 2)) / 2 ** bits <= simhash.HOT_ROWS < n * len(simhash.masks(bits - 1, 2)) / 2 ** (bits - 1)
+
+
 def test_simhash_radius_balls(spark):
     """All links in clusters of random flips, also when every key is hot and blocks are tiny."""
     rng = random.Random(3)
@@ -87,8 +95,8 @@ def test_simhash_radius_balls(spark):
     signed = [p - 2**64 if p >= 2**63 else p for p in prints]
     groups = reachable(prints, lambda a, b: (a ^ b).bit_count() <= 4)
     rows = spark.createDataFrame([(p,) for p in signed], "fp long")
-    for hot_rows in (20_000, 2):
-        links = simhash.links(rows, hot_rows=hot_rows)
+    for hot_rows, bits in ((20_000, None), (2, None), (20_000, 17), (20_000, 20), (2, 21), (20_000, 30)):
+        links = simhash.links(rows, hot_rows=hot_rows, bits=bits)
         assert all((r.src ^ r.dst).bit_count() <= 4 if (r.src ^ r.dst) >= 0 else ((r.src ^ r.dst) % 2**64).bit_count() <= 4 for r in links.collect())
         found = {r.node % 2**64: r.component % 2**64 for r in components(links, "test").collect()}
         for p, members in groups.items():
@@ -157,8 +165,9 @@ def test_decontamination_equals_brute_force(spark, documents, clashing, corpus,
     got = decontamination.contamination(clashing(docs), table, block_words=block_words)
     assert sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items, r["items"], r.contaminated) for r in got.collect()), key=str) == brute_hits(rows, items)
     clean = decontamination.clean_documents(clashing(docs), table, block_words=block_words)
-    bad = {r[0] for r in brute_hits(rows, items) if r[5]}
-    assert sorted((r.doc_id for r in clean.collect()), key=str) == sorted((i for i, _ in rows if i not in bad), key=str)
+    # Each row goes or stays by its own text, whatever ids it shares.
+    good = [i for i, t in rows if not brute_hits([(i, t)], items)[0][5]]
+    assert sorted((r.doc_id for r in clean.collect()), key=str) == sorted(good, key=str)
     assert clean.columns == clashing(docs).columns
 
 
@@ -320,3 +329,52 @@ def test_mix_of_overlapping_sources(documents):
     got = mixing.mix(docs, weights={"a": 1, "b": 1}).collect()
     assert {tuple(r.sources) for r in got} == {("a",), ("a", "b"), (None,)}
     assert sum(r.taken for r in got) > 0
+
+
+def test_rows_sharing_an_id_are_rows_of_their_own(spark, documents):
+    """Shared and null ids: no row goes, and no line, because of another row with its id."""
+    rng = random.Random(12)
+    own = [prose(rng, 30) for _ in range(6)]
+    kept = simhash.keep_one(documents((1, own[0]), (1, own[1]), (2, own[2]), (3, own[1]), (3, own[3]), (None, own[0]), (None, own[0])))
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(
+        [(1, own[0]), (1, own[1]), (2, own[2]), (3, own[3]), (None, own[0]), (None, own[0])], key=str)
+    table = spark.createDataFrame([(1, own[4])], BENCHMARK)
+    clean = decontamination.clean_documents(documents((None, own[0]), (None, own[4]), (None, None), (7, own[4]), (7, own[1])), table)
+    assert sorted(((r.doc_id, r.text) for r in clean.collect()), key=str) == sorted([(None, own[0]), (None, None), (7, own[1])], key=str)
+    rows = [(1, own[0]), (2, own[0]), (2, own[1] + "\n" + own[2]), (None, own[3]), (4, own[3]), (5, own[3] + "\n" + own[5])]
+    got = sorted(((r.doc_id, r.text) for r in line_dedup.dedup_lines(documents(*rows)).collect()), key=str)
+    assert got == sorted([(1, own[0]), (2, ""), (2, own[1] + "\n" + own[2]), (None, own[3]), (4, ""), (5, own[5])], key=str)
+
+
+def test_a_row_without_an_id_breaks_no_link(documents):
+    """A line that also stands in a row without an id is still linked to lines near it."""
+    base = [f"word{i}" for i in range(100)]
+    prints = {}
+    for k in range(100):
+        line = " ".join(base[:k] + [f"other{k}"] + base[k + 1:])
+        prints[line] = int(line_dedup.line_prints([line.encode()])[5][0])
+    first = " ".join(base)
+    own = int(line_dedup.line_prints([first.encode()])[5][0])
+    near = next(t for t, p in prints.items() if (own ^ p).bit_count() <= 3)
+    for extra in ([], [(None, first)]):
+        got = line_dedup.repeated_lines(documents((1, first), (2, near), *extra)).collect()
+        assert 2 in {r.doc_id for r in got}
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 63, 64, 65, 200])
+def test_word_distance_equals_the_plain_table(n):
+    rng = random.Random(n)
+    for _ in range(30):
+        x = [rng.choice([b"a", b"b", b"c"]) for _ in range(n)]
+        y = list(x)
+        for _ in range(rng.randrange(1 + n // 4)):
+            at = rng.randrange(len(y) + 1)
+            y[at:at + rng.randrange(2)] = [rng.choice([b"a", b"d"])] * rng.randrange(2)
+        row = list(range(len(y) + 1))
+        for i, a in enumerate(x, 1):
+            new = [i]
+            for j, b in enumerate(y, 1):
+                new.append(min(row[j - 1] + (a != b), row[j] + 1, new[j - 1] + 1))
+            row = new
+        assert line_dedup.word_distance(x, y) == line_dedup.word_distance(y, x) == row[-1]
+        assert line_dedup.alike(x, y, 0.8) == (row[-1] <= int(0.2 * max(len(x), len(y)) + 1e-9))

@@ -26,9 +26,10 @@ from tickettide.llm.common import batches, components, popcount, signed, text_by
 RADIUS = 4
 WORDS = 4
 SEED = 42
+#: Leading bits that variants are dealt out by, at least; more fingerprints take more.
 LEAD_BITS = 16
 MORE_BITS = 24
-#: Rows meeting at one leading value, beyond which it is split further.
+#: Rows meeting at one leading value, on average, beyond which a bit is added; values out of line are split further.
 HOT_ROWS = 20_000
 #: Variants made at once in a task.
 BLOCK = 4_000_000
@@ -80,34 +81,50 @@ def masks(bits: int, most: int, shift: int = 0) -> np.ndarray:
     return np.array(chosen, np.uint64) << np.uint64(shift)
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, hot_rows: int = HOT_ROWS) -> DataFrame:
+def lead_bits(fingerprints_: int, flips: int, hot_rows: int = HOT_ROWS) -> int:
+    """Leading bits for so many fingerprints: a bit more for each doubling, so that as many rows meet at a value.
+
+    Rows per fingerprint grow with the square of that: 137 up to nine million
+    fingerprints, 172 at thirty, 211 at a hundred, 301 at one and a half billion.
+    """
+    bits = LEAD_BITS
+    while bits < 64 - MORE_BITS and fingerprints_ * len(masks(bits, flips)) > hot_rows << bits:
+        bits += 1
+    return bits
+
+
+def links(distinct: DataFrame, radius: int = RADIUS, hot_rows: int = HOT_ROWS, bits: int | None = None) -> DataFrame:
     """(src, dst): links among distinct fingerprints `fp` with the components of all
-    pairs within the radius. Each row is a verified pair; no pair is emitted twice."""
+    pairs within the radius. Each row is a verified pair; no pair is emitted twice.
+
+    `bits` are the leading bits, by default as many as the fingerprints need.
+    """
     half, other = radius // 2, radius - radius // 2
     flips = max(half, other)
     lead = F.shiftrightunsigned("fp", 64 - LEAD_BITS).cast("int")
     counts = np.zeros(1 << LEAD_BITS, np.int64)
     for row in distinct.groupBy(lead.alias("lead")).count().collect():  # 65,536 rows at most
         counts[row["lead"]] = row["count"]
+    width = bits or lead_bits(int(counts.sum()), flips, hot_rows)
     values = np.arange(1 << LEAD_BITS)
     arriving = sum(counts[values ^ int(m)] for m in masks(LEAD_BITS, flips))
-    hot = arriving > hot_rows
+    hot = arriving > hot_rows << (width - LEAD_BITS)
 
     def spread(batch):
         fps = batch.column(0).to_numpy().view(np.uint64)
-        shift = np.uint64(64 - LEAD_BITS)
-        for mask in masks(LEAD_BITS, flips):
+        shift, coarse = np.uint64(64 - width), np.uint64(width - LEAD_BITS)
+        for mask in masks(width, flips):
             keys = (fps >> shift) ^ mask
-            split = hot[keys.astype(np.int64)]
+            split = hot[(keys >> coarse).astype(np.int64)]
             plain = ~split
             if plain.any():
-                yield _sent(keys[plain], LEAD_BITS, fps[plain])
+                yield _sent(keys[plain], width, fps[plain])
             if split.any():
                 rest = flips - int(popcount(mask))
-                narrow = np.uint64(64 - LEAD_BITS - MORE_BITS)
+                narrow = np.uint64(64 - width - MORE_BITS)
                 long_keys = (fps[split] >> narrow) ^ (mask << np.uint64(MORE_BITS))
                 for more in masks(MORE_BITS, rest):
-                    yield _sent(long_keys ^ more, LEAD_BITS + MORE_BITS, fps[split])
+                    yield _sent(long_keys ^ more, width + MORE_BITS, fps[split])
 
     def meet(stream):
         carried = None
