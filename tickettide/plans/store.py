@@ -112,7 +112,9 @@ def _observed(observation: Observation, rows: DataFrame) -> int:
     try:
         return observation.get["n"]
     except Py4JJavaError:
-        return rows.count()
+        if rows.isEmpty():
+            return 0
+        raise
 
 
 class SnapshotStore:

@@ -12,10 +12,15 @@ SHARED_FOLDER_SETTINGS = ("spark.checkpoint.dir", "spark.sql.warehouse.dir")
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all machines see: the checkpoint folder, else the warehouse.
 
-    Every session has a warehouse, and on a cluster it is shared.
+    A warehouse in a local folder will do where driver and tasks are one
+    process; elsewhere it is an error, since other machines don't see it.
     """
-    named = (spark.conf.get(setting, None) for setting in SHARED_FOLDER_SETTINGS)
-    return next(folder for folder in named if folder).rstrip("/")
+    named = ((setting, spark.conf.get(setting, None)) for setting in SHARED_FOLDER_SETTINGS)
+    setting, folder = next((s, f) for s, f in named if f)
+    local = folder.startswith(("file:", "/"))
+    if setting == SHARED_FOLDER_SETTINGS[1] and local and not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError(f"set {SHARED_FOLDER_SETTINGS[0]} to a folder that all machines see; the warehouse is local: {folder}")
+    return folder.rstrip("/")
 
 
 def new_folder(spark: SparkSession, purpose: str) -> str:
