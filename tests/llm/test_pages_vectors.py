@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import io
 import random
+import time
 
 import numpy as np
 import pytest
@@ -235,3 +236,21 @@ def test_edited_documents(spark, documents, clashing):
         WHEN 2 THEN array(named_struct('first', 3L, 'last', 5L, 'new', 'new')) END"""))
     assert {r.doc_id: r.text for r in token_counts.apply_edits(edits).collect()} == {1: "Zabc ", 2: "new", 3: "x"}
     assert token_counts.edited_counts(documents((1, "a")).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("page", [
+    "<a " * 350_000, "<!" * 500_000, "<p>" + "<" * 1_000_000, "<div class=x>" * 40_000 + "</span>" * 40_000 + "</b>" * 20_000,
+    "<nav>" + "<div>" * 80_000 + "</nav>" * 3 + "</div>" * 80_000,
+])
+def test_a_megabyte_of_broken_markup_takes_seconds(page):
+    start = time.process_time()
+    html_text.page_lines(page)
+    assert time.process_time() - start < 5
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<p>one</p> two < three <b", ["one", "two < three <b"]), ("a<!-- never", ["a"]), ("<p>x</p>1 <a 2<!-- c <a 3", ["x", "1 <a 2"]),
+    ("<nav><div>in</nav>out", ["in", "out"]), ("<nav><div>in</div></span>still</nav>out", ["in", "still", "out"]),
+])
+def test_what_follows_the_last_tag_is_text(page, text):
+    assert [t for t, _, _ in html_text.page_lines(page)] == text
