@@ -225,11 +225,11 @@ def _near_lines(distinct: DataFrame) -> DataFrame:
 
     parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sent = batches(distinct.select("print").distinct(), spread, "key int, at long, print long")
-    return sent.repartition(parts, "key", "at").sortWithinPartitions("key", "at").mapInArrow(meet, "key int, at long, print long")
+    return sent.repartition(parts, "key", "at").sortWithinPartitions("at", "key").mapInArrow(meet, "key int, at long, print long")
 
 
 def _partners(keys: np.ndarray, at: np.ndarray, prints: np.ndarray, masks: np.ndarray) -> np.ndarray:
-    """The rows, sorted by (key, at), that have a near partner whose first agreeing key is theirs.
+    """The rows, sorted by (at, key), that have a near partner whose first agreeing key is theirs.
 
     Small groups, nearly all, are compared at once: every row with the next one
     of its group, then with the one after that, and so on.
@@ -319,7 +319,7 @@ def _forest(rows: list[tuple[int, int, list[bytes]]]) -> list[tuple[int, int]]:
 
 
 def _verified(stream):
-    """Links of the groups (key, at, one, other); the rows come sorted by them."""
+    """Links of the groups (at, key, one, other); the rows come sorted by them."""
     current, rows = None, []
     for batch in stream:
         found: list = []
@@ -388,7 +388,8 @@ def line_groups(documents: DataFrame, min_words: int = MIN_WORDS, slice_lines: i
     rows = distinct.join(some, "print").select("id", "print", "first.doc_id", "first.text_hash", "first.line")
     texts = _texts(documents, rows).dropDuplicates(["id"])
     parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    group = ["key", "at", "one", "other"]
+    # The value first: it tells rows apart where few keys would not, so that sorting looks at one number.
+    group = ["at", "key", "one", "other"]
     together = _sliced(near, slice_lines).join(texts, "print").select(*group, "id", "print", "text")
     pairs = together.repartition(parts, *group).sortWithinPartitions(*group, "id").mapInArrow(_verified, "src long, dst long")
     linked = components(pairs, "lines")
