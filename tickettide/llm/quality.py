@@ -196,7 +196,9 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", allowed
 def score(documents: DataFrame, model: dict[str, np.ndarray], name: str = "_score") -> DataFrame:
     """The documents' columns, whatever they are, and `name`, the quality from 0 to 1, which replaces a column called so.
 
-    Empty and null texts are bags of one wordless passage and get its score.
+    Empty and null texts are bags of one wordless passage and get its score. A
+    score depends on the row's text alone: repeated rows repeat, shared and
+    null ids need no rule. An empty table gives an empty one.
     """
     documents = documents.drop(name)
     fields = documents.schema.fieldNames()

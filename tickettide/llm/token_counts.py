@@ -245,7 +245,11 @@ def with_masking_edits(documents: DataFrame, pattern: str = PERSONAL, mask: str
 
 def edited_counts(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, n_edits, n_before, n_tokens, n_pieces, n_again): token counts before and after
-    personal data is masked, the pre-tokens of the new text, and how many of them were cut again."""
+    personal data is masked, the pre-tokens of the new text, and how many of them were cut again.
+
+    A row per row: repeated rows repeat, shared and null ids need no rule. Null
+    texts are empty and have no tokens. An empty table gives an empty one.
+    """
     rows = with_masking_edits(with_trees(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), vocabulary))
     before = rows.withColumn("n_before", tokens_of()).withColumn("n_edits", F.size("edits").cast("long"))
     return apply_edits(before, vocabulary).select(

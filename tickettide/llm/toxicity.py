@@ -228,7 +228,12 @@ def _shared(documents: DataFrame, model: dict):
 
 
 def score(documents: DataFrame, model: dict, name: str = "_score") -> DataFrame:
-    """The documents' columns and `name`, the toxicity from 0 to 1, which replaces a column called so; null and empty texts have no segment."""
+    """The documents' columns and `name`, the toxicity from 0 to 1, which replaces a column called so.
+
+    Null and empty texts have no segment. A score depends on the row's text
+    alone: repeated rows repeat, shared and null ids need no rule, equal texts
+    score alike. An empty table gives an empty one.
+    """
     documents = documents.drop(name)
     names = documents.schema.fieldNames()
     shared = _shared(documents, model)
