@@ -113,4 +113,4 @@ def test_odd_tables(spark, tmp_path, documents):
 
 def test_every_operator_is_registered():
     names = list(driver.queries())
-    assert [n.split("_")[0] for n in names if re.match(r"op\d+_", n)] == [f"op{k}" for k in range(1, 11)] and "pipeline" in names
+    assert [n.split("_")[0] for n in names if re.match(r"op\d+_", n)] == [f"op{k}" for k in range(1, 14)] and "pipeline" in names
