@@ -254,3 +254,16 @@ def test_a_megabyte_of_broken_markup_takes_seconds(page):
 ])
 def test_what_follows_the_last_tag_is_text(page, text):
     assert [t for t, _, _ in html_text.page_lines(page)] == text
+
+
+@pytest.mark.parametrize("threshold", ["10m", "-1"])
+def test_archives_are_converted_by_many_tasks(spark, threshold):
+    """Whether the join with the revisits is by broadcast or not, its rows are dealt out anew."""
+    pages = spark.createDataFrame([(i, f"http://h{i}/", f"<p>{i % 20}</p>") for i in range(60)], "page_id long, url string, html string").repartition(12)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        arcs = archives.write_arc(pages, work_path(spark, "arc"))
+        warcs = archives.convert(arcs, work_path(spark, "warc"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert arcs.count() == 12 and len(warcs.inputFiles()) > 1
