@@ -118,6 +118,33 @@ def test_page_text(spark, clashing):
     assert html_text.extract(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_differencing_chooses_among_marked_articles(spark):
+    """An article that stands on the next page as well is none; a copy of the page tells nothing, and the page beside it is taken."""
+    teaser = "<article><h2>Most read</h2><p>The same on every page</p></article>"
+    page = "<body>" + teaser + "<article><h1>Title {0}</h1><p>A line of two articles</p><p>own {0}</p></article><p>outside {0}</p></body>"
+    rows = [(1, "http://a/1", page.format("one")), (2, "http://a/2", page.format("two")), (3, "http://a/21", page.format("two")),
+            (4, "http://a/22", page.format("two").replace("outside two", "advert")), (5, "http://b/1", page.format("alone"))]
+    texts = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    own = "Title {0}\nA line of two articles\nown {0}"
+    assert texts[1] == own.format("one") and texts[2] == texts[3] == own.format("two")
+    assert texts[4] == texts[5].replace("alone", "two") == "Most read\nThe same on every page\n" + own.format("two")
+
+
+@pytest.mark.parametrize("copies", [0, 9])
+def test_pairs_do_not_depend_on_where_tasks_begin(spark, copies):
+    page = "<p>menu {1}</p><p>own text of {0}</p><p>end {1}</p>"
+    rows = [(i, f"http://a/{i // 7}/{i}", page.format(i, i % 7 // 2)) for i in range(60)]
+    rows += [(100 + i, f"http://a/4/3{i}", page.format("a copy", 1)) for i in range(copies)] + [(None, "http://a/4/31", None), (7, None, "<p>x</p>")]
+    pages = spark.createDataFrame(rows, PAGES).repartition(5)
+    got = []
+    for parts in ("1", "3", "50"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        got.append(sorted(html_text.extract(pages).collect(), key=repr))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got[0] == got[1] == got[2] and len(got[0]) == len(rows)
+    assert all("own text of" in r.text for r in got[0] if r.page_id and r.page_id != 7)
+
+
 def test_page_text_equals_the_articles(spark):
     """On the test pages, whose articles hold headings and paragraphs only."""
     import html
