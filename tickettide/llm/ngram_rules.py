@@ -19,8 +19,6 @@ from tickettide.llm.common import written
 BUCKETS = 1 << 14
 #: Pseudo-counts of a bucket, in both multinomials at the size of the trusted one: rare buckets say little.
 PRIOR = 16.0
-#: Trusted documents that are counted, at most: their ids are broadcast, about twenty megabytes.
-TRUSTED = 1 << 18
 #: Score from which a document is kept.
 THRESHOLD = -0.08
 
@@ -63,7 +61,10 @@ _PREFIX_BITS = 12
 
 
 def _sampled(ids: DataFrame, most: int) -> DataFrame:
-    """All ids, or those whose hashes come first, at most so many: whole ranges of the hash, by their counts."""
+    """All ids, or those whose hashes come first, at most so many: whole ranges of the hash, by their counts.
+
+    For callers who want fewer trusted documents; `fit` counts all it is given.
+    """
     for level in range(64 // _PREFIX_BITS):
         prefix = F.shiftrightunsigned(F.shiftleft(F.xxhash64("_id"), level * _PREFIX_BITS), 64 - _PREFIX_BITS)
         counts = sorted(ids.groupBy(prefix.alias("prefix")).agg(F.count(F.lit(1)).alias("n")).collect())
@@ -81,29 +82,26 @@ def _sampled(ids: DataFrame, most: int) -> DataFrame:
     return ids
 
 
-def fit(documents: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR, most_trusted: int = TRUSTED) -> DataFrame:
+def fit(documents: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR) -> DataFrame:
     """(bucket, weight): the log-likelihood ratio of each bucket, over all documents.
 
     `trusted` names trusted documents by `doc_id`; repeats and nulls in it are
-    ignored, and all documents of that id are trusted. Beyond `most_trusted`
-    ids, a sample in the order of their hashes stands for them, so that they
-    can be broadcast and texts are counted where they are read. The raw corpus
-    is all documents, trusted ones included. The raw counts are scaled to the trusted
+    ignored, and all documents of that id are trusted and counted. The raw corpus
+    is all documents, trusted ones included, and is counted where it is read.
+    Texts are shuffled by id to meet the trusted ids, whatever their number, so
+    that the work grows with the input; nothing is sorted. The raw counts are scaled to the trusted
     total before pseudo-counts are added, so that both multinomials are smoothed
     alike and a bucket without evidence weighs 0. Without documents or without
     trusted ones all weights are 0.
     """
     if buckets & (buckets - 1):
         raise ValueError(f"the number of buckets must be a power of two, not {buckets}")
-    ids = trusted.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("_id")).distinct()
-    some = _sampled(written(ids, "trusted"), most_trusted).withColumn("_trusted", F.lit(1))
-    flagged = documents.select(F.col("doc_id").cast("bigint").alias("_id"), _text().alias("_text")).join(
-        F.broadcast(some), "_id", "left")
-    grams = _with_grams(flagged.select("_trusted", _words(F.col("_text")).alias("_words")), "_words")
-    counts = grams.select("_trusted", F.explode(F.concat("_ones", "_twos")).alias("_gram")).groupBy(
-        _bucket(F.col("_gram"), buckets).alias("bucket")).agg(
-        F.count(F.lit(1)).alias("raw"), F.count("_trusted").alias("trusted"))
-    counted = written(counts, "bucket-counts")
+    named = trusted.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("_id")).distinct()
+    ids = written(named, "trusted")
+    texts = documents.select(F.col("doc_id").cast("bigint").alias("_id"), _text().alias("_text"))
+    raw = _bucket_counts(texts, buckets, "raw")
+    good = _bucket_counts(texts.where("_id IS NOT NULL").join(ids.hint("shuffle_hash"), "_id", "left_semi"), buckets, "trusted")
+    counted = written(raw.join(good, "bucket", "left"), "bucket-counts")
     totals = counted.agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted"))
     share = totals.select(F.coalesce(F.col("trusted") / F.nullif("raw", F.lit(0)), F.lit(0.0))).scalar()
     weight = F.log((F.coalesce("trusted", F.lit(0)) + prior) / (F.coalesce("raw", F.lit(0)) * share + prior))
@@ -111,6 +109,13 @@ def fit(documents: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, prior:
     return written(every.join(counted, "bucket", "left").select("bucket", weight.alias("weight")), "bucket-weights")
 
 
+def _bucket_counts(texts: DataFrame, buckets: int, name: str) -> DataFrame:
+    """(bucket, `name`): the n-grams of all `_text`s in each bucket."""
+    grams = _with_grams(texts.select(_words(F.col("_text")).alias("_words")), "_words")
+    return grams.select(F.explode(F.concat("_ones", "_twos")).alias("_gram")).groupBy(
+        _bucket(F.col("_gram"), buckets).alias("bucket")).agg(F.count(F.lit(1)).alias(name))
+
+
 def _as_literal(weights: DataFrame) -> Column:
     """The weights in order of their buckets as one constant: a number each, however large the corpus."""
     rows = sorted(weights.select("bucket", "weight").collect())
