@@ -378,3 +378,25 @@ def test_word_distance_equals_the_plain_table(n):
             row = new
         assert line_dedup.word_distance(x, y) == line_dedup.word_distance(y, x) == row[-1]
         assert line_dedup.alike(x, y, 0.8) == (row[-1] <= int(0.2 * max(len(x), len(y)) + 1e-9))
+
+
+def test_a_batch_is_cut_before_it_is_looked_at(spark, documents):
+    """Texts go to the tasks once, and what a slice takes does not depend on the batch."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from tickettide.llm import quality
+    from tickettide.llm.common import text_slices
+
+    windows = decontamination.window_index(["a"], [b"some words of a benchmark item"], 13)
+    batch = pa.array(["word " * 400, None] * 4000)
+    tracemalloc.start()
+    seen = [len(decontamination.hits(part, windows)[0]) for _, _, part in text_slices(batch, decontamination._BATCH_BYTES)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(seen) == len(batch) and peak < 120 << 20
+    docs = documents((1, "a b"), (2, None))
+    benchmark = spark.createDataFrame([("x", "one two three")], "item_id string, text string")
+    for rows in (decontamination.clean_documents(docs, benchmark), quality.score(docs, quality.start_model())):
+        assert rows.count() == 2 and "bytes of the text" not in rows._jdf.queryExecution().toString()

@@ -6,6 +6,8 @@ import uuid
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +34,16 @@ def text_bytes(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("binary"), F.lit(b""))
 
 
+def text_slices(texts: pa.Array, most: int):
+    """(first, last, the texts between as bytes) of a batch's texts: at most so many bytes, or one text; null becomes empty.
+
+    A slice is turned into Python's own objects only when it is reached.
+    """
+    whole = pc.fill_null(texts.cast(pa.binary()), b"")
+    for a, b in slices(pc.binary_length(whole).to_numpy(), most):
+        yield a, b, whole.slice(a, b - a).to_pylist()
+
+
 def mixed(values: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit values."""
     values = values.astype(np.uint64, copy=True)
@@ -67,8 +79,11 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: in
     if not len(starts):
         return np.zeros(0, np.uint64)
     with np.errstate(over="ignore"):
+        terms = data.astype(np.uint64)
+        terms += np.uint64(1)
+        terms *= _powers(BASE, len(data))
         sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(BASE, len(data)), out=sums[1:])
+        np.cumsum(terms, out=sums[1:])
         inverse = _powers(pow(BASE, -1, 1 << 64), len(data) + 1)
         spans = (sums[ends] - sums[starts]) * inverse[starts]
         return mixed(spans + GOLDEN * np.uint64(seed + 1))

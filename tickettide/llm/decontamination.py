@@ -15,14 +15,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickettide.llm.common import BASE, batches, mixed, slices, span_hashes, spans_of, text_bytes, written
+from tickettide.llm.common import BASE, batches, mixed, slices, span_hashes, spans_of, text_bytes, text_slices, written
 
 WINDOW = 13
 #: A document is contaminated when at least this part of its words is hit.
 HIT_PART = 20
 #: Benchmark words whose windows are broadcast at once: about 40 bytes each.
 BLOCK_WORDS = 2_000_000
-_BATCH_BYTES = 4 << 20
+#: Bytes of text looked at at once in a task; its arrays take some forty times as much.
+_BATCH_BYTES = 1 << 20
 
 _IN_WORD = np.zeros(256, bool)
 _IN_WORD[ord("0") : ord("9") + 1] = _IN_WORD[ord("a") : ord("z") + 1] = _IN_WORD[128:] = True
@@ -140,9 +141,7 @@ def _scan(documents: DataFrame, windows: dict, text: bool, hit_only: bool = Fals
     shared = documents.sparkSession.sparkContext.broadcast(windows)
 
     def each(batch):
-        texts = batch.column(1).to_pylist()
-        for a, b in slices(np.array([len(t) for t in texts]), _BATCH_BYTES):
-            part = texts[a:b]
+        for a, b, part in text_slices(batch.column(1), _BATCH_BYTES):
             counts, ranges, items = hits(part, shared.value)
             rows = sorted(ranges) if hit_only else range(len(part))
             columns = [
@@ -211,17 +210,17 @@ def clean_documents(documents: DataFrame, benchmark: DataFrame, window: int = WI
     a pass each, and what is hit so far goes along with the row.
     """
     columns = documents.columns
-    rows = documents.withColumns({"bytes of the text": text_bytes(), "words hit": F.lit(None).cast("array<struct<first:long,last:long>>")})
+    at = columns.index("text")
+    rows = documents.withColumn("words hit", F.lit(None).cast("array<struct<first:long,last:long>>"))
     schema = rows.schema
     for number, (blocks, windows) in enumerate(_blocks(benchmark, window, block_words)):
         shared, last = documents.sparkSession.sparkContext.broadcast(windows), number == blocks - 1
 
         def each(batch, shared=shared, last=last):
-            texts = batch.column(len(columns)).to_pylist()
-            for a, b in slices(np.array([len(t) for t in texts]), _BATCH_BYTES):
+            for a, b, texts in text_slices(batch.column(at), _BATCH_BYTES):
                 part = batch.slice(a, b - a)
-                counts, ranges, _ = hits(texts[a:b], shared.value)
-                before = part.column(len(columns) + 1).to_pylist()
+                counts, ranges, _ = hits(texts, shared.value)
+                before = part.column(len(columns)).to_pylist()
                 every = [merged([*((r["first"], r["last"]) for r in x or []), *ranges.get(i, [])]) for i, x in enumerate(before)]
                 if last:
                     n_hit = [sum(y - x for x, y in found) for found in every]

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tickettide.llm.common import batches, slices, span_hashes, spans_of, text_bytes, written
+from tickettide.llm.common import batches, slices, span_hashes, spans_of, text_slices, written
 from tickettide.llm.labelled import sample
 
 PASSAGE_WORDS = 128
@@ -28,7 +28,7 @@ THRESHOLD = 0.7
 FOLDS, HELD_OUT = 4, 2
 ENCODED, GATE = 24, 12
 EPOCHS, BAGS, RATE, SEED = 24, 64, 0.004, 7
-_BATCH_BYTES = 2 << 20
+_BATCH_BYTES = 1 << 19
 
 #: Byte classes: 0 control, 1 blank, 2 line break, 3 digit, 4 upper, 5 lower,
 #: 6 beyond ASCII, 7 sentence marks, 8 commas, 9 quotes and brackets, 10 to 15 further signs.
@@ -204,13 +204,11 @@ def score(documents: DataFrame, model: dict[str, np.ndarray], name: str = "_scor
     fields = documents.schema.fieldNames()
 
     def each(batch):
-        texts = batch.column(len(fields)).to_pylist()
-        for a, b in slices(np.array([len(t) for t in texts]), _BATCH_BYTES):
-            made = bag_scores(model, texts[a:b])
-            yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:-1]), pa.array(made)], [*fields, name])
+        for a, b, texts in text_slices(batch.column(fields.index("text")), _BATCH_BYTES):
+            made = bag_scores(model, texts)
+            yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns), pa.array(made)], [*fields, name])
 
-    rows = documents.select("*", text_bytes().alias("bytes of the text"))
-    return batches(rows, each, StructType([*documents.schema.fields, StructField(name, DoubleType())]))
+    return batches(documents, each, StructType([*documents.schema.fields, StructField(name, DoubleType())]))
 
 
 def good_documents(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, allowed: Column | None = None) -> DataFrame:
