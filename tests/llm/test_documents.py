@@ -400,3 +400,13 @@ def test_a_batch_is_cut_before_it_is_looked_at(spark, documents):
     benchmark = spark.createDataFrame([("x", "one two three")], "item_id string, text string")
     for rows in (decontamination.clean_documents(docs, benchmark), quality.score(docs, quality.start_model())):
         assert rows.count() == 2 and "bytes of the text" not in rows._jdf.queryExecution().toString()
+
+
+def test_slots_tell_keys_and_values_apart():
+    import numpy as np
+
+    prints = np.random.default_rng(3).integers(0, 1 << 63, 500).astype(np.uint64)
+    for number, mask in line_dedup.block_keys():
+        slots, at = line_dedup._slots(prints, number), prints & np.uint64(mask)
+        assert (slots >> line_dedup._SLOT_BITS == number).all()
+        assert len(set(slots.tolist())) == len(set(at.tolist())) == len(set(zip(slots.tolist(), at.tolist())))

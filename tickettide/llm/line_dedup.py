@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickettide.llm.common import batches, components, popcount, signed, slices, span_hashes, spans_of, text_bytes, written
+from tickettide.llm.common import batches, components, popcount, signed, span_hashes, spans_of, text_bytes, text_slices, written
 
 MIN_WORDS = 5
 SIMILARITY = 0.8
@@ -26,7 +26,8 @@ DISTANCE = 3
 #: Bits of the five blocks; a key is two of them.
 BLOCKS = (13, 13, 13, 13, 12)
 PICKED = len(BLOCKS) - DISTANCE
-_BATCH_BYTES = 2 << 20
+_SLOT_BITS = PICKED * max(BLOCKS)
+_BATCH_BYTES = 1 << 20
 _TILE = 2048
 _SMALL = 64
 #: Lines of a key whose texts are compared in one group; more are dealt to pairs of slices.
@@ -167,9 +168,8 @@ def lines(documents: DataFrame) -> DataFrame:
     """
 
     def each(batch):
-        texts = batch.column(2).to_pylist()
-        for a, b in slices(np.array([len(t) for t in texts]), _BATCH_BYTES):
-            text_of, place, counts, high, low, prints = line_prints(texts[a:b])
+        for a, b, texts in text_slices(batch.column(2), _BATCH_BYTES):
+            text_of, place, counts, high, low, prints = line_prints(texts)
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(k).slice(a, b - a).take(pa.array(text_of)) for k in range(2)), pa.array(place),
                  pa.array(counts.astype(np.int64)), pa.array(signed(high)), pa.array(signed(low)), pa.array(signed(prints))],
@@ -197,20 +197,18 @@ def _near_lines(distinct: DataFrame) -> DataFrame:
 
     def spread(batch):
         prints = batch.column(0).to_numpy().view(np.uint64)
-        for number, mask in keys:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(prints), number, np.int32)), pa.array(signed(prints & np.uint64(mask))), pa.array(signed(prints))],
-                ["key", "at", "print"])
+        for number in range(len(keys)):
+            yield pa.RecordBatch.from_arrays([pa.array(_slots(prints, number)), pa.array(signed(prints))], ["slot", "print"])
 
     def meet(stream):
         carried = None
         for batch in stream:
-            table = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(3)])
+            table = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(2)])
             if carried is not None:
                 table = np.concatenate([carried, table], axis=1)
             if not table.shape[1]:
                 continue
-            last = (table[0] == table[0, -1]) & (table[1] == table[1, -1])
+            last = table[0] == table[0, -1]
             carried = table[:, last]
             yield from partnered(table[:, ~last])
         if carried is not None:
@@ -218,14 +216,25 @@ def _near_lines(distinct: DataFrame) -> DataFrame:
 
     def partnered(table):
         if table.shape[1] > 1:
-            rows = _partners(table[0], table[1], table[2].view(np.uint64), masks)
+            numbers, prints = table[0] >> _SLOT_BITS, table[1].view(np.uint64)
+            rows = _partners(numbers, table[0], prints, masks)
             if len(rows):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(table[0, rows].astype(np.int32)), pa.array(table[1, rows]), pa.array(table[2, rows])], ["key", "at", "print"])
+                    [pa.array(numbers[rows].astype(np.int32)), pa.array(signed(prints[rows] & masks[numbers[rows]])), pa.array(table[1, rows])],
+                    ["key", "at", "print"])
 
     parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sent = batches(distinct.select("print").distinct(), spread, "key int, at long, print long")
-    return sent.repartition(parts, "key", "at").sortWithinPartitions("at", "key").mapInArrow(meet, "key int, at long, print long")
+    sent = batches(distinct.select("print").distinct(), spread, "slot int, print long")
+    return sent.repartition(parts, "slot").sortWithinPartitions("slot").mapInArrow(meet, "key int, at long, print long")
+
+
+def _slots(prints: np.ndarray, number: int) -> np.ndarray:
+    """The bits that key `number` picks, put together below the number itself: one small number for key and value."""
+    starts = np.cumsum((0, *BLOCKS))
+    slots = np.full(len(prints), number, np.uint64)
+    for block in list(combinations(range(len(BLOCKS)), PICKED))[number]:
+        slots = slots << np.uint64(max(BLOCKS)) | prints >> np.uint64(starts[block]) & np.uint64((1 << BLOCKS[block]) - 1)
+    return slots.astype(np.int32)
 
 
 def _partners(keys: np.ndarray, at: np.ndarray, prints: np.ndarray, masks: np.ndarray) -> np.ndarray:
