@@ -281,3 +281,15 @@ def test_maintained_reports_read_settled_dates_as_kept(store, landed, tmp_path):
     for folder in (tmp_path / "store" / "settled" / "incident").glob("generation=*/snapshot_date=2024-01-10"):
         shutil.rmtree(folder)
     assert sorted(map(repr, kept.read("incident_trends_daily").collect())) == before
+
+
+def test_dates_of_a_single_run_pass_straight_through(store, tickets):
+    one, two = date(2024, 1, 10), date(2024, 1, 11)
+    for run, day, state in ((1, one, "New"), (2, two, "New"), (3, two, "Closed")):
+        store.write_runs({"incident": tickets("incident", {"sys_id": "a", "state": state}, run_id=run, day=day)}, since_days=30)
+    assert "Union" in store.current("incident")._jdf.queryExecution().optimizedPlan().toString()
+    assert content(store) == [("10", "a", "New", 1), ("11", "a", "Closed", 3)]
+    store.settle("incident")
+    for run, day in ((4, one), (5, date(2024, 1, 12))):
+        store.write_runs({"incident": tickets("incident", {"sys_id": "a", "state": "Seen"}, run_id=run, day=day)}, since_days=30)
+    assert content(store) == [("10", "a", "Seen", 4), ("11", "a", "Closed", 3), ("12", "a", "Seen", 5)]

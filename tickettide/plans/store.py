@@ -290,14 +290,23 @@ class SnapshotStore:
         return self.run_log().filter(F.col("id") > run).select("snapshot_date").distinct()
 
     def _contested(self, name: str, settled_run: int) -> DataFrame:
-        """Winners of the dates that have runs after the settled one."""
+        """Winners of the dates that have runs after the settled one.
+
+        A run holds a ticket once, so a date of a single run has no others and
+        its rows pass straight through; only dates of several are shuffled.
+        """
         fresh = self.run_rows(name, after=settled_run)
+        runs = self.run_log().filter(F.col("id") > settled_run).groupBy("snapshot_date").agg(F.count(F.lit(1)).alias("n"))
+        single = runs.filter("n = 1").select("snapshot_date")
         if not settled_run:
-            return latest_run_wins(fresh)
-        reopened = self._settled_rows(name).join(
-            self._dates_after(settled_run), "snapshot_date", "left_semi"
-        )
-        return latest_run_wins(reopened.unionByName(fresh))
+            several = fresh.join(single, "snapshot_date", "left_anti")
+            alone = fresh.join(single, "snapshot_date", "left_semi")
+            return alone.unionByName(latest_run_wins(several)).select(*fresh.columns)
+        settled = self._settled_rows(name)
+        reopened = settled.join(self._dates_after(settled_run), "snapshot_date", "left_semi")
+        new = single.join(self._settled_log(name).select("snapshot_date"), "snapshot_date", "left_anti")
+        contested = latest_run_wins(reopened.unionByName(fresh.join(new, "snapshot_date", "left_anti")))
+        return contested.unionByName(fresh.join(new, "snapshot_date", "left_semi"))
 
     def settled_dates(self, name: str) -> DataFrame:
         """(snapshot_date, generation) of the dates that no run after the settled ones has touched."""
