@@ -74,7 +74,8 @@ def reviewed(rows: DataFrame, condition: str) -> DataFrame:
 
 
 def request_items_now(tables: Tables) -> DataFrame:
-    return upsert.last_write_wins(a.request_items(tables), DOMAINS["request_item"])
+    items = a.request_item_tickets(tables)
+    return upsert.last_write_wins(items.rows, DOMAINS["request_item"], items.texts)
 
 
 # --- pulling ---------------------------------------------------------------
@@ -215,8 +216,9 @@ def received_records(tables):
 
 @_query
 def upsert_incident(tables):
-    rows = reviewed(a.incidents(tables), "priority IN ('1', '2')")
-    return fields_of(upsert.last_write_wins(rows, DOMAINS["incident"]))
+    tickets = a.incident_tickets(tables).early("state", "priority")
+    rows = reviewed(tickets.rows, "priority IN ('1', '2')")
+    return fields_of(upsert.last_write_wins(rows, DOMAINS["incident"], tickets.texts))
 
 
 @_query

@@ -8,6 +8,8 @@ by remainder so that the rules about them are exercised.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,15 +42,45 @@ class Tables:
         )
 
 
+@dataclass
+class Tickets:
+    """Rows that tickets can be made of: stamp, id and update time as columns, the other fields as expressions.
+
+    What these need is often much narrower than the texts they make.
+    """
+
+    name: str
+    rows: DataFrame
+    texts: dict[str, Column]
+
+    def whole(self) -> DataFrame:
+        """The tickets in a domain's stored columns."""
+        domain = DOMAINS[self.name]
+        return with_payload(self.rows.withColumns(self.texts), domain)
+
+    def early(self, *fields: str) -> Tickets:
+        """With some more fields as columns of the rows."""
+        later = {name: text for name, text in self.texts.items() if name not in fields}
+        return Tickets(self.name, self.rows.withColumns({f: self.texts[f] for f in fields}), later)
+
+
+LEAD = ("run_id", "snapshot_date", "pulled_at", "sys_id", "sys_updated_on")
+
+
+def _tickets(rows: DataFrame, name: str, **columns: str) -> Tickets:
+    """A domain's fields by SQL expression; the rest is NULL."""
+    fields = {
+        f.name: F.expr(f"CAST({columns.get(f.name, 'NULL')} AS {f.dataType.simpleString()})")
+        for f in DOMAINS[name].snapshot_schema
+        if f.name != "raw_payload"
+    }
+    lead = {f: fields.pop(f) for f in LEAD}
+    return Tickets(name, rows.withColumns(lead), fields)
+
+
 def _snapshot(rows: DataFrame, name: str, **columns: str) -> DataFrame:
     """Rows in a domain's stored columns, by SQL expression; the rest is NULL."""
-    domain = DOMAINS[name]
-    fields = [
-        f"CAST({columns.get(f.name, 'NULL')} AS {f.dataType.simpleString()}) AS {f.name}"
-        for f in domain.snapshot_schema
-        if f.name != "raw_payload"
-    ]
-    return with_payload(rows.selectExpr(*fields), domain)
+    return _tickets(rows, name, **columns).whole()
 
 
 def _run_of(day: str, runs_per_day: int = 1, run: str = "0") -> str:
@@ -57,6 +89,11 @@ def _run_of(day: str, runs_per_day: int = 1, run: str = "0") -> str:
 
 def incidents(tables: Tables) -> DataFrame:
     """Orders seen on three days each; 45,000 rows at scale 0.01."""
+    return incident_tickets(tables).whole()
+
+
+def incident_tickets(tables: Tables) -> Tickets:
+    """`incidents` before their texts are made."""
     seen = (
         tables.orders.join(
             tables.customer, F.col("o_custkey") == F.col("c_custkey"), "left"
@@ -65,7 +102,7 @@ def incidents(tables: Tables) -> DataFrame:
         .withColumn("k", F.explode(F.array(*map(F.lit, SNAPSHOT_OFFSETS))))
         .withColumn("day", F.date_add(F.col("o_orderdate").cast("date"), F.col("k")))
     )
-    return _snapshot(
+    return _tickets(
         seen,
         "incident",
         run_id=_run_of("day"),
@@ -99,10 +136,15 @@ def incidents(tables: Tables) -> DataFrame:
 
 def request_items(tables: Tables) -> DataFrame:
     """Line items in two runs a day; ids repeat within a run and across both."""
+    return request_item_tickets(tables).whole()
+
+
+def request_item_tickets(tables: Tables) -> Tickets:
+    """`request_items` before their texts are made."""
     lines = tables.lineitem.join(
         tables.orders, F.col("l_orderkey") == F.col("o_orderkey"), "left"
     ).join(tables.part, F.col("l_partkey") == F.col("p_partkey"), "left")
-    return _snapshot(
+    return _tickets(
         lines.withColumn("day", F.col("o_orderdate").cast("date")),
         "request_item",
         run_id=_run_of("day", 2, "l_suppkey % 2"),

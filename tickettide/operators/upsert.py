@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,9 +42,29 @@ def keyed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("sys_id", F.coalesce("sys_id", F.lit("")))
 
 
-def last_write_wins(rows: DataFrame, domain: Domain) -> DataFrame:
-    """One row per ticket and day out of any number of runs."""
-    return first_per_key(keyed(rows), SNAPSHOT_KEY, write_order(domain))
+def last_write_wins(rows: DataFrame, domain: Domain, texts: Mapping[str, Column] | None = None) -> DataFrame:
+    """One row per ticket and day out of any number of runs.
+
+    Fields given as `texts` are not yet columns of the rows but made of them:
+    then rows are sorted and shuffled as they are, and texts are made of those
+    that run and update time leave over. Of rows that tie in these, which lie
+    side by side, the greatest texts win, so nothing is sorted again.
+    """
+    if texts is None:
+        return first_per_key(keyed(rows), SNAPSHOT_KEY, write_order(domain))
+    newest = Window.partitionBy(*SNAPSHOT_KEY).orderBy(*write_order(domain)[:2])
+    tied = newest.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    lead = ["run_id", "snapshot_date", "sys_id", "sys_updated_on"]
+    rest = [f for f in domain.fields if f not in lead]
+    return (
+        keyed(rows).withColumn("_rank", F.rank().over(newest)).filter("_rank = 1")
+        # NULL is less than any text, as in `write_order`.
+        .select(*lead, F.struct(*(texts.get(f, F.col(f)).alias(f) for f in rest), "pulled_at").alias("_rest"))
+        .select(*lead, F.max("_rest").over(tied).alias("_rest"), F.row_number().over(newest).alias("_place"))
+        .filter("_place = 1")
+        .select(*lead, "_rest.*")
+        .select(*(c for c in domain.snapshot_columns if c != "raw_payload"))
+    )
 
 
 def latest_run_wins(rows: DataFrame) -> DataFrame:
