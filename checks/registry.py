@@ -18,6 +18,7 @@ from tickettide.functions import text as tx
 from tickettide.functions import tickets as t
 from tickettide.functions import times as tm
 from tickettide.operators import align, ingest_log, mail, profile, pull, trends, upsert
+from tickettide.operators.selection import written
 from tickettide.plans import ingest, reports
 from tickettide.plans.loading import load_table, read_table
 from tickettide.plans.maintained import DAILY, MaintainedReports
@@ -247,6 +248,12 @@ def all_domains(tables: Tables) -> dict[str, DataFrame]:
     }
 
 
+def landed_domains(tables: Tables) -> dict[str, DataFrame]:
+    """The fields of all domains' tickets, each request item as it is now; these are landed as files."""
+    items = written(fields_of(request_items_now(tables)), "request-items")
+    return {name: rows.select(*DOMAINS[name].fields) for name, rows in (all_domains(tables) | {"request_item": items}).items()}
+
+
 @_query
 def run_log(tables):
     return run_log_rows(all_domains(tables), since_days=30)
@@ -321,7 +328,7 @@ def fail_if_exists(tables):
 def sync_job(tables):
     """Pull, store and log one run over the tickets of all domains."""
     store = SnapshotStore(tables.spark, new_folder(tables.spark, "sync"))
-    sources = all_domains(tables) | {"request_item": request_items_now(tables)}
+    sources = landed_domains(tables)
     return sync(
         store,
         sources,
@@ -329,6 +336,7 @@ def sync_job(tables):
         since_days=11_000,
         include_change_requests=True,
         include_problems=True,
+        stable=True,
     )
 
 
@@ -864,8 +872,7 @@ def _stream_all_domains(tables: Tables) -> SnapshotStore:
     """Tickets of all domains land in two parts, by ticket; each part is one batch and one run."""
     folder = new_folder(tables.spark, "stream-domains")
     store = SnapshotStore(tables.spark, f"{folder}/store")
-    tickets = {name: rows.select(*DOMAINS[name].fields) for name, rows in (all_domains(tables) | {
-        "request_item": request_items_now(tables)}).items()}
+    tickets = landed_domains(tables)
     late = F.right("sys_id", F.lit(1)).isin(*"13579")
     for part, chosen in (("first", ~late), ("second", late)):
         sources = {}

@@ -293,3 +293,32 @@ def test_dates_of_a_single_run_pass_straight_through(store, tickets):
     for run, day in ((4, one), (5, date(2024, 1, 12))):
         store.write_runs({"incident": tickets("incident", {"sys_id": "a", "state": "Seen"}, run_id=run, day=day)}, since_days=30)
     assert content(store) == [("10", "a", "Seen", 4), ("11", "a", "Closed", 3), ("12", "a", "Seen", 5)]
+
+
+def test_a_stable_run_without_repeats_is_written_as_it_comes(store, landed, monkeypatch):
+    from tickettide.plans import store as module
+
+    shuffled = []
+    kept = module.last_write_wins
+    monkeypatch.setattr(module, "last_write_wins", lambda rows, domain: shuffled.append(domain.name) or kept(rows, domain))
+    frames = {
+        "incident": landed("incident", {"sys_id": "1", "state": "a"}, {"sys_id": None, "state": "b"}),
+        "request_item": landed("request_item", {"sys_id": None, "state": "x"}, {"sys_id": "", "state": "y"}),
+        "problem": landed("problem"),
+    }
+    run = store.store(Snapshot(frames, DAY, 30), stable=True).first()
+    assert shuffled == ["request_item"]
+    assert (run.incident_count, run.request_item_count, run.problem_count) == (2, 2, 0)
+    assert content(store) == [("10", "", "b", 1), ("10", "1", "a", 1)]
+    assert content(store, "request_item") == [("10", "", "y", 1)]
+    assert store.current("incident").filter("sys_id = '1'").first().raw_payload.startswith('{"sys_id":"1"')
+    sync(store, frames | {"change_request": landed("change_request")}, DAY)
+    assert shuffled[1:] == ["incident", "request_item"]
+
+
+def test_the_json_copy_of_a_synced_ticket_is_not_shuffled(spark):
+    from checks.registry import landed_domains
+    from tickettide.adapters import Tables
+
+    frames = landed_domains(Tables(spark, "/root/testdata/sf0.001"))
+    assert {name: tuple(rows.columns) for name, rows in frames.items()} == {name: domain.fields for name, domain in DOMAINS.items()}

@@ -46,7 +46,7 @@ class Level:
 
 def written(rows: DataFrame, purpose: str) -> DataFrame:
     path = new_folder(rows.sparkSession, purpose)
-    rows.write.parquet(path)
+    rows.write.option("compression", "zstd").parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 

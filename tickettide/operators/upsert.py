@@ -67,6 +67,11 @@ def last_write_wins(rows: DataFrame, domain: Domain, texts: Mapping[str, Column]
     )
 
 
+def once_per_ticket(rows: DataFrame) -> bool:
+    """Whether no ticket id repeats. Only the ids are read and shuffled, counted in every task first."""
+    return keyed(rows).groupBy("sys_id").count().filter("count > 1").isEmpty()
+
+
 def latest_run_wins(rows: DataFrame) -> DataFrame:
     """As `last_write_wins`, where a run holds a ticket at most once.
 

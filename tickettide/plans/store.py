@@ -20,7 +20,7 @@ is being read is ever overwritten. Reading writes nothing.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Mapping
+from collections.abc import Collection, Mapping
 from datetime import datetime, timezone
 from functools import reduce
 
@@ -32,9 +32,11 @@ from pyspark.sql import types as T
 from tickettide.functions.tickets import raw_payload
 from tickettide.operators.pull import Snapshot, stamp
 from tickettide.operators.upsert import (
+    keyed,
     last_write_wins,
     latest_run_per_ticket,
     latest_run_wins,
+    once_per_ticket,
 )
 from tickettide.plans.logs import Log
 from tickettide.plans.workspace import finished_folders, path_exists, remove
@@ -144,6 +146,7 @@ class SnapshotStore:
             (rows if one_partition else rows.hint("rebalance", *partitions))
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
+            .option("compression", "zstd")
             .partitionBy(*partitions)
             .parquet(f"{self.root}/{folder}")
         )
@@ -185,14 +188,15 @@ class SnapshotStore:
             raise ValueError(f"run {run} is settled (up to {settled}) and can't be written again")
 
     def _write_tickets(
-        self, stamped: Mapping[str, DataFrame], attempt: str, one_run: bool = False
+        self, stamped: Mapping[str, DataFrame], attempt: str, one_run: bool = False, once: Collection[str] = ()
     ) -> None:
+        """Write the winners; of the domains in `once` each ticket has one row, so all rows are."""
         for name, rows in stamped.items():
             domain = DOMAINS[name]
+            winners = keyed(rows) if name in once else last_write_wins(rows, domain)
             # The JSON copy is made of the winners, so it is not shuffled.
-            winners = with_payload(last_write_wins(rows, domain), domain)
             self._write(
-                winners.withColumn("attempt", F.lit(attempt)),
+                with_payload(winners, domain).withColumn("attempt", F.lit(attempt)),
                 f"runs/{name}", "snapshot_date", "run_id", "attempt", one_partition=one_run,
             )
 
@@ -217,10 +221,13 @@ class SnapshotStore:
         if lowest is not None:
             self._refuse_settled(lowest)
 
-    def store(self, snapshot: Snapshot, run_id: int | None = None) -> DataFrame:
+    def store(self, snapshot: Snapshot, run_id: int | None = None, stable: bool = False) -> DataFrame:
         """Store one pull as one run and return its log row.
 
         A pull without any rows is a run too, so its row starts from zero counts.
+        Frames that are `stable` give the same rows each time and are cheap to
+        read, as landed files are. Then it is looked first whether ids repeat;
+        where none does, the rows are written as they come.
         """
         run = self.next_run_id() if run_id is None else run_id
         self._refuse_settled(run)
@@ -234,7 +241,8 @@ class SnapshotStore:
             name: stamp(rows, run, as_of).observe(pulled[name], F.count(F.lit(1)).alias("n"))
             for name, rows in snapshot.frames.items()
         }
-        self._write_tickets(stamped, attempt, one_run=True)
+        once = {name for name, rows in snapshot.frames.items() if stable and once_per_ticket(rows)}
+        self._write_tickets(stamped, attempt, one_run=True, once=once)
         self._log(self._single_run_log(pulled, run, as_of, snapshot), attempt, one_run=True)
         return self.run_log().filter(F.col("id") == run)
 

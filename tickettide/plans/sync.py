@@ -18,10 +18,11 @@ def sync(
     as_of=None,
     since_days: int = DEFAULT_LOOKBACK_DAYS,
     run_id: int | None = None,
+    stable: bool = False,
     **pull_options: object,
 ) -> DataFrame:
-    """Run the job once and return the run's log row."""
-    return store.store(pull_snapshot(tables, as_of, since_days, **pull_options), run_id)
+    """Run the job once and return the run's log row. `stable` tables are as in `SnapshotStore.store`."""
+    return store.store(pull_snapshot(tables, as_of, since_days, **pull_options), run_id, stable)
 
 
 def sync_report(run: DataFrame) -> DataFrame:
