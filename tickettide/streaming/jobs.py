@@ -89,11 +89,11 @@ def stream_sync_domains(
         spark = batch.sparkSession
         run, as_of = store.run_of_batch(stream, batch_id, now())
         folder = f"{store.root}/arrivals/stream={stream}/batch={batch_id}"
-        batch.write.mode("overwrite").partitionBy(DOMAIN).parquet(folder)
+        batch.write.mode("overwrite").option("compression", "zstd").partitionBy(DOMAIN).parquet(folder)
         arrived = spark.read.schema(batch.schema).parquet(folder)
         kept = [RAW] if RAW in batch.columns else []
         frames = {name: arrived.filter(F.col(DOMAIN) == name).select(*DOMAINS[name].fields, *kept) for name in names}
-        store.store(Snapshot(frames, as_of, since_days), run)
+        store.store(Snapshot(frames, as_of, since_days), run, stable=True)
         remove(spark, folder)
 
     return _run_available(tagged_union(sources).writeStream.foreachBatch(store_batch), checkpoint)
