@@ -24,7 +24,7 @@ from tickettide.plans.loading import load_table, read_table
 from tickettide.plans.maintained import DAILY, MaintainedReports
 from tickettide.plans.store import SnapshotStore, run_log_rows
 from tickettide.plans.sync import sync, sync_report
-from tickettide.plans.workspace import new_folder
+from tickettide.plans.workspace import little_disk, move, new_folder, path_exists, remove
 from tickettide.schema import DOMAINS
 from tickettide.sources.landed import records_from_replies, stream_extract
 from tickettide.sources.workbooks import (
@@ -76,7 +76,7 @@ def reviewed(rows: DataFrame, condition: str) -> DataFrame:
 
 def request_items_now(tables: Tables) -> DataFrame:
     items = a.request_item_tickets(tables)
-    return upsert.last_write_wins(items.rows, DOMAINS["request_item"], items.texts)
+    return upsert.last_write_wins(items.rows, DOMAINS["request_item"], items.texts, within=["l_orderkey"])
 
 
 # --- pulling ---------------------------------------------------------------
@@ -248,10 +248,16 @@ def all_domains(tables: Tables) -> dict[str, DataFrame]:
     }
 
 
+def domains_now(tables: Tables) -> dict[str, DataFrame]:
+    """The fields of all domains' tickets, each request item as it is now."""
+    tickets = all_domains(tables) | {"request_item": request_items_now(tables)}
+    return {name: rows.select(*DOMAINS[name].fields) for name, rows in tickets.items()}
+
+
 def landed_domains(tables: Tables) -> dict[str, DataFrame]:
-    """The fields of all domains' tickets, each request item as it is now; these are landed as files."""
-    items = written(fields_of(request_items_now(tables)), "request-items")
-    return {name: rows.select(*DOMAINS[name].fields) for name, rows in (all_domains(tables) | {"request_item": items}).items()}
+    """The same, with the request items landed as files."""
+    tickets = domains_now(tables)
+    return tickets | {"request_item": written(tickets["request_item"], "request-items")}
 
 
 @_query
@@ -869,17 +875,30 @@ def stream_hourly_compacted(tables):
 
 
 def _stream_all_domains(tables: Tables) -> SnapshotStore:
-    """Tickets of all domains land in two parts, by ticket; each part is one batch and one run."""
-    folder = new_folder(tables.spark, "stream-domains")
-    store = SnapshotStore(tables.spark, f"{folder}/store")
-    tickets = landed_domains(tables)
+    """Tickets of all domains land in two parts, by ticket; each part is one batch and one run.
+
+    Both parts are made in one go and lie outside of the landing folders until
+    their time comes. What landed is removed once it is stored.
+    """
+    spark, folder = tables.spark, new_folder(tables.spark, "stream-domains")
+    store = SnapshotStore(spark, f"{folder}/store")
     late = F.right("sys_id", F.lit(1)).isin(*"13579")
-    for part, chosen in (("first", ~late), ("second", late)):
-        sources = {}
+    part = F.when(late, "second").when(~late, "first")
+    tickets = domains_now(tables)
+    with little_disk(spark):
         for name, rows in tickets.items():
-            rows.filter(chosen).write.parquet(f"{folder}/{name}/{part}")
-            sources[name] = stream_extract(tables.spark, f"{folder}/{name}/*", DOMAINS[name])
+            to_land = rows.withColumn("part", part).filter("part IS NOT NULL")
+            to_land.write.option("compression", "zstd").partitionBy("part").parquet(f"{folder}/coming/{name}")
+    for part in ("first", "second"):
+        sources = {}
+        for name in tickets:
+            coming = f"{folder}/coming/{name}/part={part}"
+            if path_exists(spark, coming):
+                move(spark, coming, f"{folder}/{name}/{part}")
+            sources[name] = stream_extract(spark, f"{folder}/{name}/*", DOMAINS[name])
         jobs.stream_sync_domains(sources, store, f"{folder}/checkpoint", clock=lambda: EVENTS_AS_OF, since_days=30).awaitTermination()
+        for name in tickets:
+            remove(spark, f"{folder}/{name}/{part}")
     return store
 
 

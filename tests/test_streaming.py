@@ -234,3 +234,81 @@ def test_all_domains_become_one_run(spark, landed, tmp_path):
     assert run(datetime(2024, 1, 10, 8)) == [(1, 2, 0, 0, 1), (2, 1, 1, 1, 0)]
     assert [(r.sys_id, r.risk, r.run_id) for r in store.current("change_request").collect()] == [("9", "high", 2)]
     assert [(r.sys_id, r.known_error, r.run_id) for r in store.current("problem").collect()] == [("1", "true", 1)]
+
+
+@pytest.fixture
+def business(spark, tmp_path):
+    """A folder of the tables that tickets are made of: repeated lines, parts and orders, missing keys, no documents."""
+    day = datetime(2024, 1, 3)
+    tables = {
+        "customer": ("c_custkey long, c_name string, c_nationkey int, c_mktsegment string", [(1, "Customer 1", 3, "AUTO")]),
+        "orders": ("o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+                   [(k, 1, "F", 1.0, day, "1-URGENT") for k in (1, 2, 2, 4)]),
+        "part": ("p_partkey long, p_name string, p_type string", [(7, "anvil", "IRON"), (8, "bolt", "TIN"), (8, "bolt b", "TIN")]),
+        "lineitem": ("l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
+                     "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+                     [(k, p, s, n, 1.0, 2.0, "N", "F", at) for k, p, s, n, at in (
+                         (1, 7, 1, 1, day), (1, 8, 1, 1, day), (1, 7, 2, 1, day), (2, 8, 3, 1, day), (2, None, 3, 2, None), (3, 7, 4, 1, day),
+                         (1, 7, 5, None, day), (2, 8, 5, None, day), (4, 8, 7, None, day), (None, 7, 6, 1, day), (None, 8, 6, None, day))]),
+        "events": ("event_id long, ts timestamp_ntz, user_id long, event_type string, props string", [(k, day, k, "error", "{}") for k in range(1, 5)]),
+        "documents": ("doc_id long, text string, lang string, source string, n_chars long", []),
+    }
+    for name, (schema, rows) in tables.items():
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "tables" / f"{name}.parquet"))
+    return str(tmp_path / "tables")
+
+
+def test_lines_joined_by_order_are_not_shuffled_again(spark, business):
+    from checks.registry import request_items_now
+    from tickettide.operators.upsert import last_write_wins
+
+    tables = a.Tables(spark, business)
+    items = a.request_item_tickets(tables)
+    by_ticket = last_write_wins(items.rows, DOMAINS["request_item"], items.texts)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        now = request_items_now(tables)
+        plan = now._jdf.queryExecution().executedPlan().toString().splitlines()
+        assert sorted(map(tuple, now.collect()), key=str) == sorted(map(tuple, by_ticket.collect()), key=str)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # Lines without a number are one ticket a day, whatever their order; only they are dealt out by ticket.
+    union = next(i for i, line in enumerate(plan) if line.lstrip(" +-").startswith("Union"))
+    depth = len(plan[union]) - len(plan[union].lstrip(" +-"))
+    split = next(i for i in range(union + 1, len(plan)) if plan[i].startswith(" " * depth + "+- "))
+    exchanges = [line for line in plan[union:split] if "Exchange " in line]
+    assert len(exchanges) == 4 and not any("sys_id" in line for line in exchanges)
+    assert [r.sys_id for r in now.orderBy("sys_id").collect()] == ["", "", "1-1", "2-1", "2-2", "3-1"]
+
+
+def test_batches_of_all_domains_leave_no_copies(spark, business):
+    from pathlib import Path
+
+    from checks.registry import registered
+    from tickettide.plans.workspace import shared_folder
+
+    shared = Path(shared_folder(spark).removeprefix("file:"))
+    known = set(shared.glob("tickettide/*"))
+    log = registered()["stream_sync_domains"](spark, business)
+    assert [(r.id, r.incident_count, r.request_item_count, r.change_request_count, r.problem_count) for r in log.orderBy("id").collect()] == [
+        (1, 9, 3, 2, 0), (2, 3, 3, 2, 0)]
+    (folder,) = set(shared.glob("tickettide/*")) - known
+    assert folder.name.startswith("stream-domains-") and not (folder / "store" / "arrivals").exists()
+    assert {f.relative_to(folder).parts[0] for f in folder.rglob("*.parquet")} == {"store"}
+
+
+def test_little_disk_keeps_no_shuffle_files_and_restores_settings(spark, tmp_path):
+    from tickettide.plans.workspace import little_disk
+
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    names = lambda: {f.getName() for f in (files.getAllFiles().apply(i) for i in range(files.getAllFiles().size())) if f.getName().startswith("shuffle_")}
+    rows = spark.range(1000).withColumn("part", F.col("id") % 3)
+    settings = {s: spark.conf.get(s, None) for s in ("spark.sql.maxConcurrentOutputFileWriters", "spark.sql.classic.shuffleDependency.fileCleanup.enabled")}
+    before = names()
+    with little_disk(spark):
+        rows.groupBy("part").count().write.parquet(str(tmp_path / "counts"))
+        rows.write.partitionBy("part").parquet(str(tmp_path / "parts"))
+    assert names() <= before
+    assert {s: spark.conf.get(s, None) for s in settings} == settings
+    assert spark.read.parquet(str(tmp_path / "parts")).groupBy("part").count().count() == 3

@@ -42,19 +42,34 @@ def keyed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("sys_id", F.coalesce("sys_id", F.lit("")))
 
 
-def last_write_wins(rows: DataFrame, domain: Domain, texts: Mapping[str, Column] | None = None) -> DataFrame:
+def last_write_wins(
+    rows: DataFrame, domain: Domain, texts: Mapping[str, Column] | None = None, within: Sequence[str] = ()
+) -> DataFrame:
     """One row per ticket and day out of any number of runs.
 
     Fields given as `texts` are not yet columns of the rows but made of them:
     then rows are sorted and shuffled as they are, and texts are made of those
     that run and update time leave over. Of rows that tie in these, which lie
     side by side, the greatest texts win, so nothing is sorted again.
+
+    `within` names columns that all rows of a ticket share, as those that its
+    id is made of. Rows that a join has dealt out by them stay where they are.
+    Rows without an id are one ticket a day and need not share these columns,
+    so they are taken apart.
     """
+    if within:
+        missing = F.coalesce("sys_id", F.lit("")) == ""
+        known = _winners(rows.filter(~missing), domain, texts, [*within, *SNAPSHOT_KEY])
+        return known.unionByName(_winners(rows.filter(missing), domain, texts, SNAPSHOT_KEY))
+    return _winners(rows, domain, texts, SNAPSHOT_KEY)
+
+
+def _winners(rows: DataFrame, domain: Domain, texts: Mapping[str, Column] | None, keys: Sequence[str]) -> DataFrame:
     if texts is None:
-        return first_per_key(keyed(rows), SNAPSHOT_KEY, write_order(domain))
-    newest = Window.partitionBy(*SNAPSHOT_KEY).orderBy(*write_order(domain)[:2])
+        return first_per_key(keyed(rows), keys, write_order(domain))
+    newest = Window.partitionBy(*keys).orderBy(*write_order(domain)[:2])
     tied = newest.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    lead = ["run_id", "snapshot_date", "sys_id", "sys_updated_on"]
+    lead = list(dict.fromkeys(["run_id", "snapshot_date", "sys_id", "sys_updated_on", *keys]))
     rest = [f for f in domain.fields if f not in lead]
     return (
         keyed(rows).withColumn("_rank", F.rank().over(newest)).filter("_rank = 1")
@@ -69,7 +84,16 @@ def last_write_wins(rows: DataFrame, domain: Domain, texts: Mapping[str, Column]
 
 def once_per_ticket(rows: DataFrame) -> bool:
     """Whether no ticket id repeats. Only the ids are read and shuffled, counted in every task first."""
-    return keyed(rows).groupBy("sys_id").count().filter("count > 1").isEmpty()
+    return _repeated(rows, []).isEmpty()
+
+
+def repeating(rows: DataFrame, group: str) -> set[str]:
+    """The groups, a handful, in which a ticket id repeats; rows are read once for all of them."""
+    return {row[group] for row in _repeated(rows, [group]).select(group).distinct().collect()}
+
+
+def _repeated(rows: DataFrame, group: Sequence[str]) -> DataFrame:
+    return keyed(rows).groupBy(*group, "sys_id").count().filter("count > 1")
 
 
 def latest_run_wins(rows: DataFrame) -> DataFrame:

@@ -221,13 +221,16 @@ class SnapshotStore:
         if lowest is not None:
             self._refuse_settled(lowest)
 
-    def store(self, snapshot: Snapshot, run_id: int | None = None, stable: bool = False) -> DataFrame:
+    def store(
+        self, snapshot: Snapshot, run_id: int | None = None, stable: bool = False, once: Collection[str] | None = None
+    ) -> DataFrame:
         """Store one pull as one run and return its log row.
 
         A pull without any rows is a run too, so its row starts from zero counts.
         Frames that are `stable` give the same rows each time and are cheap to
         read, as landed files are. Then it is looked first whether ids repeat;
-        where none does, the rows are written as they come.
+        where none does, the rows are written as they come. A caller that has
+        looked itself names the domains whose ids do not repeat as `once`.
         """
         run = self.next_run_id() if run_id is None else run_id
         self._refuse_settled(run)
@@ -241,7 +244,8 @@ class SnapshotStore:
             name: stamp(rows, run, as_of).observe(pulled[name], F.count(F.lit(1)).alias("n"))
             for name, rows in snapshot.frames.items()
         }
-        once = {name for name, rows in snapshot.frames.items() if stable and once_per_ticket(rows)}
+        if once is None:
+            once = {name for name, rows in snapshot.frames.items() if stable and once_per_ticket(rows)}
         self._write_tickets(stamped, attempt, one_run=True, once=once)
         self._log(self._single_run_log(pulled, run, as_of, snapshot), attempt, one_run=True)
         return self.run_log().filter(F.col("id") == run)

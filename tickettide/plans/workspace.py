@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -48,3 +50,37 @@ def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of any file system Spark knows, if it is there."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def move(spark: SparkSession, path: str, target: str) -> None:
+    """Give a folder another place in the same file system."""
+    here, there = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, target))
+    system = here.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(there.getParent())
+    if not system.rename(here, there):
+        raise FileNotFoundError(f"{path} could not be moved to {target}")
+
+
+#: Shuffle files go as what made them ends. Otherwise they stay until the driver happens to
+#: collect its garbage, which one that does little but plan may not do for hours.
+_LITTLE_DISK = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    # A task that writes a few partitions keeps a file open for each instead of sorting its rows, which spills.
+    "spark.sql.maxConcurrentOutputFileWriters": "8",
+}
+
+
+@contextmanager
+def little_disk(spark: SparkSession) -> Iterator[None]:
+    """What is run inside keeps no shuffle files and does not sort rows by the folders they go to."""
+    before = {setting: spark.conf.get(setting, None) for setting in _LITTLE_DISK}
+    try:
+        for setting, value in _LITTLE_DISK.items():
+            spark.conf.set(setting, value)
+        yield
+    finally:
+        for setting, value in before.items():
+            if value is None:
+                spark.conf.unset(setting)
+            else:
+                spark.conf.set(setting, value)

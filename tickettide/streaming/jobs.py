@@ -16,8 +16,9 @@ from tickettide.functions import tickets as t
 from tickettide.functions.text import label_blank
 from tickettide.functions.times import instant_of, utc_of
 from tickettide.operators.pull import Snapshot
+from tickettide.operators.upsert import repeating
 from tickettide.plans.store import SnapshotStore
-from tickettide.plans.workspace import remove
+from tickettide.plans.workspace import little_disk
 from tickettide.schema import DOMAINS
 from tickettide.sources.landed import RAW
 from tickettide.streaming.key_index import KeyIndex
@@ -79,22 +80,20 @@ def stream_sync_domains(
     """Store what lands of all domains in a batch as one run with one log row.
 
     One query follows all sources, so a batch has one id and commits their
-    files together. It is written once, a folder per domain, and each domain
-    is stored from its folder; a domain of which nothing landed counts zero.
+    files together. Sources give the same rows each time, as landed files do:
+    a batch is no copy of them, but read once for the ids of all domains and
+    once per domain to be stored. A domain of which nothing landed counts zero.
     """
     now = clock or (lambda: datetime.now(timezone.utc).replace(tzinfo=None))
     stream, names = _stream_name(checkpoint), list(sources)
 
     def store_batch(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         run, as_of = store.run_of_batch(stream, batch_id, now())
-        folder = f"{store.root}/arrivals/stream={stream}/batch={batch_id}"
-        batch.write.mode("overwrite").option("compression", "zstd").partitionBy(DOMAIN).parquet(folder)
-        arrived = spark.read.schema(batch.schema).parquet(folder)
         kept = [RAW] if RAW in batch.columns else []
-        frames = {name: arrived.filter(F.col(DOMAIN) == name).select(*DOMAINS[name].fields, *kept) for name in names}
-        store.store(Snapshot(frames, as_of, since_days), run, stable=True)
-        remove(spark, folder)
+        frames = {name: batch.filter(F.col(DOMAIN) == name).select(*DOMAINS[name].fields, *kept) for name in names}
+        with little_disk(batch.sparkSession):
+            once = set(names) - repeating(batch, DOMAIN)
+            store.store(Snapshot(frames, as_of, since_days), run, once=once)
 
     return _run_available(tagged_union(sources).writeStream.foreachBatch(store_batch), checkpoint)
 
